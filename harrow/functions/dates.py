@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harrow.functions.text import _col, trim_ws
+from harrow.functions.text import _col, let, trim_ws
 
 # Month names by their first three letters.
 MONTHS = {
@@ -30,14 +30,17 @@ DEADLINE_TEXT = r"(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}|\d{4}-\d{2}-\d{2})"
 
 
 def _month(word: Column) -> Column:
-    pairs = [F.lit(x) for kv in MONTHS.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), F.lower(F.substring(word, 1, 3)))
+    """Two-digit month of a month name; a number stays as it is."""
+    names = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    return F.coalesce(F.element_at(names, F.lower(F.substring(word, 1, 3))), F.lpad(word, 2, "0"))
 
 
-def _assemble(year: Column, month: Column, day: Column) -> Column:
-    """A date from its parts; NULL when there is no such day."""
-    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return text.try_cast("date")
+def _day_text(parts: Column) -> Column:
+    """yyyy-mm-dd text from (year, month, day) parts."""
+    return F.concat_ws(
+        "-", F.element_at(parts, 1), _month(F.element_at(parts, 2)),
+        F.lpad(F.element_at(parts, 3), 2, "0"),
+    )
 
 
 def parse_date(c: Column | str, slashes: str = "dmy") -> Column:
@@ -46,23 +49,21 @@ def parse_date(c: Column | str, slashes: str = "dmy") -> Column:
     Slashed dates are read day first unless slashes="mdy". Unreadable text and
     impossible days give NULL; nothing is guessed.
     """
-    s = trim_ws(c)
-
-    def part(rx: str, i: int) -> Column:
-        return F.regexp_extract(s, rx, i)
-
-    d, m = (1, 2) if slashes == "dmy" else (2, 1)
-    return (
-        F.when(s.rlike(_ISO), _assemble(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3)))
-        .when(
-            s.rlike(_DAY_FIRST),
-            _assemble(part(_DAY_FIRST, 3), _month(part(_DAY_FIRST, 2)), part(_DAY_FIRST, 1)),
-        )
-        .when(
-            s.rlike(_MONTH_FIRST),
-            _assemble(part(_MONTH_FIRST, 3), _month(part(_MONTH_FIRST, 1)), part(_MONTH_FIRST, 2)),
-        )
-        .when(s.rlike(_SLASHED), _assemble(part(_SLASHED, 3), part(_SLASHED, m), part(_SLASHED, d)))
+    parts = trim_ws(c)
+    shapes = (
+        (_ISO, "$1|$2|$3"),
+        (_DAY_FIRST, "$3|$2|$1"),
+        (_MONTH_FIRST, "$3|$1|$2"),
+        (_SLASHED, "$3|$2|$1" if slashes == "dmy" else "$3|$1|$2"),
+    )
+    for shape, order in shapes:
+        parts = F.regexp_replace(parts, shape, order)
+    readable = r"^\d{4}\|\w+\|\d{1,2}$"
+    return let(
+        parts,
+        lambda p: F.when(
+            p.rlike(readable), _day_text(F.split(p, r"\|")).try_cast("date")
+        ),
     )
 
 
@@ -70,27 +71,26 @@ def to_iso_date(c: Column | str, slashes: str = "dmy") -> Column:
     return parse_date(c, slashes).cast("string")
 
 
+def _rfc822_text(parts: Column) -> Column:
+    """Timestamp text with zone from (year, month, day, time, zone) parts."""
+    zone = F.upper(F.element_at(parts, 5))
+    offset = F.when(zone.isin("GMT", "UTC", "UT", "Z"), F.lit("+00:00")).otherwise(
+        F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
+    )
+    return F.concat(_day_text(parts), F.lit(" "), F.element_at(parts, 4), offset)
+
+
 def parse_timestamp(c: Column | str) -> Column:
     """An instant from ISO text or an RFC 822 date with zone; a bare date gives midnight."""
-    s = trim_ws(c)
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(s, _RFC822, i)
+    def read(s: Column) -> Column:
+        rfc = F.split(F.regexp_replace(s, _RFC822, "$3|$2|$1|$4|$5"), r"\|")
+        return F.coalesce(
+            F.when(s.rlike(_RFC822), _rfc822_text(rfc).try_cast("timestamp")),
+            F.when(s.rlike(_ISO), s.try_cast("timestamp")),
+        )
 
-    zone = F.regexp_replace(
-        F.when(F.upper(part(5)).isin("GMT", "UTC", "UT", "Z"), F.lit("+00:00")).otherwise(part(5)),
-        r"^([+-]\d{2}):?(\d{2})$",
-        "$1:$2",
-    )
-    rfc = F.concat(
-        part(3), F.lit("-"), _month(part(2)), F.lit("-"), F.lpad(part(1), 2, "0"),
-        F.lit(" "), part(4), zone,
-    )
-    return F.coalesce(
-        F.when(s.rlike(_RFC822), rfc.try_cast("timestamp")),
-        F.when(s.rlike(_ISO), s.try_cast("timestamp")),
-        parse_date(c).cast("timestamp"),
-    )
+    return F.coalesce(let(trim_ws(c), read), parse_date(c).cast("timestamp"))
 
 
 def event_time(published: Column | str, page: Column | str, ingested: Column | str) -> Column:

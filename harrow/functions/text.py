@@ -26,6 +26,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """fn applied to a value that is computed once per row, however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def filled(c: Column | str) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit("")) != ""
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harrow.functions.text import _col, trim_ws
+from harrow.functions.text import let, trim_ws
 
 # Query parameters dropped as tracking.
 TRACKING_PARAMS = (
@@ -46,18 +46,25 @@ def canonical_url(
     keep_query=False drops the whole query instead. Anything that is no http(s)
     URL gives NULL. The path keeps its case; an empty path stays empty.
     """
-    raw = trim_ws(c)
-    h = _aliased(host(c), dict(aliases or {}))
-    base = F.concat(F.lit("https://"), h, F.regexp_extract(raw, _SHAPE, 2))
-    if not keep_query:
-        return base
+
+    def build(raw: Column) -> Column:
+        name = F.nullif(F.lower(F.regexp_extract(raw, _SHAPE, 1)), F.lit(""))
+        h = _aliased(name, dict(aliases or {}))
+        base = F.concat(F.lit("https://"), h, F.regexp_extract(raw, _SHAPE, 2))
+        return F.concat(base, _kept_query(raw, tracking)) if keep_query else base
+
+    return let(trim_ws(c), build)
+
+
+def _kept_query(raw: Column, tracking: Sequence[str]) -> Column:
+    """'?a=1&b=2' without tracking parameters, or the empty string."""
     query = F.substring(F.regexp_extract(raw, _SHAPE, 3), 2, 2**31 - 1)
     kept = F.filter(
         F.split(query, "&"),
         lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*tracking),
     )
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.concat(base, tail)
+    joined = F.array_join(kept, "&")
+    return F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")
 
 
 def path_depth(c: Column | str) -> Column:

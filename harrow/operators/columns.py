@@ -42,13 +42,14 @@ def map_headers(
 ) -> DataFrame:
     """Targets filled from their first filled source header; absent headers count as blank.
 
-    One header may feed several targets.
+    Headers are compared by normal spelling. One header may feed several targets.
     """
-    have = {normalize_header(c): c for c in reversed(df.columns)}
+    have: dict[str, list[str]] = {}
+    for c in df.columns:
+        have.setdefault(normalize_header(c), []).append(c)
 
     def target(headers: Sequence[str]) -> Column:
-        found = [have[normalize_header(h)] for h in headers if normalize_header(h) in have]
-        found = list(dict.fromkeys(found))
+        found = list(dict.fromkeys(c for h in headers for c in have.get(normalize_header(h), [])))
         if not found:
             return F.lit(default).cast("string")
         return first_filled(*[F.col(f"`{c}`") for c in found], default=default)

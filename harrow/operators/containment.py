@@ -11,6 +11,10 @@ from harrow.session import BROADCAST_LIMIT, measured_bytes
 # one that fits into it, so even a single character is found.
 GRAM_SIZES = (16, 8, 4, 2, 1)
 
+# Runs of a needle considered as its key. Any run finds every match; more
+# choices only make a rarer one likelier.
+ANCHOR_CHOICES = 64
+
 
 def _runs(text: Column, size: int) -> Column:
     """Distinct hashes of all character runs of this length, in one pass over the text."""
@@ -25,19 +29,35 @@ def _size_of(text: Column) -> Column:
     return out
 
 
+def _spaced(runs: Column) -> Column:
+    """At most ANCHOR_CHOICES runs, spread evenly over the array."""
+    n = F.size(runs)
+    take = F.least(n, F.lit(ANCHOR_CHOICES))
+    places = F.when(n > 0, F.sequence(F.lit(0), take - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        places, lambda i: F.element_at(runs, F.floor(i * n / take).cast("int") + 1)
+    )
+
+
 def _anchors(needles: DataFrame) -> DataFrame:
-    """One run per needle as its join key: the one fewest needles share."""
-    sized = needles.withColumn("size", _size_of(F.col("needle")))
+    """(needle, size, gram): one run per needle as its join key, the one fewest needles share."""
+    sized = needles.withColumns(
+        {"nid": F.sha2("needle", 256), "size": _size_of(F.col("needle"))}
+    )
     runs = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for size in GRAM_SIZES:
         runs = runs.when(F.col("size") == size, _runs(F.col("needle"), size))
-    each = sized.select("needle", "size", F.explode(runs).alias("gram"))
+    each = (
+        sized.select("nid", runs.alias("runs"))
+        .select("nid", F.explode(_spaced(F.col("runs"))).alias("gram"))
+    )
     shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return (
+    chosen = (
         each.join(shared, "gram")
-        .groupBy("needle", "size")
+        .groupBy("nid")
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
+    return sized.join(chosen, "nid").select("needle", "size", "gram")
 
 
 def contained_pairs(
@@ -57,7 +77,12 @@ def contained_pairs(
     texts stream by. A larger one is joined by (run, salt): the needles, one row
     each, are repeated per salt, and a run common in the texts is spread.
     """
-    wanted = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
+    longest = texts.agg(F.max(F.length(text))).scalar()
+    wanted = (
+        needles.select(F.col(needle).alias("needle"))
+        .filter((F.col("needle") != "") & (F.length("needle") <= longest))
+        .distinct()
+    )
     anchors = _anchors(wanted)
     sizes = anchors.agg(F.collect_set("size")).scalar()
     hay = texts.select(F.col(text_id), F.col(text).alias("_text")).filter("_text <> ''")

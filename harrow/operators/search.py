@@ -42,12 +42,15 @@ def search_tokens(
 
 def token_index(df: DataFrame, key: str, weights: Mapping[str, int]) -> DataFrame:
     """Inverted table (term, key, weight): the summed weight of the fields holding the term."""
-    postings = None
-    for c, w in weights.items():
-        one = F.transform(tokens(c), lambda t, w=w: F.struct(t.alias("term"), F.lit(int(w)).alias("w")))
-        postings = one if postings is None else F.concat(postings, one)
+
+    def postings(c: str, weight: int) -> Column:
+        return F.transform(
+            tokens(c), lambda t: F.struct(t.alias("term"), F.lit(int(weight)).alias("w"))
+        )
+
+    fields = F.concat(*[postings(c, w) for c, w in weights.items()])
     return (
-        df.select(key, F.explode(postings).alias("p"))
+        df.select(key, F.explode(fields).alias("p"))
         .groupBy(F.col("p.term").alias("term"), key)
         .agg(F.sum("p.w").alias("weight"))
     )

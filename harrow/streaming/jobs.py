@@ -70,27 +70,45 @@ def classify_changes(
 
 
 def change_writer(
-    changes_path: str, key: str, time: str, fields: Sequence[str]
+    path: str, key: str, time: str, fields: Sequence[str], compact_every: int = 50
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch step for R-3: every batch writes its changes under its own batch number.
+    """foreachBatch step for change detection.
 
-    Earlier batches are the known state. A replayed batch reads the same earlier
-    batches and overwrites its own folder, so a replay changes nothing.
+    Batch n writes its changes to changes/batch=n. What is known before it is
+    the last snapshot written earlier plus the changes since; every
+    compact_every batches a snapshot of all latest versions is added, so a
+    batch reads a bounded number of folders. A replayed batch reads the same
+    earlier folders and overwrites its own, so a replay changes nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fields_of = T.StructType(
+        state = T.StructType(
             [batch.schema[key], T.StructField("content_hash", T.StringType()), batch.schema[time]]
         )
-        if batch_id == 0:
-            known = spark.createDataFrame([], fields_of)
-        else:
-            folders = [f"{changes_path}/batch={i}" for i in range(batch_id)]
-            earlier = spark.read.schema(fields_of).parquet(*folders)
-            known = keep_latest(earlier, key, [time], "content_hash")
-        out = classify_changes(batch, known.select(key, "content_hash"), key, time, fields)
-        out.write.mode("overwrite").parquet(f"{changes_path}/batch={batch_id}")
+
+        def known_before(n: int) -> DataFrame:
+            base = n - n % compact_every
+            folders = [f"{path}/changes/batch={i}" for i in range(base, n)]
+            if base:
+                folders.append(f"{path}/snapshots/before={base}")
+            if not folders:
+                return spark.createDataFrame([], state)
+            versions = spark.read.schema(state).parquet(*folders)
+            return keep_latest(versions, key, [time], "content_hash")
+
+        known = known_before(batch_id).select(key, "content_hash")
+        out = classify_changes(batch, known, key, time, fields)
+        out.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        after = batch_id + 1
+        if after % compact_every == 0:
+            first = after - compact_every
+            folders = [f"{path}/changes/batch={i}" for i in range(first, after)]
+            if first:
+                folders.append(f"{path}/snapshots/before={first}")
+            versions = spark.read.schema(state).parquet(*folders)
+            latest = keep_latest(versions, key, [time], "content_hash")
+            latest.write.mode("overwrite").parquet(f"{path}/snapshots/before={after}")
 
     return step
 
