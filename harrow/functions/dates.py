@@ -77,7 +77,8 @@ def _rfc822_text(parts: Column) -> Column:
     offset = F.when(zone.isin("GMT", "UTC", "UT", "Z"), F.lit("+00:00")).otherwise(
         F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
     )
-    return F.concat(_day_text(parts), F.lit(" "), F.element_at(parts, 4), offset)
+    time = F.regexp_replace(F.element_at(parts, 4), r"^(\d{2}:\d{2})$", "$1:00")
+    return F.concat(_day_text(parts), F.lit(" "), time, offset)
 
 
 def parse_timestamp(c: Column | str) -> Column:

@@ -43,7 +43,7 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     links holds (u, v). Star contraction: each round is two grouped minima and
     two joins, and the number of rounds grows with the logarithm of the longest
-    chain. Rounds are checkpointed in the shared folder. Raises when the limit
+    chain. Each round is written to the shared folder. Raises when the limit
     is reached before the table stops changing.
     """
     edges = cut_lineage(

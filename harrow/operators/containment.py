@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.session import BROADCAST_LIMIT, measured_bytes
-
-# Lengths of the character runs used as join keys. A needle uses the longest
-# one that fits into it, so even a single character is found.
+from harrow.functions.text import let
+from harrow.session import BROADCAST_LIMIT, cut_lineage, measured_bytes
+
+# Kinds of character runs used as join keys. WORD runs start at a word start, so a
+# text has few of them; both neighbouring characters of the start lie inside the
+# needle, so a text holding the needle has the same start. A needle without one uses
+# runs from every position, of the longest size that fits: even one character is found.
+WORD = 0
+_WORD_TAIL = 11
 GRAM_SIZES = (16, 8, 4, 2, 1)
 
 # Runs of a needle considered as its key. Any run finds every match; more
@@ -16,16 +21,20 @@ GRAM_SIZES = (16, 8, 4, 2, 1)
 ANCHOR_CHOICES = 64
 
 
-def _runs(text: Column, size: int) -> Column:
-    """Distinct hashes of all character runs of this length, in one pass over the text."""
-    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    return F.transform(F.array_distinct(found), lambda g: F.xxhash64(g))
+def _runs(text: Column, kind: int) -> Column:
+    """Distinct hashes of all runs of this kind, in one pass over the text."""
+    if kind == WORD:
+        pattern = rf"(?s)[^\p{{L}}](?=(\p{{L}}.{{{_WORD_TAIL}}}))"
+    else:
+        pattern = f"(?s)(?=(.{{{kind}}}))"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))
 
 
-def _size_of(text: Column) -> Column:
-    out = F.lit(GRAM_SIZES[-1])
-    for size in reversed(GRAM_SIZES[:-1]):
-        out = F.when(F.length(text) >= size, F.lit(size)).otherwise(out)
+def _kind_of(text: Column) -> Column:
+    out = F.when(text.rlike(rf"(?s)[^\p{{L}}]\p{{L}}.{{{_WORD_TAIL}}}"), F.lit(WORD))
+    for size in GRAM_SIZES:
+        out = out.when(F.length(text) >= size, F.lit(size))
     return out
 
 
@@ -40,24 +49,21 @@ def _spaced(runs: Column) -> Column:
 
 
 def _anchors(needles: DataFrame) -> DataFrame:
-    """(needle, size, gram): one run per needle as its join key, the one fewest needles share."""
-    sized = needles.withColumns(
-        {"nid": F.sha2("needle", 256), "size": _size_of(F.col("needle"))}
+    """(needle, kind, gram): one run per needle as its join key, the one fewest needles share."""
+    tagged = needles.withColumns(
+        {"nid": F.sha2("needle", 256), "kind": _kind_of(F.col("needle"))}
     )
     runs = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for size in GRAM_SIZES:
-        runs = runs.when(F.col("size") == size, _runs(F.col("needle"), size))
-    each = (
-        sized.select("nid", runs.alias("runs"))
-        .select("nid", F.explode(_spaced(F.col("runs"))).alias("gram"))
-    )
+    for kind in (WORD, *GRAM_SIZES):
+        runs = runs.when(F.col("kind") == kind, _runs(F.col("needle"), kind))
+    each = tagged.select("nid", F.explode(let(runs, _spaced)).alias("gram"))
     shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     chosen = (
         each.join(shared, "gram")
         .groupBy("nid")
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
-    return sized.join(chosen, "nid").select("needle", "size", "gram")
+    return tagged.join(chosen, "nid").select("needle", "kind", "gram")
 
 
 def contained_pairs(
@@ -76,21 +82,26 @@ def contained_pairs(
     candidates. A needle set within the broadcast limit is looked up while the
     texts stream by. A larger one is joined by (run, salt): the needles, one row
     each, are repeated per salt, and a run common in the texts is spread.
+    Needles longer than every text are left out at once; the others are read
+    several times and so written once to the shared folder.
     """
     longest = texts.agg(F.max(F.length(text))).scalar()
-    wanted = (
+    wanted = cut_lineage(
         needles.select(F.col(needle).alias("needle"))
         .filter((F.col("needle") != "") & (F.length("needle") <= longest))
         .distinct()
     )
-    anchors = _anchors(wanted)
-    sizes = anchors.agg(F.collect_set("size")).scalar()
+    anchors = cut_lineage(_anchors(wanted))
+    kinds = anchors.agg(F.collect_set("kind")).scalar()
     hay = texts.select(F.col(text_id), F.col(text).alias("_text")).filter("_text <> ''")
-    runs = F.array().cast("array<bigint>")
-    for size in GRAM_SIZES:
-        here = F.when(F.array_contains("_sizes", size), _runs(F.col("_text"), size))
-        runs = F.concat(runs, F.coalesce(here, F.array().cast("array<bigint>")))
-    hay = hay.withColumn("_sizes", sizes)
+    hay = hay.withColumn("_kinds", kinds)
+    none = F.array().cast("array<bigint>")
+    runs = F.concat(
+        *[
+            F.when(F.array_contains("_kinds", kind), _runs(F.col("_text"), kind)).otherwise(none)
+            for kind in (WORD, *GRAM_SIZES)
+        ]
+    )
     if measured_bytes(wanted) <= broadcast_limit:
         hits = hay.withColumn("gram", F.explode(runs)).join(F.broadcast(anchors), "gram")
         return hits.filter(F.contains("_text", "needle")).select(text_id, "needle")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions.text import trim_ws
 from harrow.operators.containment import contained_pairs
-from harrow.session import BROADCAST_LIMIT
+from harrow.session import BROADCAST_LIMIT, cut_lineage
 
 
 def title_index(programs: DataFrame, key: str = "id", name: str = "program_name") -> DataFrame:
@@ -53,10 +53,14 @@ def link_documents(
     name: str = "program_name",
     broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Every document with program_id and match_kind: exact, partial or none."""
-    titles = title_index(programs, key, name)
+    """Every document with program_id and match_kind: exact, partial or none.
+
+    The distinct titles on both sides are read several times, so they are
+    written once to the shared folder; the documents are read twice.
+    """
+    titles = cut_lineage(title_index(programs, key, name))
     exact = link_exact(docs, titles, title).withColumnRenamed("program_id", "_exact")
-    left_over = (
+    left_over = cut_lineage(
         exact.filter(F.col("_exact").isNull()).select(F.lower(title).alias("doc_title")).distinct()
     )
     partial = link_contains(left_over, titles, broadcast_limit).select(

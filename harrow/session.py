@@ -50,9 +50,15 @@ def new_run_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so lost executors cost no recompute chain."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written once as a table in the shared folder and read back from there.
+
+    Lost executors cost no recomputation, later readers prune columns, and the
+    planner knows the size.
+    """
+    spark = df.sparkSession
+    path = new_run_dir(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def measured_bytes(df: DataFrame) -> int:
