@@ -109,13 +109,18 @@ def over_threshold(
     as_of: str | None = None,
     within_days: int | None = None,
 ) -> DataFrame:
-    """Value at or above a minimum and/or a day at most within_days away (and not past)."""
+    """Value at or above a minimum and/or a day at most within_days away (and not past).
+
+    The days are two bounds on the column itself, which the scan can use.
+    """
     out = df
     if value is not None and minimum is not None:
         out = out.filter(F.col(value) >= minimum)
     if day is not None and within_days is not None:
-        left = F.datediff(F.col(day), F.lit(as_of).cast("date"))
-        out = out.filter(left.between(0, within_days))
+        kind = df.schema[day].dataType
+        first = F.lit(as_of).cast("date")
+        end = F.date_add(first, within_days + 1)
+        out = out.filter((F.col(day) >= first.cast(kind)) & (F.col(day) < end.cast(kind)))
     return out
 
 

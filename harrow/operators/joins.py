@@ -12,15 +12,26 @@ from harrow.session import broadcast_if_small
 from harrow.vocab import ANSWERS, DEFAULT_ANSWER, DEFAULT_PROGRAM, LOCATION_PROGRAMS
 
 
+def _with_children(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """parents LEFT JOIN children on id = program_id, as matched rows plus childless parents.
+
+    One parent may own a large share of the children. An inner join can be
+    split on that key at run time; the child side of an outer join cannot.
+    """
+    owners = children.select("program_id").distinct()
+    matched = parents.join(children, parents["id"] == children["program_id"])
+    alone = parents.join(owners, parents["id"] == owners["program_id"], "left_anti")
+    return matched.drop("program_id").unionByName(alone, allowMissingColumns=True)
+
+
 def with_documents(programs: DataFrame, docs: DataFrame) -> DataFrame:
     """Programs with their documents, one row per document; programs without keep one row."""
-    return programs.join(docs, programs["id"] == docs["program_id"], "left").drop("program_id")
+    return _with_children(programs, docs)
 
 
 def with_attributes(programs: DataFrame, attributes: DataFrame) -> DataFrame:
-    return programs.join(
-        attributes, programs["id"] == attributes["program_id"], "left"
-    ).drop("program_id")
+    """Programs with their attributes, one row per attribute; programs without keep one row."""
+    return _with_children(programs, attributes)
 
 
 def doc_counts(programs: DataFrame, docs: DataFrame) -> DataFrame:

@@ -203,6 +203,8 @@ def with_payload(df: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def retain(df: DataFrame, time: str, as_of: str, days: int = 365) -> DataFrame:
-    """History rows of the last days before as_of."""
-    start = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
-    return df.filter(F.col(time) >= start)
+    """History rows from midnight the given days before as_of. The bound has the column's own type,
+    so it is pushed into the scan.
+    """
+    start = F.lit(as_of).cast("date") - F.expr(f"INTERVAL {days} DAYS")
+    return df.filter(F.col(time) >= start.cast(df.schema[time].dataType))

@@ -13,10 +13,8 @@ from harrow.sources.schemas import FEED_ITEM, MANIFEST
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table by name. Zone-less timestamps are read as UTC instants."""
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({n: F.col(n).cast("timestamp") for n in ntz}) if ntz else df
+    """A Parquet table by name, as stored, so that filters on any column reach the scan."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def spread_single_file(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def micros(column: str):
+    """A time as microseconds since 1970, read as UTC when it carries no zone."""
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 WS = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harrow.operators import reshape, windows
 from harrow.sources.readers import load
 from registry.bindings import CALLS, PROGRAMS, RECORDS, cte, frame
-from registry.core import edits, query
+from registry.core import edits, micros, query
 
 
 @query(
@@ -17,7 +17,7 @@ from registry.core import edits, query
 )
 def keep_latest(spark, d):
     latest = windows.keep_latest(load(spark, d, "events"), "user_id", ["ts"], "event_id")
-    return latest.select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("micros"))
+    return latest.select("user_id", "event_id", "event_type", micros("ts").alias("micros"))
 
 
 @query(

@@ -15,7 +15,7 @@ from harrow.vocab import PRECEDENCE
 from registry.bindings import cte, frame
 from registry.core import canonical_url as canonical_sql
 from registry.core import host as host_sql
-from registry.core import edits, norm, query, strip_html
+from registry.core import edits, micros, norm, query, strip_html
 
 # Records of three sources merged by the customer they belong to.
 SOURCED = """
@@ -71,8 +71,8 @@ def survive_by_precedence(spark, d):
     out = survive(_sourced(spark, d), "cluster", rules)
     return out.withColumns(
         {
-            "published_at": F.unix_micros("published_at"),
-            "close_date": F.unix_micros("close_date"),
+            "published_at": micros("published_at"),
+            "close_date": micros("close_date"),
             "amount": F.col("amount").cast("double"),
             "tags": F.array_join("tags", "|"),
         }
@@ -102,7 +102,7 @@ def survive_by_date(spark, d):
     }
     out = survive(_sourced(spark, d), "cluster", rules)
     return out.withColumns(
-        {"amount": F.col("amount").cast("double"), "close_date": F.unix_micros("close_date")}
+        {"amount": F.col("amount").cast("double"), "close_date": micros("close_date")}
     )
 
 

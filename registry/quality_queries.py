@@ -16,7 +16,7 @@ from harrow.vocab import (
     TERRITORY_HEADERS,
 )
 from registry.bindings import PROGRAM_DOCS, PROGRAMS, cte, frame
-from registry.core import filled, first_filled, query, trim
+from registry.core import filled, first_filled, micros, query, trim
 
 LOADED = "2025-10-12 00:00:00"
 
@@ -73,7 +73,7 @@ def import_territory_rows(spark, d):
     good, _ = import_rows(
         _territory_rows(spark, d), TERRITORY_HEADERS, LOADED, keep=["country", "source_sheet"]
     )
-    return good.select("id", *_SHOWN, F.unix_micros("imported_at").alias("imported_at"))
+    return good.select("id", *_SHOWN, micros("imported_at").alias("imported_at"))
 
 
 @query(

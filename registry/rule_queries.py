@@ -20,7 +20,7 @@ from harrow.vocab import (
     dimensions,
 )
 from registry.bindings import FORMS, RECORDS, cte, frame
-from registry.core import canonical_url, filled, first_filled, query, trim
+from registry.core import micros, canonical_url, filled, first_filled, query, trim
 
 
 def _q(s: str) -> str:
@@ -327,8 +327,8 @@ def latest_open_records(spark, d):
     out = open_latest(frame(spark, d, RECORDS))
     return out.withColumns(
         {
-            "published_at": F.unix_micros(F.col("published_at").cast("timestamp")),
-            "close_date": F.unix_micros(F.col("close_date").cast("timestamp")),
+            "published_at": micros("published_at"),
+            "close_date": micros("close_date"),
             "funding_amount": F.col("funding_amount").cast("double"),
         }
     )

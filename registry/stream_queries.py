@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harrow.operators.rules import route
 from harrow.session import new_run_dir
 from harrow.streaming import jobs
-from registry.core import query
+from registry.core import micros, query
 
 
 def _events(spark, d):
@@ -24,7 +24,7 @@ def stream_items(spark, d):
     out = new_run_dir(spark, "items")
     jobs.run_to_files(_events(spark, d), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").select(
-        "event_id", "event_type", F.unix_micros("ts").alias("micros")
+        "event_id", "event_type", micros("ts").alias("micros")
     )
 
 
@@ -45,7 +45,7 @@ def daily_counts(spark, d):
     from harrow.sources.readers import load
 
     counts = jobs.daily_counts(load(spark, d, "events"), "ts", "event_type")
-    return counts.withColumn("day", F.unix_micros("day"))
+    return counts.withColumn("day", micros("day"))
 
 
 # A day is given out once the watermark, two days behind the newest event, has passed its end.
@@ -58,7 +58,7 @@ def stream_daily_counts(spark, d):
     out = new_run_dir(spark, "daily")
     counts = jobs.stream_daily_counts(_events(spark, d), "ts", "event_type")
     jobs.run_to_files(counts, f"{out}/data", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/data").withColumn("day", F.unix_micros("day"))
+    return spark.read.parquet(f"{out}/data").withColumn("day", micros("day"))
 
 
 @query(
