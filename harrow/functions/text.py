@@ -10,11 +10,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space characters that text trimming removes.
+# The white space characters that text trimming removes, as a regular
+# expression class and as the characters themselves.
 WS = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
+WS_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # HTML entities decoded by clean_text. The ampersand comes last.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -58,7 +63,12 @@ def first_filled_labelled(labelled: Mapping[str, Column | str]) -> Column:
 
 def trim_ws(c: Column | str) -> Column:
     """Strip every kind of white space at both ends (Spark's trim strips spaces only)."""
-    return F.regexp_replace(_col(c), rf"^{WS}+|{WS}+\z", "")
+    return F.trim(_col(c), F.lit(WS_CHARS))
+
+
+def has_text(c: Column | str) -> Column:
+    """Filled with something other than white space; stops at the first such character."""
+    return F.coalesce(_col(c).cast("string").rlike(WS.replace("[", "[^", 1)), F.lit(False))
 
 
 def collapse_ws(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrow.functions.text import contains_any, filled, split_list, trim_ws
+from harrow.functions.text import contains_any, filled, has_text, split_list
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -45,7 +45,7 @@ def search_literal(df: DataFrame, query: str | None, columns: Sequence[str]) ->
 
 def drop_blank(df: DataFrame, column: str, trimmed: bool = True) -> DataFrame:
     """Rows whose value is filled, after trimming unless trimmed=False."""
-    return df.filter(filled(trim_ws(column) if trimmed else column))
+    return df.filter(has_text(column) if trimmed else filled(column))
 
 
 def filter_any_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.text import blank_to_null, trim_ws
+from harrow.functions.text import blank_to_null, has_text
 from harrow.session import broadcast_if_small
 from harrow.vocab import ANSWERS, DEFAULT_ANSWER, DEFAULT_PROGRAM, LOCATION_PROGRAMS
 
@@ -114,7 +114,7 @@ def answer_lookup(messages: DataFrame, text: str, answers: Mapping = ANSWERS) ->
         [(q, intent, a) for q, (intent, a) in answers.items()],
         "question string, intent string, answer string",
     )
-    asked = messages.filter(trim_ws(text) != "")
+    asked = messages.filter(has_text(text))
     return (
         asked.join(F.broadcast(table), F.col(text) == F.col("question"), "left")
         .withColumn("answer", F.coalesce("answer", F.lit(DEFAULT_ANSWER)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.text import trim_ws
+from harrow.functions.text import has_text
 from harrow.operators.containment import contained_pairs
 from harrow.session import BROADCAST_LIMIT, cut_lineage
 
@@ -13,7 +13,7 @@ from harrow.session import BROADCAST_LIMIT, cut_lineage
 def title_index(programs: DataFrame, key: str = "id", name: str = "program_name") -> DataFrame:
     """(title, program_id) by folded title. Of equal titles the smallest id counts; blanks are out."""
     return (
-        programs.filter(trim_ws(name) != "")
+        programs.filter(has_text(name))
         .groupBy(F.lower(name).alias("title"))
         .agg(F.min(key).alias("program_id"))
     )
@@ -32,7 +32,7 @@ def link_contains(
 
     wanted holds distinct folded document titles as doc_title.
     """
-    asked = wanted.filter(trim_ws("doc_title") != "")
+    asked = wanted.filter(has_text("doc_title"))
     inside = contained_pairs(titles, "title", asked, "doc_title", "doc_title", broadcast_limit)
     around = contained_pairs(
         asked, "doc_title", titles.select("title"), "title", "title", broadcast_limit

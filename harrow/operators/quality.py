@@ -7,17 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.text import filled, trim_ws
+from harrow.functions.text import filled, has_text
 
 Rules = Mapping[str, Column]
 
 
 def required(columns: Sequence[str]) -> dict[str, Column]:
     """Rule name -> condition that must hold: each column is filled after trimming."""
-    return {
-        f"missing {c}": F.coalesce(filled(trim_ws(F.col(c).cast("string"))), F.lit(False))
-        for c in columns
-    }
+    return {f"missing {c}": has_text(c) for c in columns}
 
 
 def required_any(columns: Sequence[str]) -> dict[str, Column]:

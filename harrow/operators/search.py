@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.text import tokens
+from harrow.session import BROADCAST_LIMIT, cut_lineage, measured_bytes
 
 
 def _score(weights: Mapping[str, float], terms: Column) -> Column:
@@ -41,37 +42,41 @@ def search_tokens(
 
 
 def token_index(df: DataFrame, key: str, weights: Mapping[str, int]) -> DataFrame:
-    """Inverted table (term, key, weight): the summed weight of the fields holding the term."""
+    """Inverted table (term, key, weight): the summed weight of the fields holding the term.
 
-    def postings(c: str, weight: int) -> Column:
-        return F.transform(
-            tokens(c), lambda t: F.struct(t.alias("term"), F.lit(int(weight)).alias("w"))
-        )
-
-    fields = F.concat(*[postings(c, w) for c, w in weights.items()])
-    return (
-        df.select(key, F.explode(fields).alias("p"))
-        .groupBy(F.col("p.term").alias("term"), key)
-        .agg(F.sum("p.w").alias("weight"))
+    The key is unique, so a row's postings follow from the row alone and
+    nothing is shuffled.
+    """
+    rows = df.select(key, *[tokens(c).alias(f"_t{i}") for i, c in enumerate(weights)])
+    fields = [F.col(f"_t{i}") for i in range(len(weights))]
+    terms = F.array_distinct(F.concat(*fields))
+    weight = sum(
+        (F.array_contains(f, F.col("term")).cast("bigint") * w)
+        for f, w in zip(fields, weights.values())
     )
+    return rows.withColumn("term", F.explode(terms)).select("term", key, weight.alias("weight"))
 
 
 def search_index(
-    index: DataFrame, queries: DataFrame, key: str, salts: int = 16
+    index: DataFrame, queries: DataFrame, key: str, limit: int = BROADCAST_LIMIT, salts: int = 16
 ) -> DataFrame:
     """All words of many queries at once: (query_id, key, matched_terms, score), rows with every word.
 
-    queries holds (query_id, query). Postings of a common word are spread over
-    salts, so one word never sits in one task.
+    queries holds (query_id, query). Query words within the broadcast limit are
+    looked up while the postings stream by. More of them are joined by word,
+    with the postings of a word spread over salts, so that a common word never
+    sits in one task.
     """
-    words = queries.select("query_id", F.explode(tokens("query")).alias("term"))
+    words = cut_lineage(queries.select("query_id", F.explode(tokens("query")).alias("term")))
     needed = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    salted = words.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    postings = index.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    hits = (
-        postings.join(salted, ["term", "_s"])
-        .groupBy("query_id", key)
-        .agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("weight").alias("score"))
+    if measured_bytes(words) <= limit:
+        joined = index.join(F.broadcast(words), "term")
+    else:
+        salted = words.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        postings = index.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        joined = postings.join(salted, ["term", "_s"])
+    hits = joined.groupBy("query_id", key).agg(
+        F.count(F.lit(1)).alias("matched_terms"), F.sum("weight").alias("score")
     )
     return (
         hits.join(needed, "query_id")

@@ -49,9 +49,9 @@ def mark_superseded(df: DataFrame, key: str, times: Sequence[str], row_id: str)
 
 
 def _chunk(time: str, seconds: int) -> Column:
-    """Time slice number. Rows without a time share the slice before all others."""
+    """Start of the time slice. Rows without a time share the slice before all others."""
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    return F.coalesce(F.floor(micros / F.lit(seconds * 1_000_000)), F.lit(-(2**62))).cast("bigint")
+    return F.coalesce(micros - F.pmod(micros, F.lit(seconds * 1_000_000)), F.lit(-(2**62)))
 
 
 def with_previous(

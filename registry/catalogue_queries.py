@@ -119,10 +119,10 @@ def sorted_by_deadline_top(spark, d):
 
 @query("sorted_locale_aware_top")
 def sorted_locale_aware_top(spark, d):
-    named = load(spark, d, "documents").select(
-        F.col("doc_id").alias("id"),
-        F.col("lang").alias("country"),
-        F.regexp_extract("text", r"^\S+", 0).alias("program_name"),
+    named = load(spark, d, "pages").select(
+        F.col("page_id").alias("id"),
+        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("country"),
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("program_name"),
     )
     return sorting.sort_catalog(named, "name", locale=True).limit(100)
 

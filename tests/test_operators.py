@@ -156,8 +156,7 @@ def _distance(a, b):
     return prev[-1]
 
 
-@pytest.mark.parametrize("threshold", [0.67, 0.75, 0.86, 0.88, 1.0])
-@pytest.mark.parametrize("hot", [3, 2000])
+@pytest.mark.parametrize("threshold, hot", [(0.67, 3), (0.75, 2000), (0.86, 3), (0.88, 2000), (1.0, 3)])
 def test_fuzzy_equals_all_pairs(spark, threshold, hot, monkeypatch):
     monkeypatch.setattr(fuzzy, "HOT_KEY", hot)
     rng = random.Random(int(threshold * 100))
@@ -338,13 +337,14 @@ def test_rules(spark):
     assert rows(rules.route(sent), "destination") == [("alerts_updates",), ("index_grants",), ("queue_ams",)]
 
 
-def test_search_index_equals_single_queries(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_search_index_equals_single_queries(spark, limit):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, _words(rng, 12), _words(rng, 3)) for i in range(80)], "id int, title string, tags string")
     asked = {1: "the soil", 2: "Été of x", 3: "nothing", 4: "agri"}
     index = search.token_index(docs, "id", {"title": 3, "tags": 1})
     queries = spark.createDataFrame(list(asked.items()), "query_id int, query string")
-    got = rows(search.search_index(index, queries, "id"), "query_id", "id", "score")
+    got = rows(search.search_index(index, queries, "id", limit), "query_id", "id", "score")
     want = sorted(
         (q, r["id"], r["score"])
         for q, text in asked.items()
