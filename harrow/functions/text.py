@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,7 +117,9 @@ def parse_count(c: Column | str) -> Column:
 
 
 def has_email(c: Column | str) -> Column:
-    return F.coalesce(_col(c).rlike(r"\S+@\S+\.\S+"), F.lit(False))
+    # The cheap test first: most texts have no at sign at all.
+    at = F.contains(_col(c), F.lit("@"))
+    return F.coalesce(at & _col(c).rlike(r"\S+@\S+\.\S+"), F.lit(False))
 
 
 def valid_phone(c: Column | str) -> Column:
@@ -153,11 +156,12 @@ def split_list(c: Column | str, separator: str = ";") -> Column:
 
 def contains_any(c: Column | str, terms: list[str]) -> Column:
     """Case-folded containment of any of the literal terms; false for NULL text."""
-    text = F.lower(_col(c))
-    hits = [text.contains(t.lower()) for t in terms if t]
-    if not hits:
+    wanted = [t.lower() for t in terms if t]
+    if not wanted:
         return F.lit(False)
-    out = hits[0]
-    for h in hits[1:]:
-        out = out | h
-    return F.coalesce(out, F.lit(False))
+
+    def any_of(text: Column) -> Column:
+        hits = [F.contains(text, F.lit(t)) for t in wanted]
+        return reduce(lambda a, b: a | b, hits)
+
+    return F.coalesce(let(F.lower(_col(c)), any_of), F.lit(False))

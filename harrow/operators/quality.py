@@ -25,6 +25,13 @@ def required_any(columns: Sequence[str]) -> dict[str, Column]:
     return {"missing " + " or ".join(columns): out}
 
 
+def in_vocabulary(allowed: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """Each column is blank or one of its allowed words."""
+    return {
+        f"{c} not in vocabulary": ~filled(c) | F.col(c).isin(*words) for c, words in allowed.items()
+    }
+
+
 def spec_rules(spec: Mapping) -> dict[str, Column]:
     """Rules from a JSON-Schema-like object: required, and per property enum, const, minimum."""
     rules = required(spec.get("required", []))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.text import tokens
+from harrow.functions.text import let, tokens
 from harrow.session import BROADCAST_LIMIT, cut_lineage, measured_bytes
 
 
@@ -34,8 +34,12 @@ def search_tokens(
     everything = F.concat_ws(" ", *[F.col(c) for c in weights])
     held = F.size(F.array_intersect(tokens(everything), terms))
     wanted = F.size(terms) if match == "all" else F.lit(1)
+    # A text lacking a word as a substring lacks it as a word: no need to cut it into words.
+    each = F.forall if match == "all" else F.exists
+    possible = let(F.lower(everything), lambda text: each(terms, lambda t: F.contains(text, t)))
     return (
-        df.withColumn("matched_terms", held)
+        df.filter(possible)
+        .withColumn("matched_terms", held)
         .filter((F.col("matched_terms") >= wanted) & (F.col("matched_terms") > 0))
         .withColumn("score", _score(weights, terms))
     )

@@ -143,8 +143,8 @@ def survive(
     """One row per key with every field by its rule.
 
     A rule is a name from RULES, 'union_unique' for list fields, or a list of
-    sources: the first of them that has a value gives it (the newest in it),
-    and sources outside the list give nothing.
+    sources: the first of them that has a value gives it (its earliest
+    published one), and sources outside the list give nothing.
     """
     o = Order(rank, time, record)
     plain, unions = [], []
@@ -156,7 +156,7 @@ def survive(
             plain.append(RULES[rule](v, ok, o).alias(field))
         else:
             own = source_rank(source, rule)
-            plain.append(_best(v, ok & (own < LAST_RANK), own, o.newest, o.record).alias(field))
+            plain.append(_best(v, ok & (own < LAST_RANK), own, o.oldest, o.record).alias(field))
     out = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_records"), *plain)
     for field in unions:
         values = (

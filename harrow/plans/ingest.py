@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 from harrow.functions.keys import stable_key
 from harrow.functions.text import blank_to_null
 from harrow.operators.columns import map_headers, with_constants, with_load_columns
-from harrow.operators.quality import required, required_any, split_valid
-from harrow.vocab import PROGRAM_COLUMNS, REQUIRED_PROGRAM_COLUMNS
+from harrow.operators.quality import (
+    in_vocabulary,
+    required,
+    required_any,
+    split_valid,
+    validate,
+)
+from harrow.vocab import (
+    FUNDING_TYPES,
+    JURISDICTION_LEVELS,
+    PROGRAM_COLUMNS,
+    REQUIRED_PROGRAM_COLUMNS,
+    STATUSES,
+)
 
 
 def import_rows(
@@ -52,3 +64,13 @@ def import_canonical(
     keyed = docs.withColumn("doc_id", stable_key("program_id", "display_name", place))
     good_docs, bad_docs = split_valid(keyed, required_any(["file_name", "source_url"]))
     return good.withColumn("search_text", search), bad, good_docs, bad_docs
+
+
+def audit_canonical(programs: DataFrame) -> DataFrame:
+    """Programs whose level, status or funding type is no word of its vocabulary, with reasons."""
+    words = {
+        "jurisdiction_level": JURISDICTION_LEVELS,
+        "status": STATUSES,
+        "funding_type": FUNDING_TYPES,
+    }
+    return validate(programs, in_vocabulary(words)).filter(F.size("failed_rules") > 0)

@@ -8,14 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.keys import day_bucket
-from harrow.functions.text import blank_to_null
+from harrow.functions.keys import composite_key, day_bucket, primary_key
+from harrow.functions.money import normalize_money
+from harrow.functions.text import blank_to_null, clean_text, first_filled
 from harrow.functions.urls import TRACKING_PARAMS, canonical_url, host
 from harrow.operators.clusters import with_clusters
 from harrow.operators.fuzzy import match_edges
 from harrow.operators.reshape import union_sources
 from harrow.operators.survivorship import source_rank, survive
-from harrow.operators.windows import keep_latest, mark_superseded
+from harrow.operators.windows import diff_history, keep_latest, mark_superseded, retain
 from harrow.session import cut_lineage
 
 
@@ -27,7 +28,9 @@ class Policy:
     id_pattern: record number inside the link or title; its group 1 equals the
     number column of the record it refers to. kind: column whose values never
     merge with each other. day_sources: sources whose records of one key stay
-    apart when published on different days.
+    apart when published on different days. money: text field -> (locale,
+    decimal places) it is read with. cleaned: text fields stripped of markup.
+    audited: fields whose changes are kept, for history_days.
     """
 
     precedence: Sequence[str]
@@ -38,6 +41,50 @@ class Policy:
     day_sources: Sequence[str] = ()
     aliases: Mapping[str, str] = field(default_factory=dict)
     tracking: Sequence[str] = TRACKING_PARAMS
+    money: Mapping[str, tuple[str, int]] = field(default_factory=dict)
+    cleaned: Sequence[str] = ()
+    audited: Sequence[str] = ()
+    history_days: int = 365
+
+
+@dataclass(frozen=True)
+class SourceKey:
+    """How records of one source are identified.
+
+    ids: id columns, best first. parts: what is hashed when they are blank
+    (column -> url, text or raw). second: the same for a secondary key. urls:
+    columns holding the link, best first. by_day: records of one key stay
+    apart when published on different days.
+    """
+
+    ids: Sequence[str] = ()
+    parts: Mapping[str, str] = field(default_factory=dict)
+    second: Mapping[str, str] = field(default_factory=dict)
+    urls: Sequence[str] = ("link",)
+    by_day: bool = False
+
+
+def with_keys(df: DataFrame, spec: SourceKey, record: str = "record_id") -> DataFrame:
+    """Adds key, second_key and link to the records of one source."""
+    second = composite_key(spec.second) if spec.second else F.lit(None).cast("string")
+    return df.withColumns(
+        {
+            "key": primary_key(spec.ids, spec.parts, record),
+            "second_key": second,
+            "link": first_filled(*spec.urls),
+        }
+    )
+
+
+def normalize_fields(df: DataFrame, policy: Policy) -> DataFrame:
+    """Money texts as numbers and marked-up texts as plain ones, for the columns present."""
+    money = {
+        c: normalize_money(c, locale, places)
+        for c, (locale, places) in policy.money.items()
+        if c in df.columns
+    }
+    cleaned = {c: clean_text(c) for c in policy.cleaned if c in df.columns}
+    return df.withColumns({**money, **cleaned}) if money or cleaned else df
 
 
 def prepare(frames: Sequence[DataFrame], policy: Policy) -> DataFrame:
@@ -47,7 +94,7 @@ def prepare(frames: Sequence[DataFrame], policy: Policy) -> DataFrame:
     number, title, link, published_at and the fields of the policy.
     """
     url = canonical_url("link", policy.aliases, policy.tracking)
-    records = union_sources(frames).withColumn("canonical_url", url)
+    records = normalize_fields(union_sources(frames), policy).withColumn("canonical_url", url)
     return records.withColumns(
         {"host": host("canonical_url"), "rank": source_rank("source", policy.precedence)}
     )
@@ -96,6 +143,15 @@ def merge_sources(frames: Sequence[DataFrame], policy: Policy) -> DataFrame:
     return survive(clustered, "cluster", policy.fields)
 
 
+def audit_history(
+    snapshots: DataFrame, key: str, time: str, policy: Policy, as_of: str
+) -> DataFrame:
+    """Field changes between kept snapshots of merged records: (key, time, field, old, new)."""
+    kept = retain(snapshots, time, as_of, policy.history_days)
+    fields = [c for c in policy.audited if c in snapshots.columns]
+    return diff_history(kept, key, [time], fields)
+
+
 def latest_publish_wins(
     records: DataFrame, key: str, fields: Mapping[str, str], record: str = "record_id"
 ) -> tuple[DataFrame, DataFrame]:

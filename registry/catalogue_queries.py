@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from harrow.functions.dates import days_until, deadline_status
 from harrow.functions.text import has_email, is_uuid, valid_phone
 from harrow.operators import columns as cols
 from harrow.operators import filters, joins, sorting
 from harrow.plans.catalogue import SEARCHED, browse, catalog_query
 from harrow.plans.deadlines import deadline_calendar
-from harrow.sources.readers import load
+from harrow.sources.readers import load, spread_single_file
 from harrow.sources.writers import export_nested
 from harrow.operators.reshape import sweep_attributes
-from harrow.vocab import FUNDING_TERMS, HELP_TERRITORIES  # noqa: F401
 from registry.bindings import PROGRAM_DOCS, PROGRAMS, frame, cte
 from registry.core import filled, first_filled, query, trim
 
@@ -192,7 +192,7 @@ def children_of_program(spark, d):
         FROM documents""",
 )
 def contact_predicates(spark, d):
-    docs = load(spark, d, "documents")
+    docs = spread_single_file(load(spark, d, "documents"))
     return docs.select(
         "doc_id",
         has_email("text").alias("email"),
@@ -222,7 +222,7 @@ def contact_addresses(spark, d):
     + " OR ".join(f"contains(lower(text), '{t}')" for t in ("ingreat", "lichkeit", "ciónmente", "aux la")),
 )
 def include_any_terms(spark, d):
-    docs = load(spark, d, "documents")
+    docs = spread_single_file(load(spark, d, "documents"))
     return filters.include_any(docs, ["text"], ["ingreat", "Lichkeit", "CIÓNmente", "aux la"]).select("doc_id")
 
 
@@ -478,8 +478,6 @@ def calendar_90(spark, d):
         SELECT date_diff('day', DATE '1998-06-01', cast(o_orderdate AS DATE)) AS d FROM orders) GROUP BY 1""",
 )
 def orders_deadline_buckets(spark, d):
-    from harrow.functions.dates import days_until, deadline_status
-
     days = days_until("o_orderdate", "1998-06-01")
     return (
         load(spark, d, "orders")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.functions.keys import primary_key
-from harrow.functions.urls import canonical_url
-from harrow.operators.clusters import with_clusters
+from harrow.functions.urls import host
+from harrow.operators.clusters import connected_components, with_clusters
 from harrow.operators.fuzzy import match_edges
 from harrow.operators.survivorship import source_rank, survive
 from harrow.plans.merge import Policy, latest_publish_wins, merge_sources
+from harrow.plans.policies import POLICIES
 from harrow.sources.readers import load
-from harrow.vocab import PRECEDENCE
 from registry.bindings import cte, frame
 from registry.core import canonical_url as canonical_sql
 from registry.core import host as host_sql
@@ -33,7 +33,7 @@ _RANK = "CASE source WHEN 'gets_tender' THEN 0 WHEN 'mpi_rss' THEN 1 WHEN 'beehi
 
 
 def _sourced(spark, d):
-    rows = frame(spark, d, SOURCED).withColumn("rank", source_rank("source", PRECEDENCE["NZ"]))
+    rows = frame(spark, d, SOURCED).withColumn("rank", source_rank("source", POLICIES["NZ"].precedence))
     return rows.withColumn("tags", F.array("tag"))
 
 
@@ -88,7 +88,7 @@ def survive_by_precedence(spark, d):
         {_pick('description', "coalesce(description, '') <> ''", 'published_at IS NULL, published_at DESC, length(seen) DESC, record_id')} AS description,
         epoch_us(max(close_date)) AS close_date,
         {_pick('tag', 'true', 'rank, length(tag) DESC, tag')} AS tag,
-        {_pick('status', "source IN ('beehive_rss', 'elsewhere')", "source <> 'beehive_rss', published_at IS NULL, published_at DESC, record_id")} AS status
+        {_pick('status', "source IN ('beehive_rss', 'elsewhere')", "source <> 'beehive_rss', published_at IS NULL, published_at, record_id")} AS status
         FROM r GROUP BY cluster""",
 )
 def survive_by_date(spark, d):
@@ -129,8 +129,6 @@ _CLOSURE = _NODES.replace("WITH ", "WITH RECURSIVE ", 1) + """, reach(id, other)
 
 @query("title_clusters", _CLOSURE + "SELECT id AS page_id, min(other) AS cluster FROM reach GROUP BY 1")
 def title_clusters(spark, d):
-    from harrow.functions.urls import host
-
     pages = frame(spark, d, _PAGES).withColumn("host", host("url"))
     links = match_edges(pages, "page_id", "title", ["host"], 0.86)
     return with_clusters(pages, "page_id", links).select("page_id", "cluster")
@@ -144,8 +142,6 @@ def title_clusters(spark, d):
        SELECT id, min(other) AS cluster FROM reach GROUP BY 1""",
 )
 def shared_key_clusters(spark, d):
-    from harrow.operators.clusters import connected_components
-
     orders = load(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
     lines = load(spark, d, "lineitem").filter("l_quantity > 49 AND l_returnflag = 'A'")
     links = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
@@ -196,7 +192,7 @@ def merged_sources(spark, d):
         )
 
     policy = Policy(
-        precedence=PRECEDENCE["NZ"],
+        precedence=POLICIES["NZ"].precedence,
         fields={
             "title": "latest_by_precedence",
             "amount": "latest_crawl",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harrow.operators import columns as cols
 from harrow.operators import quality
-from harrow.plans.ingest import import_canonical, import_rows
+from harrow.plans.ingest import audit_canonical, import_canonical, import_rows
 from harrow.sources.readers import load
 from harrow.vocab import (
     ALL_SHEETS_HEADERS,
@@ -193,6 +193,24 @@ def rejected_canonical_docs(spark, d):
     return bad.select("program_id", F.array_join("failed_rules", "; ").alias("reasons"))
 
 
+_LEVELS = """
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Federal' WHEN 1 THEN 'Provincial' WHEN 2 THEN 'federal' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'Local' END AS jurisdiction_level,
+  CASE c_custkey % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'rolling' WHEN 2 THEN 'Open' WHEN 3 THEN 'unknown' ELSE 'closed' END AS status,
+  CASE c_custkey % 4 WHEN 0 THEN 'grant' WHEN 1 THEN 'gift' WHEN 2 THEN 'cost_share' ELSE 'other' END AS funding_type FROM {customer}
+"""
+
+
+@query(
+    "canonical_vocabulary",
+    f"""{cte(t=_LEVELS)}, v AS (SELECT c_custkey, concat_ws('; ', CASE WHEN jurisdiction_level = 'federal' THEN 'jurisdiction_level not in vocabulary' END,
+          CASE WHEN status = 'Open' THEN 'status not in vocabulary' END, CASE WHEN funding_type = 'gift' THEN 'funding_type not in vocabulary' END) AS reasons FROM t)
+        SELECT * FROM v WHERE reasons <> ''""",
+)
+def canonical_vocabulary(spark, d):
+    found = audit_canonical(frame(spark, d, _LEVELS))
+    return found.select("c_custkey", F.array_join("failed_rules", "; ").alias("reasons"))
+
+
 # A record specification of the kind the validator takes.
 SPEC = {
     "properties": {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harrow.functions import dates, keys, money, text, urls
 from harrow.operators.survivorship import url_alternates
 from harrow.operators.windows import with_payload
-from harrow.sources.readers import load
+from harrow.sources.readers import load, spread_single_file
 from registry.bindings import PROGRAMS, RECORDS, cte, frame
 from registry.core import (
     bare_url,
@@ -22,6 +22,12 @@ from registry.core import (
     trim,
 )
 
+
+def _heavy(spark, d, name):
+    """A table for work that is heavy per row."""
+    return spread_single_file(load(spark, d, name))
+
+
 _PADDED = "concat(chr(9), ' ', p_name, '-', p_brand, '-', cast(p_size AS STRING), '  ', chr(10))"
 
 
@@ -51,7 +57,7 @@ def text_scalars(spark, d):
     f"""SELECT page_id, trim(regexp_replace({strip_html('html')}, '[\\s\\x0B\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g'), ' ') AS visible FROM pages""",
 )
 def clean_html(spark, d):
-    return load(spark, d, "pages").select("page_id", text.clean_text("html").alias("visible"))
+    return _heavy(spark, d, "pages").select("page_id", text.clean_text("html").alias("visible"))
 
 
 @query(
@@ -59,7 +65,7 @@ def clean_html(spark, d):
     f"SELECT doc_id, md5({norm('text')}) AS normal_md5 FROM documents",
 )
 def clean_documents(spark, d):
-    docs = load(spark, d, "documents")
+    docs = _heavy(spark, d, "documents")
     return docs.select("doc_id", F.md5(text.normalize_text("text")).alias("normal_md5"))
 
 
@@ -291,7 +297,7 @@ _SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-|
         regexp_replace(lower(source || ' ' || lang), '[ \\t]+', '-', 'g') AS test_id FROM documents""",
 )
 def slug_ids(spark, d):
-    docs = load(spark, d, "documents")
+    docs = _heavy(spark, d, "documents")
     return docs.select(
         "doc_id",
         keys.slug_id(F.lit("CA"), F.upper("lang"), "text").alias("slug_id"),
@@ -330,7 +336,7 @@ def payload_snapshots(spark, d):
     f"""SELECT doc_id, len({tokens('text')}) AS words FROM documents""",
 )
 def distinct_words(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.size(text.tokens("text")).cast("bigint").alias("words"))
+    return _heavy(spark, d, "documents").select("doc_id", F.size(text.tokens("text")).cast("bigint").alias("words"))
 
 
 @query(

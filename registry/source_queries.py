@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.operators.joins import attach_file_hash  # noqa: F401
 from harrow.session import new_run_dir
 from harrow.sources import readers, writers
 from harrow.sources.readers import load

@@ -21,7 +21,7 @@ from harrow.operators import (
     windows,
 )
 from harrow.operators.html import cards_of, extract_cards
-from harrow.vocab import LOCATION_PROGRAMS, LOCATIONS, MATRIX_KEYWORDS, MATRIX_REGIONS, dimension, dimensions
+from harrow.vocab import HELP_TERRITORIES, LOCATION_PROGRAMS, LOCATIONS, MATRIX_KEYWORDS, MATRIX_REGIONS, dimension, dimensions
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -98,6 +98,13 @@ def test_prefix_rules_agree(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_counts_keep_every_territory(spark):
+    dim = spark.createDataFrame([(t,) for t in HELP_TERRITORIES], "country string")
+    stats = aggregates.stats_by(spark.createDataFrame([("CA",), ("CA",), ("LATAM",)], "country string"), "country")
+    got = dict(rows(joins.counts_for(dim, stats, "country"), "*"))
+    assert got == {"CA": 2, "US": 0, "AU": 0, "NZ": 0, "BR": 0, "CL": 0}
+
+
 def test_request_matrix(spark):
     words = spark.createDataFrame([(k,) for k in MATRIX_KEYWORDS], "keyword string")
     out = joins.request_matrix(words, "keyword", MATRIX_REGIONS, "https://x/?k={keyword}&r={region}")

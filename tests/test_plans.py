@@ -7,7 +7,8 @@ from harrow.functions.keys import primary_key
 from harrow.operators.quality import cascade, orphans
 from harrow.plans.eligibility import check_eligibility, submission_pack
 from harrow.plans.ingest import import_rows
-from harrow.plans.merge import Policy, merge_sources
+from harrow.plans.merge import Policy, audit_history, merge_sources, with_keys
+from harrow.plans.policies import POLICIES, SOURCE_KEYS
 from harrow.session import cut_lineage, measured_bytes, new_run_dir, shared_dir
 from harrow.sources import readers, writers
 from harrow.sources.schemas import CANONICAL_DOCS, CANONICAL_PROGRAMS, OPPORTUNITY, PROGRAM_DOCS, PROGRAMS
@@ -158,6 +159,35 @@ def test_merge_does_not_depend_on_order(spark):
     ]
 
 
+def test_source_keys(spark):
+    tender = spark.createDataFrame(
+        [("1", "", "Soil  Works", "MPI", "2025", "2026", "https://www.gets.govt.nz/x?id=5"), ("2", "55", None, None, None, None, None)],
+        "record_id string, RFx_ID string, title string, organisation string, Open_Date string, Close_Date string, detail_url string",
+    )
+    got = {r.record_id: r for r in with_keys(tender, SOURCE_KEYS["gets_tender"]).collect()}
+    assert len(got["1"].key) == 40 and len(got["1"].second_key) == 40 and got["1"].link.endswith("id=5")
+    assert got["2"].key == "55" and got["2"].second_key is None and got["2"].link is None
+
+
+def test_chilean_policy_uses_its_own_source_order(spark):
+    data = [
+        ("1", "chilecompra", "k1", "7", "Riego", "https://www.fia.cl/a", "open", "call", "$1.000.000", 10),
+        ("2", "fia_calls", "k2", "", "Riego", "https://fia.cl/b", "closed", "call", "$9", 20),
+        ("3", "minagri_news", "k3", "", "Riego", "https://fia.cl/c", "news", "news", None, 5),
+    ]
+    df = spark.createDataFrame(data, "record_id string, source string, key string, number string, title string, link string, status string, record_type string, amount_local string, sec long")
+    df = df.withColumns({"published_at": F.timestamp_seconds("sec"), "deadline": F.lit("d"), "description": F.lit("t")})
+    got = rows(merge_sources([df], POLICIES["CL"]), "cluster", "n_records", "status", "amount_local")
+    assert [(r[0], r[1], r[2], r[3] and int(r[3])) for r in got] == [("1", 2, "open", 1_000_000), ("3", 1, "news", None)]
+
+
+def test_audit_history(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "b", 400), (1, "b", 500), (1, "c", 600)], "key int, title string, day int")
+    df = df.withColumn("seen_at", F.timestamp_seconds(F.col("day") * 86400))
+    got = audit_history(df, "key", "seen_at", POLICIES["NZ"], "1971-09-01")
+    assert rows(got, "field", "old_value", "new_value") == [("title", "b", "c")]
+
+
 def test_schemas():
     assert len(PROGRAMS) == 24 and len(PROGRAM_DOCS) == 11 and len(OPPORTUNITY) == 21
     assert len(CANONICAL_PROGRAMS) == 30 and len(CANONICAL_DOCS) == 12
