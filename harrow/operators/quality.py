@@ -25,6 +25,11 @@ def required_any(columns: Sequence[str]) -> dict[str, Column]:
     return {"missing " + " or ".join(columns): out}
 
 
+def well_formed(column: str = "_corrupt_record") -> dict[str, Column]:
+    """The line fitted its declared schema (see readers.read_records)."""
+    return {"malformed record": F.col(column).isNull()}
+
+
 def in_vocabulary(allowed: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     """Each column is blank or one of its allowed words."""
     return {

@@ -67,6 +67,12 @@ def read_rows_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
+def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines under a declared schema; a line that does not fit stays in _corrupt_record."""
+    wanted = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.option("mode", "PERMISSIVE").schema(wanted).json(path)
+
+
 def read_keyed_json(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """A JSON object of territory -> rows, flattened to (country, source_sheet, row map).
 

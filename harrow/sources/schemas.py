@@ -81,3 +81,42 @@ CANONICAL_DOCS = T.StructType(
     + [T.StructField("effective_date", T.DateType())]
     + _strings("sha256", "province_or_territory", "country", "notes").fields
 )
+
+OPEN_OPPORTUNITY = T.StructType(
+    _strings("id", "title", "source", "program", "sector", "status").fields
+    + [T.StructField("funding_amount_nzd", T.DoubleType())]
+    + _strings("deadline", "link", "publisher", "published_at").fields
+)
+
+PROGRAM_WITH_AMOUNT = T.StructType(
+    _strings("name", "jurisdiction", "source").fields
+    + [
+        T.StructField(
+            "amount",
+            T.StructType(
+                [
+                    T.StructField("min_aud", T.DoubleType()),
+                    T.StructField("max_aud", T.DoubleType()),
+                    T.StructField("notes", T.StringType()),
+                ]
+            ),
+        ),
+        T.StructField("eligible_applicants", T.ArrayType(T.StringType())),
+        T.StructField("citations", T.ArrayType(T.StringType())),
+    ]
+)
+
+# What valid records hold, for quality.spec_rules.
+OPEN_OPPORTUNITY_SPEC = {
+    "properties": {
+        "source": {"enum": ["rss", "page"]},
+        "sector": {"const": "agriculture"},
+        "status": {"enum": ["open"]},
+        "funding_amount_nzd": {"minimum": 0},
+    },
+    "required": ["id", "title", "sector", "status", "funding_amount_nzd", "link"],
+}
+
+PROGRAM_WITH_AMOUNT_SPEC = {
+    "required": ["name", "jurisdiction", "source", "amount", "eligible_applicants", "citations"],
+}

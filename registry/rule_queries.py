@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.functions.dates import days_until
-from harrow.operators import joins, reshape, rules
+from harrow.functions.money import DOLLAR_AMOUNT, extract_amount
+from harrow.operators import joins, quality, reshape, rules
 from harrow.plans.eligibility import check_eligibility, submission_pack
 from harrow.plans.opportunities import open_latest, opportunities
 from harrow.sources.readers import load
+from harrow.sources.schemas import OPEN_OPPORTUNITY_SPEC
 from harrow.vocab import (
     ANSWERS,
     APPLICANT_RULES,
@@ -306,6 +308,30 @@ def open_opportunities(spark, d):
     return out.withColumn("funding_amount_nzd", F.col("funding_amount_nzd").cast("double"))
 
 
+@query(
+    "validated_opportunities",
+    f"""{cte(items=ITEMS)}, t AS (SELECT *, {_SECTOR_SQL} AS sector, {_STATUS_SQL} AS status, {_NZD} AS amount FROM items)
+        SELECT p_partkey, concat_ws('; ', CASE WHEN sector IS NULL THEN 'missing sector' END, CASE WHEN status IS NULL THEN 'missing status' END,
+          CASE WHEN amount IS NULL THEN 'missing funding_amount_nzd' END, CASE WHEN link IS NULL THEN 'missing link' END,
+          CASE WHEN status <> 'open' THEN 'status not in vocabulary' END) AS reasons FROM t""",
+)
+def validated_opportunities(spark, d):
+    items = frame(spark, d, ITEMS)
+    named = F.when(F.col("title").contains("Primary Sector Growth Fund"), "agriculture")
+    records = items.select(
+        "p_partkey",
+        F.col("p_partkey").alias("id"),
+        "title",
+        "source",
+        F.coalesce(named, rules.infer_sector("title")).alias("sector"),
+        rules.infer_status("text").alias("status"),
+        extract_amount("text", "max", DOLLAR_AMOUNT).alias("funding_amount_nzd"),
+        "link",
+    )
+    checked = quality.validate(records, quality.spec_rules(OPEN_OPPORTUNITY_SPEC))
+    return checked.select("p_partkey", F.array_join("failed_rules", "; ").alias("reasons"))
+
+
 _AMT = (
     r"list_max(list_transform(regexp_extract_all(funding_text, '(\$?\s*[0-9][0-9,\.]{2,})', 1), "
     r"lambda x: try_cast(regexp_replace(x, '[\$,\s]', '', 'g') AS DECIMAL(18,2))))"

@@ -21,7 +21,7 @@ from harrow.operators import (
     windows,
 )
 from harrow.operators.html import cards_of, extract_cards
-from harrow.vocab import HELP_TERRITORIES, LOCATION_PROGRAMS, LOCATIONS, MATRIX_KEYWORDS, MATRIX_REGIONS, dimension, dimensions
+from harrow.vocab import FUNDING_TERMS, HELP_TERRITORIES, LOCATION_PROGRAMS, LOCATIONS, MATRIX_KEYWORDS, MATRIX_REGIONS, dimension, dimensions
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -335,6 +335,11 @@ def test_paths(spark):
     assert got == ["ok", "outside_root", "outside_root", "ok", "not_pdf", "bad_encoding", "ok", "missing", "outside_root", "bad_encoding"]
 
 
+def test_funding_terms(spark):
+    df = spark.createDataFrame([(1, "A Cost-Share plan", None), (2, None, "INSURANCE"), (3, "none", "")], "id int, title string, summary string")
+    assert rows(filters.include_any(df, ["title", "summary"], FUNDING_TERMS), "id") == [(1,), (2,)]
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("Open, later closed", 1), ("now closed", 2), ("", 3), (None, 4)], "text string, id int")
     assert [r[1] for r in rows(df.select("id", rules.infer_status("text").alias("s")), "id", "s")] == ["open", "closed", None, None]
@@ -377,6 +382,20 @@ def test_cards(spark):
     got = cards_of(CARDS, ".program-card", FIELDS)
     assert got[0] == {"title": "Honey & Bee", "href": "/p?a=1&b=2", "summary": "Onetwo three"}
     assert got[1] == {"title": "No link", "summary": ""}
+    table = """<body id=main class="x y"><table><tr><td>Close Date</td><td>1 May</td></tr><tr><td>Organisation
+    </td><td><b>MPI</b></td></tr></table><time datetime="2025-01-01">x</time><a href="/g.pdf">Applications open</a><a href="/h">h</a></body>"""
+    spec = {
+        "close": "td:contains('Close Date') + td::text",
+        "org": "h9::text, td:contains(\"Organisation\") + td",
+        "when": "time[datetime]::attr(datetime)",
+        "pdf": "a[href*='.pdf']::attr(href)",
+        "status": "*:contains('closed'), *:contains('open')::text",
+        "none": "tr + td",
+        "exact": "a[href='/h']",
+    }
+    assert cards_of(table, "#main.x.y, nothing", spec) == [
+        {"close": "1 May", "org": "MPI", "when": "2025-01-01", "pdf": "/g.pdf", "status": "Applications open", "exact": "h"}
+    ]
     assert cards_of(None, ".x", FIELDS) == [] and cards_of("<li>", "li", {}) == [{}]
     pages = spark.createDataFrame([(1, CARDS), (2, None), (3, "<p>")], "page_id int, html string")
     out = extract_cards(pages, ".program-card", FIELDS, keep=["page_id"])

@@ -4,14 +4,22 @@ import json
 
 import pytest
 from harrow.functions.keys import primary_key
-from harrow.operators.quality import cascade, orphans
+from harrow.operators.quality import cascade, orphans, spec_rules, split_valid, well_formed
 from harrow.plans.eligibility import check_eligibility, submission_pack
 from harrow.plans.ingest import import_rows
 from harrow.plans.merge import Policy, audit_history, merge_sources, with_keys
 from harrow.plans.policies import POLICIES, SOURCE_KEYS
 from harrow.session import cut_lineage, measured_bytes, new_run_dir, shared_dir
 from harrow.sources import readers, writers
-from harrow.sources.schemas import CANONICAL_DOCS, CANONICAL_PROGRAMS, OPPORTUNITY, PROGRAM_DOCS, PROGRAMS
+from harrow.sources.schemas import (
+    CANONICAL_DOCS,
+    CANONICAL_PROGRAMS,
+    OPPORTUNITY,
+    PROGRAM_DOCS,
+    PROGRAM_WITH_AMOUNT,
+    PROGRAM_WITH_AMOUNT_SPEC,
+    PROGRAMS,
+)
 from harrow.streaming import jobs
 from harrow.vocab import ALL_SHEETS_HEADERS, TERRITORIES, TERRITORY_HEADERS
 from pyspark.sql import functions as F
@@ -188,6 +196,16 @@ def test_audit_history(spark):
     assert rows(got, "field", "old_value", "new_value") == [("title", "b", "c")]
 
 
+def test_declared_records(spark, tmp_path):
+    good = {"name": "eID rebate", "jurisdiction": "NSW", "source": "s", "amount": {"min_aud": 0, "max_aud": 11000, "notes": "n"}, "eligible_applicants": ["a"], "citations": ["c"]}
+    lines = [json.dumps(good), json.dumps({**good, "amount": "much"}), '{"name": ', json.dumps({"name": "x"})]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    df = readers.read_records(spark, str(tmp_path / "r.jsonl"), PROGRAM_WITH_AMOUNT)
+    ok, bad = split_valid(df, {**well_formed(), **spec_rules(PROGRAM_WITH_AMOUNT_SPEC)})
+    assert rows(ok, "name", "amount.max_aud") == [("eID rebate", 11000.0)]
+    assert sorted("malformed record" in r.failed_rules for r in bad.collect()) == [False, True, True]
+
+
 def test_schemas():
     assert len(PROGRAMS) == 24 and len(PROGRAM_DOCS) == 11 and len(OPPORTUNITY) == 21
     assert len(CANONICAL_PROGRAMS) == 30 and len(CANONICAL_DOCS) == 12
