@@ -19,6 +19,10 @@ GRAM_SIZES = (16, 8, 4, 2, 1)
 # Runs of a needle considered as its key. Any run finds every match; more
 # choices only make a rarer one likelier.
 ANCHOR_CHOICES = 64
+FEW_CHOICES = 8
+
+# Bytes of join keys a byte of text can turn into, for judging the text side's size.
+KEY_BYTES = 32
 
 
 def _runs(text: Column, kind: int) -> Column:
@@ -38,17 +42,17 @@ def _kind_of(text: Column) -> Column:
     return out
 
 
-def _spaced(runs: Column) -> Column:
-    """At most ANCHOR_CHOICES runs, spread evenly over the array."""
+def _spaced(runs: Column, choices: int) -> Column:
+    """At most this many runs, spread evenly over the array."""
     n = F.size(runs)
-    take = F.least(n, F.lit(ANCHOR_CHOICES))
+    take = F.least(n, F.lit(choices))
     places = F.when(n > 0, F.sequence(F.lit(0), take - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(
         places, lambda i: F.element_at(runs, F.floor(i * n / take).cast("int") + 1)
     )
 
 
-def _anchors(needles: DataFrame) -> DataFrame:
+def _anchors(needles: DataFrame, choices: int) -> DataFrame:
     """(needle, kind, gram): one run per needle as its join key, the one fewest needles share."""
     tagged = needles.withColumns(
         {"nid": F.sha2("needle", 256), "kind": _kind_of(F.col("needle"))}
@@ -56,7 +60,7 @@ def _anchors(needles: DataFrame) -> DataFrame:
     runs = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for kind in (WORD, *GRAM_SIZES):
         runs = runs.when(F.col("kind") == kind, _runs(F.col("needle"), kind))
-    each = tagged.select("nid", F.explode(let(runs, _spaced)).alias("gram"))
+    each = tagged.select("nid", F.explode(let(runs, lambda r: _spaced(r, choices))).alias("gram"))
     shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     chosen = (
         each.join(shared, "gram")
@@ -79,11 +83,12 @@ def contained_pairs(
 
     A text holding a needle holds every run of the needle, so one run per
     needle is an equality join key and the containment test runs on the few
-    candidates. A needle set within the broadcast limit is looked up while the
-    texts stream by. A larger one is joined by (run, salt): the needles, one row
-    each, are repeated per salt, and a run common in the texts is spread.
-    Needles longer than every text are left out at once; the others are read
-    several times and so written once to the shared folder.
+    candidates. The smaller side decides the join: needles within the broadcast
+    limit are looked up while the texts stream by; else texts whose runs fit
+    are looked up by the needles; else both are joined by (run, salt), where
+    the needles, one row each, are repeated per salt and a run common in the
+    texts is spread. Needles longer than every text are left out at once; the
+    others are read several times and so written once to the shared folder.
     """
     longest = texts.agg(F.max(F.length(text))).scalar()
     wanted = cut_lineage(
@@ -91,7 +96,8 @@ def contained_pairs(
         .filter((F.col("needle") != "") & (F.length("needle") <= longest))
         .distinct()
     )
-    anchors = cut_lineage(_anchors(wanted))
+    few = measured_bytes(wanted) <= broadcast_limit
+    anchors = cut_lineage(_anchors(wanted, ANCHOR_CHOICES if few else FEW_CHOICES))
     kinds = anchors.agg(F.collect_set("kind")).scalar()
     hay = texts.select(F.col(text_id), F.col(text).alias("_text")).filter("_text <> ''")
     hay = hay.withColumn("_kinds", kinds)
@@ -102,16 +108,20 @@ def contained_pairs(
             for kind in (WORD, *GRAM_SIZES)
         ]
     )
-    if measured_bytes(wanted) <= broadcast_limit:
+    if few:
         hits = hay.withColumn("gram", F.explode(runs)).join(F.broadcast(anchors), "gram")
         return hits.filter(F.contains("_text", "needle")).select(text_id, "needle")
-    salted = anchors.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64(text_id), F.lit(salts)).cast("int")
-    candidates = (
-        hay.select(text_id, spread.alias("_s"), F.explode(F.array_distinct(runs)).alias("gram"))
-        .join(salted, ["gram", "_s"])
-        .select(text_id, "needle")
-    )
+    keyed = hay.select(text_id, F.explode(F.array_distinct(runs)).alias("gram"))
+    if measured_bytes(hay.select(text_id, "_text")) * KEY_BYTES <= broadcast_limit:
+        candidates = anchors.join(F.broadcast(keyed), "gram").select(text_id, "needle")
+    else:
+        salted = anchors.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = F.pmod(F.xxhash64(text_id), F.lit(salts)).cast("int")
+        candidates = (
+            keyed.withColumn("_s", spread)
+            .join(salted, ["gram", "_s"])
+            .select(text_id, "needle")
+        )
     return (
         candidates.join(hay.select(text_id, "_text"), text_id)
         .filter(F.contains("_text", "needle"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrow.functions.keys import content_hash
+from harrow.operators.reshape import union_sources
 from harrow.sources.schemas import FEED_ITEM, MANIFEST
 
 
@@ -36,13 +37,14 @@ def read_sheets(spark: SparkSession, folder: str, fmt: str = "csv", schema=None)
     """All sheet exports of a workbook folder, one file per sheet, tagged with the sheet name.
 
     Missing and empty cells both arrive as NULL. Without a schema, the columns
-    are the union of the JSON keys, or the header of CSV files sharing one dialect.
+    are the union of the JSON keys, or the header the CSV files share; a CSV file
+    with another header raises an error (see read_workbook).
     """
     reader = spark.read.option("pathGlobFilter", f"*.{fmt}").option("mode", "PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.options(header=True, multiLine=True, escape='"', enforceSchema=False)
     df = reader.format(fmt).load(folder)
     return df.select("*", _sheet_name().alias("source_sheet"))
 
@@ -53,6 +55,11 @@ def read_sheet(spark: SparkSession, folder: str, name: str, fmt: str = "csv", sc
     return df.filter(F.col("source_sheet") == name)
 
 
+def read_workbook(spark: SparkSession, folder: str, names: Sequence[str], fmt: str = "csv"):
+    """The named sheets in one table, each read under its own header; absent columns are NULL."""
+    return union_sources([read_sheet(spark, folder, name, fmt) for name in names])
+
+
 def read_exported_sheets(spark: SparkSession, folder: str, schema=None) -> DataFrame:
     """Sheets written by export_json: one partition folder per sheet, pruned by filters on it."""
     reader = spark.read

@@ -153,6 +153,17 @@ def test_containment_equals_all_pairs(spark, limit):
     assert rows(containment.contained_pairs(left, "needle", right, "id", "text", limit), "id", "needle") == want
 
 
+def test_containment_with_few_texts_and_many_needles(spark):
+    rng = random.Random(8)
+    texts = {1: _words(rng, 20), 2: "soil of the program"}
+    needles = {_words(rng, rng.randint(1, 6)) for _ in range(900)} | {t[3:14] for t in texts.values()}
+    want = sorted((i, n) for i, t in texts.items() for n in needles if n and n in t)
+    left = spark.createDataFrame([(n,) for n in needles], "needle string")
+    right = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = containment.contained_pairs(left, "needle", right, "id", "text", 12_000)
+    assert rows(got, "id", "needle") == want and len(want) > 5
+
+
 def _distance(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

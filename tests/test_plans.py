@@ -57,6 +57,16 @@ def test_csv_sheets(spark, tmp_path):
     assert rows(bad, "description", "failed_rules") == [("x", ["missing program_name"])]
 
 
+def test_sheets_with_different_headers(spark, tmp_path):
+    (tmp_path / "CA.csv").write_text("Subsidy Program,Deadlines\nA,soon\n")
+    (tmp_path / "NZ.csv").write_text("Deadlines,Program,Focus\nlate,B,f\n")
+    book = readers.read_workbook(spark, str(tmp_path), ["CA", "NZ"])
+    good, _ = import_rows(book, TERRITORY_HEADERS, "2025-10-01", keep=["source_sheet"], country="X")
+    assert rows(good, "source_sheet", "program_name", "focus") == [("CA", "A", None), ("NZ", "B", "f")]
+    with pytest.raises(Exception):
+        readers.read_sheets(spark, str(tmp_path)).collect()
+
+
 def test_json_sheets_with_absent_and_null_cells(spark, tmp_path):
     (tmp_path / "S.json").write_text('{"a":"1","b":null}\n{"b":"2"}\n')
     df = readers.read_sheets(spark, str(tmp_path), "json", "a string, b string")
