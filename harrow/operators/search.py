@@ -11,15 +11,17 @@ from harrow.functions.text import let, tokens
 from harrow.session import BROADCAST_LIMIT, cut_lineage, measured_bytes
 
 
-def _score(weights: Mapping[str, float], terms: Column) -> Column:
-    """Sum over fields of weight times the number of query words the field holds."""
-    parts = [
-        F.size(F.array_intersect(tokens(c), terms)) * F.lit(int(w)) for c, w in weights.items()
-    ]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
+def _hit(weights: Mapping[str, int], terms: Column) -> Column:
+    """struct(matched_terms, score): query words held by any field, and the sum over
+    fields of weight times the number of query words the field holds."""
+    held = F.array(*[F.array_intersect(tokens(c), terms) for c in weights])
+
+    def summed(per_field: Column) -> Column:
+        matched = F.size(F.array_distinct(F.flatten(per_field)))
+        score = sum(F.size(per_field[i]) * F.lit(int(w)) for i, w in enumerate(weights.values()))
+        return F.struct(matched.alias("matched_terms"), score.alias("score"))
+
+    return let(held, summed)
 
 
 def search_tokens(
@@ -31,17 +33,21 @@ def search_tokens(
     query is a filter over the rows: nothing is shuffled.
     """
     terms = tokens(F.lit(query))
-    everything = F.concat_ws(" ", *[F.col(c) for c in weights])
-    held = F.size(F.array_intersect(tokens(everything), terms))
     wanted = F.size(terms) if match == "all" else F.lit(1)
     # A text lacking a word as a substring lacks it as a word: no need to cut it into words.
     each = F.forall if match == "all" else F.exists
-    possible = let(F.lower(everything), lambda text: each(terms, lambda t: F.contains(text, t)))
+    everything = F.lower(F.concat_ws(" ", *[F.col(c) for c in weights]))
+    possible = let(everything, lambda text: each(terms, lambda t: F.contains(text, t)))
+    # Exploding the hits that count cuts every text into words once; a filter on a
+    # computed column would do it once more.
+    hits = F.filter(
+        F.array(_hit(weights, terms)),
+        lambda h: (h["matched_terms"] >= wanted) & (h["matched_terms"] > 0),
+    )
     return (
         df.filter(possible)
-        .withColumn("matched_terms", held)
-        .filter((F.col("matched_terms") >= wanted) & (F.col("matched_terms") > 0))
-        .withColumn("score", _score(weights, terms))
+        .withColumn("_hit", F.explode(hits))
+        .select(*df.columns, "_hit.matched_terms", "_hit.score")
     )
 
 

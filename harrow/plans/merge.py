@@ -109,26 +109,57 @@ def within_sources(records: DataFrame, policy: Policy) -> DataFrame:
     return keep_latest(keyed, "_slot", ["published_at"], "record_id").drop("_slot")
 
 
-def links(records: DataFrame, policy: Policy) -> DataFrame:
-    """(u, v): records that name another's number, share one, or have similar titles on one host."""
-    kind = [policy.kind] if policy.kind else []
-    numbered = records.filter(blank_to_null("number").isNotNull())
-    owners = numbered.groupBy(*kind, F.col("number").alias("_n")).agg(F.min("record_id").alias("u"))
-    refs = records.select("record_id", *kind, F.col("number").alias("_n")).filter("_n <> ''")
-    if policy.id_pattern:
-        for c in ("link", "title"):
-            parsed = F.regexp_extract(c, policy.id_pattern, 1)
-            refs = refs.unionByName(
-                records.select("record_id", *kind, parsed.alias("_n")).filter("_n <> ''")
-            )
-    exact = (
-        refs.distinct()
-        .join(owners, [*kind, "_n"])
+def _shared(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(u, v): the first record of each filled combination of values to every other one of it."""
+    known = records
+    for c in columns:
+        known = known.filter(blank_to_null(c).isNotNull())
+    first = known.groupBy(*columns).agg(F.min("record_id").alias("u"))
+    return (
+        known.select("record_id", *columns)
+        .join(first, list(columns))
+        .select("u", F.col("record_id").alias("v"))
+        .filter("u <> v")
+    )
+
+
+def _named(records: DataFrame, policy: Policy, kind: Sequence[str]) -> DataFrame:
+    """(u, v): the first record of a number to every record naming it in its link or title."""
+    owners = (
+        records.filter(blank_to_null("number").isNotNull())
+        .groupBy(*kind, F.col("number").alias("_n"))
+        .agg(F.min("record_id").alias("u"))
+    )
+
+    def named_in(column: str) -> DataFrame:
+        parsed = F.regexp_extract(column, policy.id_pattern, 1).alias("_n")
+        return records.select("record_id", *kind, parsed).filter("_n <> ''")
+
+    refs = named_in("link").unionByName(named_in("title")).distinct()
+    return (
+        refs.join(owners, [*kind, "_n"])
         .select("u", F.col("record_id").alias("v"))
         .filter("u <> v")
     )
-    similar = match_edges(records, "record_id", "title", ["host", *kind], policy.threshold)
-    return exact.unionByName(similar)
+
+
+def links(records: DataFrame, policy: Policy) -> DataFrame:
+    """(u, v): pairs of records that are one program.
+
+    They share a number, or a secondary key within their source, or one names
+    the other's number, or their titles on one host are similar. Records that
+    share a value link to the first of them, so links grow with the records.
+    """
+    kind = [policy.kind] if policy.kind else []
+    found = [
+        _shared(records, ["number", *kind]),
+        match_edges(records, "record_id", "title", ["host", *kind], policy.threshold),
+    ]
+    if policy.id_pattern:
+        found.append(_named(records, policy, kind))
+    if "second_key" in records.columns:
+        found.append(_shared(records, ["source", "second_key", *kind]))
+    return union_sources(found)
 
 
 def merge_sources(frames: Sequence[DataFrame], policy: Policy) -> DataFrame:

@@ -199,6 +199,19 @@ def test_chilean_policy_uses_its_own_source_order(spark):
     assert [(r[0], r[1], r[2], r[3] and int(r[3])) for r in got] == [("1", 2, "open", 1_000_000), ("3", 1, "news", None)]
 
 
+def test_secondary_keys_link_within_a_source(spark):
+    items = spark.createDataFrame(
+        [("1", "Food boxes", "https://a.gov/1"), ("2", "food  Boxes", "https://b.gov/2"), ("3", "Other", "https://c.gov/3")],
+        "record_id string, title string, link string",
+    ).withColumns({"guid": F.lit(""), "number": F.lit(""), "published_at": F.current_timestamp(), "source": F.lit("fns_rss")})
+    fns = with_keys(items, SOURCE_KEYS["fns_rss"])
+    rd = with_keys(items.withColumns({"source": F.lit("rd_rss"), "record_id": F.concat(F.lit("r"), "record_id"), "link": F.concat("link", F.lit("0"))}), SOURCE_KEYS["rd_rss"])
+    policy = Policy(precedence=("fns_rss", "rd_rss"), fields={"title": "latest_by_precedence"})
+    got = rows(merge_sources([fns, rd], policy), "cluster", "n_records")
+    # The two boxes of one feed by secondary key; the other feed's by similar title on one host.
+    assert got == [("1", 4), ("3", 2)]
+
+
 def test_audit_history(spark):
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 400), (1, "b", 500), (1, "c", 600)], "key int, title string, day int")
     df = df.withColumn("seen_at", F.timestamp_seconds(F.col("day") * 86400))
