@@ -234,7 +234,8 @@ def navigation_links(spark, d):
 @query(
     "page_headings",
     r"""SELECT page_id, CAST(1 AS INT) AS card_no,
-        replace(trim(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), ' '), '&amp;', '&') AS heading
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), ' '),
+          '&#x27;', chr(39)), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS heading
         FROM pages WHERE contains(html, '<article>')""",
 )
 def page_headings(spark, d):
