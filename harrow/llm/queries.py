@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from harrow.llm.language import languages
+from harrow.llm.ngramjoin import ngram_components
 from harrow.llm.quality import quality_scores
 from harrow.llm.tokenfile import token_files
 from harrow.llm.transducer import token_counts
@@ -54,6 +55,11 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return languages(table(spark, folder, "documents"))
 
 
+@query("op9_ngram_components")
+def op9_ngram_components(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(table(spark, folder, "documents"), width=4, num=85, den=100)
+
+
 @query("op10_quality")
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
