@@ -7,16 +7,11 @@ bitmap drops nothing; the join behind it decides in any case.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.textblocks import column_of
-
-BITS = 1 << 27
+BITS = 1 << 26
 _PART = 4096 * 8
 
 
@@ -43,14 +38,3 @@ def hits(whole: np.ndarray, values: np.ndarray) -> np.ndarray:
     bit = bit_numbers(values)
     return (whole[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
-
-def only_hits(frame: DataFrame, column: str, bitmap) -> DataFrame:
-    """The rows of a frame whose hash may be in the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = hits(bitmap.value, column_of(batch, column).to_numpy())
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    return frame.mapInArrow(run, frame.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.bitmaps import bitmap_of, only_hits
+from harrow.llm.bitmaps import bitmap_of
 from harrow.llm.textblocks import binaries, column_of
 from harrow.operators.clusters import connected_components
 from harrow.session import cut_lineage
@@ -239,18 +239,19 @@ def _items(sets: DataFrame) -> DataFrame:
 
 
 def similar_components(
-    postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int
+    postings: Callable[[object], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int
 ) -> DataFrame:
     """(id, label) of every item that is linked with another; label is the smallest id linked.
 
-    postings holds (key, id, pos, keys), key a 64-bit hash: pos is where the key
-    stands in the ordered set (-1: unknown), keys how many postings the item has;
-    sets_of gives (id, grams), sorted distinct 64-bit values, for a frame of ids.
+    postings gives (key, id, pos, keys), key a 64-bit hash: pos is where the key
+    stands in the ordered set (-1: unknown), keys how many postings the item has.
+    It is called with None for all rows, and with a bitmap for those whose key may
+    be in it. sets_of gives (id, grams), sorted distinct 64-bit values, for a frame of ids.
     Two items link when den * |intersection| >= num * |union|. Empty tables give
     no rows.
     """
-    shared = cut_lineage(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    live = cut_lineage(only_hits(postings, "key", bitmap_of(shared, "key")).join(shared, "key"))
+    shared = cut_lineage(postings(None).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    live = cut_lineage(postings(bitmap_of(shared, "key")).join(shared, "key"))
     alive = live.groupBy("id").agg((F.first("keys") - F.count(F.lit(1))).alias("alone"))
     hubs = live.join(alive, "id").groupBy("key").agg(F.min(F.struct("alone", "id")).alias("hub"))
     sets = cut_lineage(sets_of(live.select("id").distinct()))

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from harrow.llm.textblocks import column_of, pieces
 
 DIMENSIONS = 1024
-PREDICT_BYTES = 1 << 20
 _LETTERS = 128  # letter vectors; letters beyond a-z share them by code point
 _BITS = 7
 _BLOCK = 64
@@ -134,7 +133,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *kept: Column) -
     matrix = np.array([*prototypes.values()], np.float32).reshape(-1, DIMENSIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_text", PREDICT_BYTES):
+        for piece in pieces(batches, "_text"):
             column = column_of(piece, "_text")
             numbers, text, has_letter = grams(column.to_pylist())
             found, which = np.unique(numbers, return_inverse=True)

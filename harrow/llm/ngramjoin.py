@@ -22,7 +22,6 @@ from harrow.session import cut_lineage
 # N-grams are counted by hash in a table of this many counters: a fixed size whatever the input.
 COUNTERS = 1 << 18
 _BLOCK = 1 << 12
-_PIECE = 2 << 20
 
 
 def gram_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +48,7 @@ def gram_counts(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for piece in pieces(batches, limit=_PIECE):
+        for piece in pieces(batches):
             total += np.bincount(_slot(gram_sets(column_of(piece, "text"), width)[0]), minlength=COUNTERS)
         for at in range(0, COUNTERS, _BLOCK):
             part = total[at : at + _BLOCK]
@@ -71,7 +70,7 @@ def _described(docs: DataFrame, width: int, counts: np.ndarray, num: int, den: i
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=_PIECE):
+        for piece in pieces(batches):
             values, sizes = gram_sets(column_of(piece, "text"), width)
             text = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((values, shared.value[_slot(values)], text))
@@ -93,7 +92,7 @@ def _described(docs: DataFrame, width: int, counts: np.ndarray, num: int, den: i
     )
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, bitmap) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -103,8 +102,11 @@ def _postings(classes: DataFrame) -> DataFrame:
                 keys = np.frombuffer(b"".join(raw), np.int64)
                 ids = np.repeat(column_of(some, "id").to_numpy(), sizes)
                 pos = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns = [keys, ids, pos.astype(np.int32), np.repeat(sizes, sizes).astype(np.int32)]
+                if bitmap is not None:
+                    columns = [c[hits(bitmap.value, keys)] for c in columns]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (keys, ids, pos.astype(np.int32), np.repeat(sizes, sizes).astype(np.int32))],
+                    [pa.array(c) for c in columns],
                     names=["key", "id", "pos", "keys"],
                 )
 
@@ -139,7 +141,7 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 named = batch.filter(pa.array(hits(known.value, column_of(batch, "h").to_numpy())))
-                for piece in pieces([named], limit=_PIECE):
+                for piece in pieces([named]):
                     values, sizes = gram_sets(column_of(piece, "text"), width)
                     d1, d2 = _set_digests(values, sizes)
                     yield pa.RecordBatch.from_arrays(
@@ -150,7 +152,7 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         found = rows.mapInArrow(run, "d1 long, d2 long, size long, grams binary")
         return found.join(wanted, ["d1", "d2", "size"]).select("id", "grams").dropDuplicates(["id"])
 
-    labels = cut_lineage(similar_components(_postings(classes), sets_of, num, den))
+    labels = cut_lineage(similar_components(lambda bitmap: _postings(classes, bitmap), sets_of, num, den))
     named = classes.select("id", "first_doc", "d1", "d2", "size").join(labels, "id", "left")
     named = named.withColumn("label", F.coalesce("label", "id"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))

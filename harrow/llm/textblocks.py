@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -68,7 +68,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, at least, of an odd number and of its inverse; kept for later calls."""
     for base, row in _POWERS.items():
         if len(row) < n:
-            row = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
+            row = np.full(n + n // 8, base, np.uint64)
             row[0] = 1
             _POWERS[base] = np.multiply.accumulate(row)
     return _POWERS[_ODD], _POWERS[_INVERSE]
