@@ -220,60 +220,54 @@ def _candidates(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFram
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def _items(sets: DataFrame) -> DataFrame:
-    """(id, size, sketch) of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                raw = [v.as_buffer() for v in column_of(some, "grams")]
-                sizes = np.array([len(r) // 8 for r in raw], np.int64)
-                values = np.frombuffer(b"".join(raw), np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [column_of(some, "id"), pa.array(sizes), *map(pa.array, sketches(values, sizes))],
-                    names=["id", "size", *SKETCH],
-                )
-
-    return sets.mapInArrow(run, f"id long, size long, {SKETCH_SCHEMA}")
-
-
 def similar_components(
-    postings: Callable[[object], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int
+    postings: Callable[[object], DataFrame],
+    items_of: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
 ) -> DataFrame:
     """(id, label) of every item that is linked with another; label is the smallest id linked.
 
     postings gives (key, id, pos, keys), key a 64-bit hash: pos is where the key
     stands in the ordered set (-1: unknown), keys how many postings the item has.
     It is called with None for all rows, and with a bitmap for those whose key may
-    be in it. sets_of gives (id, grams), sorted distinct 64-bit values, for a frame of ids.
-    Two items link when den * |intersection| >= num * |union|. Empty tables give
-    no rows.
+    be in it. For a frame of ids, items_of gives (id, size, s0..s7) and sets_of
+    (id, grams), sorted distinct 64-bit values. Two items link when
+    den * |intersection| >= num * |union|. Empty tables give no rows.
     """
     shared = cut_lineage(postings(None).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     live = cut_lineage(postings(bitmap_of(shared, "key")).join(shared, "key"))
+    items = cut_lineage(items_of(live.select("id").distinct()))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among candidate pairs; sets are fetched for their ids alone."""
+        pairs = cut_lineage(pairs)
+        if pairs.isEmpty():
+            return pairs
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        return cut_lineage(_verified(pairs, cut_lineage(sets_of(ids)), num, den))
+
+    def labels_of(links: DataFrame) -> DataFrame:
+        found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return cut_lineage(found.select("id", F.col("cluster").alias("label")))
+
     alive = live.groupBy("id").agg((F.first("keys") - F.count(F.lit(1))).alias("alone"))
     hubs = live.join(alive, "id").groupBy("key").agg(F.min(F.struct("alone", "id")).alias("hub"))
-    sets = cut_lineage(sets_of(live.select("id").distinct()))
-    items = cut_lineage(_items(sets))
-
     starred = (
         live.join(hubs, "key")
         .where("id <> hub.id")
         .select(F.least("id", F.col("hub.id")).alias("a"), F.greatest("id", F.col("hub.id")).alias("b"))
         .distinct()
     )
-    links = cut_lineage(_verified(_screen(starred, items, num, den), sets, num, den))
+    links = linked(_screen(starred, items, num, den))
+    labels = labels_of(links)
     for nearest in (True, False):
-        labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labels = cut_lineage(labels.select("id", F.col("cluster").alias("label")))
-        found = _candidates(_cells(live, labels, items), num, den, nearest)
-        more = cut_lineage(_verified(found, sets, num, den))
-        if more.isEmpty() and not nearest:
-            return labels
-        links = links.unionByName(more)
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return labels.select("id", F.col("cluster").alias("label"))
+        more = linked(_candidates(_cells(live, labels, items), num, den, nearest))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = labels_of(links)
+    return labels
 
 
 def grams_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:

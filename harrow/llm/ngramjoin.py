@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.bitmaps import bitmap_of, hits
-from harrow.llm.jaccard import grams_column, similar_components
+from harrow.llm.jaccard import SKETCH, SKETCH_SCHEMA, grams_column, similar_components, sketches
 from harrow.llm.textblocks import column_of, distinct, mixed, pieces, shingles, utf8, word_hashes
 from harrow.session import cut_lineage
 
@@ -66,7 +66,7 @@ def gram_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, width: int, counts: np.ndarray, num: int, den: int) -> DataFrame:
-    """Per row of docs: set size, digests, and the n-grams of its prefix, rare first."""
+    """Per row of docs: set size, digests, sketch, and the n-grams of its prefix, rare first."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +81,14 @@ def _described(docs: DataFrame, width: int, counts: np.ndarray, num: int, den: i
             yield pa.RecordBatch.from_arrays(
                 [
                     column_of(piece, "doc_id"),
-                    *map(pa.array, (sizes, d1, d2)),
+                    *map(pa.array, (sizes, d1, d2, *sketches(values, sizes))),
                     grams_column(values[first], prefix),
                 ],
-                names=["doc_id", "size", "d1", "d2", "prefix"],
+                names=["doc_id", "size", "d1", "d2", *SKETCH, "prefix"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, size long, d1 long, d2 long, prefix binary"
+        run, f"doc_id long, size long, d1 long, d2 long, {SKETCH_SCHEMA}, prefix binary"
     )
 
 
@@ -128,7 +128,7 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     full = described.where("size > 0")
     classes = cut_lineage(
         full.groupBy("d1", "d2", "size")
-        .agg(F.min("doc_id").alias("first_doc"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in (*SKETCH, "prefix")])
         .withColumn("id", F.monotonically_increasing_id())
     )
 
@@ -150,9 +150,12 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
                     )
 
         found = rows.mapInArrow(run, "d1 long, d2 long, size long, grams binary")
-        return found.join(wanted, ["d1", "d2", "size"]).select("id", "grams").dropDuplicates(["id"])
+        return found.dropDuplicates(["d1", "d2", "size"]).join(wanted, ["d1", "d2", "size"]).select("id", "grams")
 
-    labels = cut_lineage(similar_components(lambda bitmap: _postings(classes, bitmap), sets_of, num, den))
+    def items_of(ids: DataFrame) -> DataFrame:
+        return classes.select("id", "size", *SKETCH).join(ids, "id", "left_semi")
+
+    labels = cut_lineage(similar_components(lambda bitmap: _postings(classes, bitmap), items_of, sets_of, num, den))
     named = classes.select("id", "first_doc", "d1", "d2", "size").join(labels, "id", "left")
     named = named.withColumn("label", F.coalesce("label", "id"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
