@@ -6,14 +6,12 @@ families of copies, and only connectivity is wanted. So:
 
 1. every member of a key is compared with the key's hub, the member that shares
    the largest part of its keys with others;
-2. keys whose members are still in several components are taken up again: each
-   member is compared with its nearest member of each other component;
-3. what is still apart then is compared in full, every pair of different
-   components that shares a key, in cells of bounded size.
-
-The last step makes the result exact; the first two keep it small. Before a pair
-is compared exactly it must pass bounds from the set sizes, from where the shared
-key stands in both sets, and from a parity sketch of both sets.
+2. keys whose members are then in several components are taken up again: every
+   pair of members of different components, in cells of bounded size.
+
+The second step makes the result exact; the first keeps it small. Before a pair is
+compared exactly it must pass bounds from the set sizes, from where the shared key
+stands in both sets, and from a coarse and a fine parity sketch of both sets.
 """
 
 from __future__ import annotations
@@ -30,13 +28,13 @@ from harrow.llm.textblocks import binaries, column_of
 from harrow.operators.clusters import connected_components
 from harrow.session import cut_lineage
 
-SKETCH_WORDS = 8
+SKETCH_WORDS = 4
 CELL_ROWS = 2048
 _PAIRS_AT_ONCE = 1 << 21
 
 
 def sketches(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """A 512-bit parity sketch of each set, as one int64 array per word.
+    """A 256-bit parity sketch of each set, as one int64 array per word.
 
     Every value flips one bit, so two sketches differ in at most as many bits as
     the sets differ in values.
@@ -69,30 +67,52 @@ def _screen(pairs: DataFrame, items: DataFrame, num: int, den: int) -> DataFrame
     return pairs.where(differing <= _largest_difference(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sets (id, grams: sorted 64-bit values) are similar, by exact intersection."""
+def fine_sketches(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A parity sketch of each set that grows with it: at least four bits a value, a power of two."""
+    out, at = [], 0
+    for n in counts.tolist():
+        bits = 1 << max(9, (4 * n - 1).bit_length())
+        odd = np.bincount((values[at : at + n] >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        at += n
+    return pa.array(out, pa.binary())
+
+
+def _may_be_similar(x: np.ndarray, y: np.ndarray, na: int, nb: int, num: int, den: int) -> bool:
+    while len(x) != len(y):  # fold the longer sketch onto itself
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (na + nb) * (den - num)
+
+
+def _are_similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x)) if len(y) else 0
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _tested(pairs: DataFrame, data: DataFrame, num: int, den: int, fine: bool) -> DataFrame:
+    """Pairs (a, b) whose fine sketches allow it (data: id, size, raw), or whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint8 if fine else np.uint64
         for batch in batches:
             kept = []
-            left, right = column_of(batch, "ga"), column_of(batch, "gb")
+            left, right = column_of(batch, "ra"), column_of(batch, "rb")
+            sizes = [column_of(batch, n).to_pylist() for n in ("na", "nb")]
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int(np.count_nonzero(y[at] == x)) if len(y) else 0
-                if den * both >= num * (len(x) + len(y) - both):
+                x, y = (np.frombuffer(c[i].as_buffer(), kind) for c in (left, right))
+                if _may_be_similar(x, y, sizes[0][i], sizes[1][i], num, den) if fine else _are_similar(x, y, num, den):
                     kept.append(i)
             picked = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [column_of(batch, n).take(picked) for n in "ab"], names=["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([column_of(batch, n).take(picked) for n in "ab"], names=["a", "b"])
 
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("grams").alias(f"g{side}")), side)
-    return pairs.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+        pairs = pairs.join(data.select(*[F.col(c).alias(f"{d}{side}") for c, d in (("id", ""), ("size", "n"), ("raw", "r"))]), side)
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -166,11 +186,8 @@ def _cells(live: DataFrame, labels: DataFrame, items: DataFrame) -> DataFrame:
     return rows.join(items, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
-def _candidates(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs of different components in the same cell that the bounds allow.
-
-    nearest: for each member only the nearest, by sketch, of each other component.
-    """
+def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components in the same cell that the bounds allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, ["key", "x", "y"]):
@@ -201,14 +218,7 @@ def _candidates(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFram
                 for s in SKETCH:
                     apart += np.bitwise_count(column[s][left] ^ column[s][right])
                 keep = apart <= allowed
-                left, right, apart = left[keep], right[keep], apart[keep]
-                if nearest and len(left):
-                    both = np.concatenate((left, right)), np.concatenate((right, left))
-                    order = np.lexsort((np.tile(apart, 2), column["label"][both[1]], both[0]))
-                    one, other = both[0][order], column["label"][both[1][order]]
-                    lead = np.ones(len(order), bool)
-                    lead[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
-                    left, right = one[lead], both[1][order][lead]
+                left, right = left[keep], right[keep]
                 a, b = column["id"][left], column["id"][right]
                 found = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
                 if len(found):
@@ -223,7 +233,7 @@ def _candidates(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFram
 def similar_components(
     postings: Callable[[object], DataFrame],
     items_of: Callable[[DataFrame], DataFrame],
-    sets_of: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame, bool], DataFrame],
     num: int,
     den: int,
 ) -> DataFrame:
@@ -232,8 +242,9 @@ def similar_components(
     postings gives (key, id, pos, keys), key a 64-bit hash: pos is where the key
     stands in the ordered set (-1: unknown), keys how many postings the item has.
     It is called with None for all rows, and with a bitmap for those whose key may
-    be in it. For a frame of ids, items_of gives (id, size, s0..s7) and sets_of
-    (id, grams), sorted distinct 64-bit values. Two items link when
+    be in it. For a frame of ids, items_of gives (id, size, s0..s3) and sets_of
+    (id, size, raw): the fine sketch, or the sorted distinct 64-bit values, by its
+    second argument. Two items link when
     den * |intersection| >= num * |union|. Empty tables give no rows.
     """
     shared = cut_lineage(postings(None).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
@@ -241,12 +252,14 @@ def similar_components(
     items = cut_lineage(items_of(live.select("id").distinct()))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs; sets are fetched for their ids alone."""
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            return pairs
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        return cut_lineage(_verified(pairs, cut_lineage(sets_of(ids)), num, den))
+        """The links among candidate pairs; sketches and sets are fetched for their ids alone."""
+        for fine in (True, False):
+            pairs = cut_lineage(pairs)
+            if pairs.isEmpty():
+                break
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            pairs = _tested(pairs, cut_lineage(sets_of(ids, fine)), num, den, fine)
+        return cut_lineage(pairs)
 
     def labels_of(links: DataFrame) -> DataFrame:
         found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -262,12 +275,8 @@ def similar_components(
     )
     links = linked(_screen(starred, items, num, den))
     labels = labels_of(links)
-    for nearest in (True, False):
-        more = linked(_candidates(_cells(live, labels, items), num, den, nearest))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = labels_of(links)
-    return labels
+    more = linked(_candidates(_cells(live, labels, items), num, den))
+    return labels if more.isEmpty() else labels_of(links.unionByName(more))
 
 
 def grams_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:

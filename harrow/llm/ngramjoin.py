@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.bitmaps import bitmap_of, hits
-from harrow.llm.jaccard import SKETCH, SKETCH_SCHEMA, grams_column, similar_components, sketches
+from harrow.llm.jaccard import SKETCH, SKETCH_SCHEMA, fine_sketches, grams_column, similar_components, sketches
 from harrow.llm.textblocks import column_of, distinct, mixed, pieces, shingles, utf8, word_hashes
 from harrow.session import cut_lineage
 
@@ -132,7 +132,7 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         .withColumn("id", F.monotonically_increasing_id())
     )
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame, fine: bool) -> DataFrame:
         wanted = cut_lineage(classes.join(ids, "id", "left_semi").select("id", "d1", "d2", "size", "first_doc"))
         one_of = F.xxhash64("first_doc")
         known = bitmap_of(wanted.select(one_of.alias("h")), "h")
@@ -144,13 +144,13 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
                 for piece in pieces([named]):
                     values, sizes = gram_sets(column_of(piece, "text"), width)
                     d1, d2 = _set_digests(values, sizes)
+                    raw = fine_sketches(values, sizes) if fine else grams_column(values, sizes)
                     yield pa.RecordBatch.from_arrays(
-                        [*map(pa.array, (d1, d2, sizes)), grams_column(values, sizes)],
-                        names=["d1", "d2", "size", "grams"],
+                        [*map(pa.array, (d1, d2, sizes)), raw], names=["d1", "d2", "size", "raw"]
                     )
 
-        found = rows.mapInArrow(run, "d1 long, d2 long, size long, grams binary")
-        return found.dropDuplicates(["d1", "d2", "size"]).join(wanted, ["d1", "d2", "size"]).select("id", "grams")
+        found = rows.mapInArrow(run, "d1 long, d2 long, size long, raw binary")
+        return found.dropDuplicates(["d1", "d2", "size"]).join(wanted, ["d1", "d2", "size"]).select("id", "size", "raw")
 
     def items_of(ids: DataFrame) -> DataFrame:
         return classes.select("id", "size", *SKETCH).join(ids, "id", "left_semi")
