@@ -48,20 +48,24 @@ def alignment(passage: np.ndarray, text: np.ndarray, edits: int, shift: int) ->
     m, width = len(passage), 4 * edits + 1
     low = shift - 2 * edits
     offsets = np.arange(width)
-    best = np.zeros(width, np.int64)  # row 0: the passage may begin at any diagonal of the band
+    exact = text[max(0, shift) : max(0, shift) + m]
+    if shift >= 0 and len(exact) == m and np.array_equal(exact, passage):
+        return 0, shift + m
+    best = np.zeros(width + 1, np.int64)  # row 0: the passage may begin at any diagonal of the band
+    best[width] = m + 1
     padded = np.full(m + width + 1, -1, np.int64)
     source = np.arange(low - 1, low - 1 + len(padded))
     inside = (source >= 0) & (source < len(text))
     padded[inside] = text[source[inside]]
     for i in range(1, m + 1):
         letters = padded[i : i + width]
-        change = best + (letters != passage[i - 1])
-        skip = np.append(best[1:], m + 1) + 1
-        now = np.minimum(change, skip)
+        change = best[:width] + (letters != passage[i - 1])
+        now = np.minimum(change, best[1:] + 1)
         now = np.minimum.accumulate(now - offsets) + offsets  # letters of the text left out
-        best = now
+        best[:width] = now
         if now.min() > edits:
             return None
+    best = best[:width]
     ends = low + m + offsets
     best = np.where((ends < 0) | (ends > len(text)), m + 1, best)
     at = int(best.argmin())
@@ -129,6 +133,16 @@ class Passages:
         if not len(owner):
             return out
         limits = np.array(self.limits, np.int64)
+        # a passage whose q-grams are too few in the whole text is in no band of it
+        pair = text * len(limits) + owner
+        order = np.argsort(pair)
+        fresh = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        many = np.diff(np.append(fresh, len(pair)))
+        enough = np.repeat(many >= limits[owner[order[fresh]], 2], many)
+        kept = order[enough]
+        owner, place, text, diagonal = owner[kept], place[kept], text[kept], diagonal[kept]
+        if not len(owner):
+            return out
         step = np.maximum(2 * limits[owner, 0], 1)  # band b holds diagonals [b*step, b*step + 2*step)
         base = (diagonal - starts[text] + _FAR) // step
         rows = [(text, owner, base), (text, owner, base - 1)]
@@ -142,21 +156,23 @@ class Passages:
         new[1:] |= p[1:] != p[:-1]  # a q-gram of the passage counts once in a band
         begin = np.flatnonzero(fresh)
         counts = np.add.reduceat(new.astype(np.int64), begin)
-        good = begin[counts >= limits[o[begin], 2]]
-        for k in good.tolist():
+        good = counts >= limits[o[begin], 2]
+        begin, counts = begin[good], counts[good]
+        done = set()
+        for k in begin[np.lexsort((b[begin], -counts))].tolist():
             i, j = int(t[k]), int(o[k])
+            if (i, j) in done:
+                continue
             edits, passage = self.limits[j][0], self.texts[j]
-            body = bodies[starts[i] : starts[i + 1]]
             width = max(2 * edits, 1)
-            for shift in range(int(b[k]) * width - _FAR, int(b[k]) * width - _FAR + 2 * width, max(1, edits)):
-                hit = alignment(passage, body, edits, shift)
+            low = int(b[k]) * width - _FAR
+            for shift in [low + width] if edits else [low, low + 1]:
+                hit = alignment(passage, bodies[starts[i] : starts[i + 1]], edits, shift)
                 if hit:
                     out.append((i, self.ids[j], max(0, hit[1] - len(passage)), hit[1], hit[0]))
-        best: dict[tuple[int, int], tuple] = {}
-        for row in out:
-            key = row[0], row[1]
-            best[key] = min(best.get(key, row), row, key=lambda r: (r[4], r[3]))
-        return sorted(best.values())
+                    done.add((i, j))
+                    break
+        return sorted(out)
 
 
 def passages_of(benchmark: DataFrame) -> list[tuple[int, str]]:
@@ -173,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Both sides are compared with A-Z in lower case and runs of space as one
     blank; start and end count bytes of the text so folded. Of several places of
-    a passage in a text the one with fewest edits is given, then the first. A
+    a passage in a text the one that shares most q-grams is given, then the first. A
     passage of m bytes may have m * EDIT_SHARE edits, one shorter than
     LEAST_BYTES none. Null or blank texts and passages match nothing.
     """

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from harrow.llm.decontaminate import contaminated
 from harrow.llm.language import languages
+from harrow.llm.lines import lines_per_document
+from harrow.llm.nbest import decode, encode
 from harrow.llm.ngramjoin import ngram_components
 from harrow.llm.quality import quality_scores
+from harrow.llm.suffixes import without_repeats
 from harrow.llm.tokenfile import token_files
 from harrow.llm.transducer import token_counts
 
@@ -45,6 +50,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), word_tokenizer(), END_ID)
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), word_tokenizer())
@@ -55,6 +65,41 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return languages(table(spark, folder, "documents"))
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = without_repeats(table(spark, folder, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("remaining", 256)).drop("remaining")
+
+
+# Segmentations asked for of each text.
+N_BEST = 4
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    whole = F.coalesce("text", F.lit(""))
+    coded = encode(docs, model, N_BEST, F.col("doc_id"), F.octet_length(whole).alias("n_bytes"), F.xxhash64(whole).alias("h"))
+    back = decode(coded.withColumn("n_best", F.size("nbest")).withColumn("last_score", F.col("nbest")[F.size("nbest") - 1]["score"]).drop("nbest"), model)
+    return back.select(
+        "doc_id",
+        F.col("n_bytes").cast("long").alias("n_bytes"),
+        "n_pieces",
+        F.crc32("ids").alias("ids_crc32"),
+        "score",
+        "n_best",
+        "last_score",
+        (F.xxhash64("decoded") == F.col("h")).alias("round_trip"),
+    )
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = lines_per_document(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op9_ngram_components")
 def op9_ngram_components(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"), width=4, num=85, den=100)

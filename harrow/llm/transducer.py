@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from harrow.llm.textblocks import column_of, pieces, utf8
 from harrow.llm.wordcache import SPECIAL, PerWord, distinct_words, is_plain
 
-KEPT_STATES = 400_000
+KEPT_STATES = 250_000
 CHUNK_CHARS = 1 << 16
 
 

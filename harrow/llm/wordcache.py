@@ -19,7 +19,7 @@ from harrow.llm.textblocks import mixed, powers
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
 
 # Letters below this code point keep their UTF-8 length in lower case and have no combining forms.
 _PLAIN = 0x180
