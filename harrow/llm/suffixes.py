@@ -3,8 +3,8 @@
 Every string of WINDOW bytes has an anchor, the run of GRAM bytes in it with the
 least hash. Equal strings have equal anchors, so strings are brought together by
 the hash of their anchor; the strings of one anchor overlap and travel as one
-stretch of text. Stretches whose anchor occurs in one document only are left out
-beforehand. A task sorts the suffixes of its stretches in two stages: suffixes
+stretch of text. Stretches whose anchor, with the bytes on either side, occurs in
+one document only are left out beforehand. A task sorts the suffixes of its stretches in two stages: suffixes
 smaller than their successors are sorted directly, all others are induced from
 them by scans over the buckets of first bytes. Neighbours in that order with a
 common prefix of WINDOW bytes are equal strings.
@@ -25,17 +25,18 @@ from harrow.session import cut_lineage
 
 WINDOW = 50
 GRAM = 14
+SIDE = 16  # at most (WINDOW - GRAM) / 2
 _SPAN = WINDOW - GRAM + 1  # anchors a window can have
 _PLACE = np.uint64(30)
 _BLOCK_BYTES = 2 << 20
 
 
-def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first window, last window and anchor hash of every run of windows with one anchor."""
+def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, first window, last window, anchor place and anchor hash of every run of windows with one anchor."""
     n = len(data) - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(data) < WINDOW:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     grams = np.zeros(n, np.uint64)
     low = np.concatenate((data, np.zeros(16, np.uint8))).astype(np.uint64)
     two = low[:-1] | low[1:] << np.uint64(8)
@@ -56,13 +57,13 @@ def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     text = np.repeat(np.arange(len(sizes)), per_text)
     window = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text) + np.repeat(starts[:-1], per_text)
     if not len(window):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     own = anchor[window]
     fresh = np.ones(len(window), bool)
     fresh[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(window)) - 1
-    return text[first], window[first], window[last], grams[own[first]]
+    return text[first], window[first], window[last], own[first], grams[own[first]]
 
 
 def _take(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -186,20 +187,44 @@ def first_holders(texts: np.ndarray, sizes: np.ndarray, holders: np.ndarray) ->
     return out, many
 
 
+def side_keys(data: np.ndarray, starts: np.ndarray, text: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys of each anchor: with the SIDE bytes before it, and with the SIDE bytes after it.
+
+    Two equal windows agree on GRAM bytes and on WINDOW - GRAM around them, so on
+    SIDE bytes on one side at least. A side that a text does not have gets key 0.
+    """
+    words = np.concatenate((np.zeros(2 * 8, np.uint64), _words(data)))  # place p is at p + 16
+    out = []
+    for ahead in (False, True):
+        here = at + GRAM if ahead else at - SIDE
+        inside = (here + SIDE <= starts[1:][text]) if ahead else (here >= starts[:-1][text])
+        here = np.where(inside, here, 0)
+        mark = mixed(mixed(words[here + 16] + np.uint64(ahead + 1)) ^ words[here + 24])
+        out.append(np.where(inside, mixed(keys ^ mark) | np.uint64(1), np.uint64(0)))
+    return out[0], out[1]
+
+
 def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """Hashes of anchors that occur in several documents, cut to the bits of a bitmap."""
+    """Side keys of anchors that occur in several documents, cut to the bits of a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            text, _, _, keys = stretches(*utf8(column_of(piece, "text")))
-            if len(keys):
-                docs = column_of(piece, "doc_id").to_numpy()[text]
-                bits = (keys & np.uint64((1 << 31) - 1)).astype(np.int64)
-                both = np.unique(np.column_stack((bits, docs)), axis=0)[:, 0] if len(np.unique(docs)) > 1 else np.unique(bits)
-                found, many = np.unique(both, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.astype(np.int32)), pa.array(np.minimum(many, 2).astype(np.int32))], names=["key", "n"]
-                )
+            data, starts = utf8(column_of(piece, "text"))
+            text, _, _, at, keys = stretches(data, starts)
+            if not len(keys):
+                continue
+            # a document counts once for a key; its rows in this piece are told apart by place
+            both = np.concatenate(side_keys(data, starts, text, at, keys))
+            owner = np.concatenate((text, text))[both > 0]
+            both = both[both > 0]
+            order = np.lexsort((owner, both))
+            both, owner = both[order], owner[order]
+            own = np.ones(len(both), bool)
+            own[1:] = (both[1:] != both[:-1]) | (owner[1:] != owner[:-1])
+            found, many = np.unique((both[own] >> np.uint64(1)) & np.uint64((1 << 31) - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int32)), pa.array(np.minimum(many, 2).astype(np.int32))], names=["key", "n"]
+            )
 
     counted = rows.mapInArrow(run, "key int, n int").groupBy("key").agg(F.sum("n").alias("n"))
     return counted.where("n > 1").select((F.col("key").bitwiseAND(F.lit(BITS - 1))).cast("long").alias("key"))
@@ -214,8 +239,10 @@ def _shared_stretches(rows: DataFrame, bitmap) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, starts = utf8(column_of(piece, "text"))
-            text, first, last, keys = stretches(data, starts)
-            keep = hits(bitmap.value, keys.view(np.int64))
+            text, first, last, at, keys = stretches(data, starts)
+            before, after = side_keys(data, starts, text, at, keys)
+            keep = (before > 0) & hits(bitmap.value, (before >> np.uint64(1)).view(np.int64))
+            keep |= (after > 0) & hits(bitmap.value, (after >> np.uint64(1)).view(np.int64))
             text, first, last, keys = text[keep], first[keep], last[keep], keys[keep]
             if not len(keys):
                 continue
