@@ -12,6 +12,7 @@ from harrow.llm.decontaminate import contaminated
 from harrow.llm.language import languages
 from harrow.llm.lines import lines_per_document
 from harrow.llm.nbest import decode, encode
+from harrow.llm.neighbours import nearest_neighbours
 from harrow.llm.ngramjoin import ngram_components
 from harrow.llm.quality import quality_scores
 from harrow.llm.suffixes import without_repeats
@@ -60,6 +61,11 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), word_tokenizer())
 
 
+@query("op4_neighbours")
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 @query("op5_language")
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return languages(table(spark, folder, "documents"))
