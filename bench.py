@@ -8,6 +8,7 @@ counts, after one warm-up query.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -64,7 +65,7 @@ def seconds(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    spark = local_session(cpus, "bench")
+    spark = local_session(cpus, "bench", tempfile.mkdtemp(prefix="run-harrow-"))
     spark.sparkContext.setLogLevel("ERROR")
     seconds(spark, "stats_by_lang", folder)
     times = {n: round(min(seconds(spark, n, folder) for _ in range(2)), 3) for n in HEADLINE}

@@ -20,8 +20,12 @@ def _joined(parts: Sequence[Column]) -> Column:
 
 
 def stable_key(*cols: Column | str) -> Column:
-    """The same business values always give the same key; NULL counts as blank."""
-    return F.sha2(_joined([_col(c) for c in cols]), 256)
+    """The same business values always give the same key; NULL counts as blank.
+
+    Every part is preceded by its length, so that no two lists of parts look alike.
+    """
+    parts = [F.coalesce(_col(c).cast("string"), F.lit("")) for c in cols]
+    return F.sha2(F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)]), 256)
 
 
 def _part(c: Column | str, how: str) -> Column:

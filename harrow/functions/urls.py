@@ -20,11 +20,12 @@ TRACKING_PARAMS = (
     "fbclid",
 )
 
-_SHAPE = r"^(?i)https?://([^/?#\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
+# host, port, path, query; user information before the host is not kept
+_SHAPE = r"^(?i)https?://(?:[^/?#\s@]*@)?(\[[^\]\s]*\]|[^/?#\s:@]+)((?::\d*)?)((?:/[^?#\s]*)?)(\?[^#\s]*)?(#\S*)?$"
 
 
 def host(c: Column | str) -> Column:
-    """Lower-case host; NULL when the value is no http(s) URL."""
+    """Lower-case host without port and user information; NULL when the value is no http(s) URL."""
     return F.nullif(F.lower(F.regexp_extract(trim_ws(c), _SHAPE, 1)), F.lit(""))
 
 
@@ -41,16 +42,16 @@ def canonical_url(
     tracking: Sequence[str] = TRACKING_PARAMS,
     keep_query: bool = True,
 ) -> Column:
-    """https, lower-case host after aliasing, no fragment, no tracking parameters.
+    """https, lower-case host after aliasing, no user information, fragment or tracking parameters.
 
-    keep_query=False drops the whole query instead. Anything that is no http(s)
+    A port stays. keep_query=False drops the whole query instead. Anything that is no http(s)
     URL gives NULL. The path keeps its case; an empty path stays empty.
     """
 
     def build(raw: Column) -> Column:
         name = F.nullif(F.lower(F.regexp_extract(raw, _SHAPE, 1)), F.lit(""))
         h = _aliased(name, dict(aliases or {}))
-        base = F.concat(F.lit("https://"), h, F.regexp_extract(raw, _SHAPE, 2))
+        base = F.concat(F.lit("https://"), h, F.regexp_extract(raw, _SHAPE, 2), F.regexp_extract(raw, _SHAPE, 3))
         return F.concat(base, _kept_query(raw, tracking)) if keep_query else base
 
     return let(trim_ws(c), build)
@@ -58,7 +59,7 @@ def canonical_url(
 
 def _kept_query(raw: Column, tracking: Sequence[str]) -> Column:
     """'?a=1&b=2' without tracking parameters, or the empty string."""
-    query = F.substring(F.regexp_extract(raw, _SHAPE, 3), 2, 2**31 - 1)
+    query = F.substring(F.regexp_extract(raw, _SHAPE, 4), 2, 2**31 - 1)
     kept = F.filter(
         F.split(query, "&"),
         lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*tracking),
@@ -69,5 +70,5 @@ def _kept_query(raw: Column, tracking: Sequence[str]) -> Column:
 
 def path_depth(c: Column | str) -> Column:
     """Number of non-empty path segments."""
-    path = F.regexp_extract(trim_ws(c), _SHAPE, 2)
+    path = F.regexp_extract(trim_ws(c), _SHAPE, 3)
     return F.size(F.filter(F.split(path, "/"), lambda s: s != ""))

@@ -46,18 +46,16 @@ def facet_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
-def as_map(df: DataFrame, key: str, value: str, limit: int = 10_000) -> DataFrame:
-    """One row holding a map of a small result, such as counts per territory; keys are unique.
+def as_map(df: DataFrame, key: str, value: str, parts: int = 1) -> DataFrame:
+    """A result such as counts per territory as maps; keys are unique.
 
-    More rows than the limit raise an error: a map of unbounded size has no place in one row.
+    Gives one row, or as many as the caller asks for by parts: keys are dealt to
+    them by hash. An empty result gives one empty map.
     """
-    entries = F.array_sort(F.collect_list(F.struct(key, value)))
-    small = df.select(key, value).limit(limit + 1).agg(entries.alias("e"))
-    return small.select(
-        F.when(F.size("e") <= limit, F.map_from_entries("e"))
-        .otherwise(F.raise_error(F.lit(f"more than {limit} keys for one map")))
-        .alias("as_map")
-    )
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("as_map")
+    if parts == 1:
+        return df.select(key, value).agg(entries)
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")).agg(entries).select("as_map")
 
 
 def shown_of_total(df: DataFrame, condition: Column) -> DataFrame:

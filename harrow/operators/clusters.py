@@ -38,13 +38,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(id, cluster) of every linked id; the cluster is the smallest id in it.
 
     links holds (u, v). Star contraction: each round is two grouped minima and
     two joins, and the number of rounds grows with the logarithm of the longest
-    chain. Each round is written to the shared folder. Raises when the limit
-    is reached before the table stops changing.
+    chain. Each round is written to the shared folder. Labels only get smaller,
+    so the rounds come to an end by themselves.
     """
     edges = cut_lineage(
         links.filter("u <> v")
@@ -52,7 +52,7 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         .distinct()
     )
     before = _fingerprint(edges)
-    for _ in range(max_rounds):
+    while True:
         edges = cut_lineage(_small_star(_large_star(edges)))
         after = _fingerprint(edges)
         if after == before:
@@ -61,7 +61,6 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
                 roots.select("id", F.col("id").alias("cluster"))
             )
         before = after
-    raise RuntimeError(f"clusters not settled after {max_rounds} rounds")
 
 
 def with_clusters(df: DataFrame, key: str, links: DataFrame, column: str = "cluster") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,12 @@ from pyspark.sql import types as T
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
-def local_session(cpus: int = 8, name: str = "harrow") -> SparkSession:
-    """A session for tests and the local benchmark. Clusters bring their own."""
-    return (
+def local_session(cpus: int = 8, name: str = "harrow", shared: str | None = None) -> SparkSession:
+    """A session for tests and the local benchmark. Clusters bring their own.
+
+    shared is where intermediate tables go (spark.checkpoint.dir).
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -23,22 +25,20 @@ def local_session(cpus: int = 8, name: str = "harrow") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by spark.checkpoint.dir.
 
-    Only a local session may go without one; it gets a fresh temporary folder.
+    Where it is unset, a folder in the warehouse is used, which executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-harrow-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_harrow"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

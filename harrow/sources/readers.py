@@ -18,17 +18,6 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread_single_file(df: DataFrame) -> DataFrame:
-    """Rows of a one-file table over all cores, for work that is heavy per row.
-
-    One small file is read by one task. A table of several files is left as it
-    is: it already has many tasks, and moving it would cost a shuffle.
-    """
-    if len(df.inputFiles()) != 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def _sheet_name(path: str = "_metadata.file_name") -> F.Column:
     return F.regexp_replace(F.col(path), r"\.[A-Za-z]+$", "")
 

@@ -13,20 +13,29 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the first by the other columns' order, whatever the partitioning."""
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    first = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(*[F.col(key) if c == key else F.col(f"_first.`{c}`") for c in df.columns])
+
+
 def new_rows(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """The rows whose key the table does not hold yet."""
-    return df.join(existing.select(key).distinct(), key, "left_anti")
+    """One row of each key that the table does not hold yet."""
+    return one_per_key(df.join(existing.select(key).distinct(), key, "left_anti"), key)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append that may be run again: rows already present by key are left out."""
+    """Append that may be run again: rows already present by key are left out, as are repeats inside a batch."""
     spark = df.sparkSession
     try:
         existing = spark.read.parquet(path)
     except Exception as error:  # first load: no table yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        append(df, path)
+        append(one_per_key(df, key), path)
         return
     append(new_rows(df, existing, key), path)
 

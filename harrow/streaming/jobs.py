@@ -50,22 +50,24 @@ def stream_daily_counts(df: DataFrame, time: str, by: str, delay: str = DELAY) -
 def classify_changes(
     items: DataFrame, known: DataFrame, key: str, time: str, fields: Sequence[str]
 ) -> DataFrame:
-    """The newest item per key marked new, modified or unchanged against the known versions.
+    """The newest item per key marked new, modified, unchanged or stale against the known versions.
 
-    known holds (key, content_hash) of the latest version of every key.
+    known holds (key, content_hash, time) of the latest version of every key. An
+    item older than the known version is stale: it comes late and changes nothing.
     """
     hashed = items.withColumn("content_hash", stable_key(*fields))
     latest = keep_latest(hashed, key, [time], "content_hash")
-    old = known.select(F.col(key).alias("_k"), F.col("content_hash").alias("_h"))
+    old = known.select(F.col(key).alias("_k"), F.col("content_hash").alias("_h"), F.col(time).alias("_t"))
     change = (
         F.when(F.col("_k").isNull(), "new")
+        .when(F.col(time) < F.col("_t"), "stale")
         .when(F.col("_h") == F.col("content_hash"), "unchanged")
         .otherwise("modified")
     )
     return (
         latest.join(old, F.col(key) == F.col("_k"), "left")
         .withColumn("change", change)
-        .drop("_k", "_h")
+        .drop("_k", "_h", "_t")
     )
 
 
@@ -97,7 +99,7 @@ def change_writer(
             versions = spark.read.schema(state).parquet(*folders)
             return keep_latest(versions, key, [time], "content_hash")
 
-        known = known_before(batch_id).select(key, "content_hash")
+        known = known_before(batch_id).select(key, "content_hash", time)
         out = classify_changes(batch, known, key, time, fields)
         out.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
         after = batch_id + 1

@@ -10,7 +10,7 @@ from harrow.operators import columns as cols
 from harrow.operators import filters, joins, sorting
 from harrow.plans.catalogue import SEARCHED, browse, catalog_query
 from harrow.plans.deadlines import deadline_calendar
-from harrow.sources.readers import load, spread_single_file
+from harrow.sources.readers import load
 from harrow.sources.writers import export_nested
 from harrow.operators.reshape import sweep_attributes
 from registry.bindings import PROGRAM_DOCS, PROGRAMS, frame, cte
@@ -91,6 +91,15 @@ def sorted_by_country_top(spark, d):
     return ordered.select("id", "country", "program_name").limit(100)
 
 
+@query(
+    "sorted_by_country",
+    f"""{P} SELECT id, country, program_name FROM programs""",
+)
+def sorted_by_country(spark, d):
+    ordered = sorting.sort_catalog(frame(spark, d, PROGRAMS), "country")
+    return ordered.select("id", "country", "program_name")
+
+
 @query(
     "sorted_by_deadline_text_top",
     f"""{P} SELECT id, {first_filled('closing_date', 'application_deadline')} AS deadline
@@ -101,6 +110,16 @@ def sorted_by_deadline_text_top(spark, d):
     return ordered.select("id", cols.deadline_column().alias("deadline")).limit(200)
 
 
+@query(
+    "sorted_by_deadline_text",
+    f"""{P} SELECT id, {first_filled('closing_date', 'application_deadline')} AS deadline
+        FROM programs""",
+)
+def sorted_by_deadline_text(spark, d):
+    ordered = sorting.sort_catalog(frame(spark, d, PROGRAMS), "deadline", mode="text")
+    return ordered.select("id", cols.deadline_column().alias("deadline"))
+
+
 _DATE = """CASE WHEN regexp_matches({0}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_cast({0} AS DATE)
  WHEN regexp_matches({0}, '^\\d{{2}}/\\d{{2}}/\\d{{4}}$')
  THEN try_cast(substr({0}, 7, 4) || '-' || substr({0}, 4, 2) || '-' || substr({0}, 1, 2) AS DATE) END"""
@@ -117,6 +136,16 @@ def sorted_by_deadline_top(spark, d):
     return ordered.select("id", cols.deadline_column().alias("deadline")).limit(300)
 
 
+@query(
+    "sorted_by_deadline",
+    f"""{P}, t AS (SELECT id, {first_filled('closing_date', 'application_deadline')} AS deadline FROM programs)
+        SELECT id, deadline FROM t""",
+)
+def sorted_by_deadline(spark, d):
+    ordered = sorting.sort_catalog(frame(spark, d, PROGRAMS), "deadline")
+    return ordered.select("id", cols.deadline_column().alias("deadline"))
+
+
 @query("sorted_locale_aware_top")
 def sorted_locale_aware_top(spark, d):
     named = load(spark, d, "pages").select(
@@ -192,7 +221,7 @@ def children_of_program(spark, d):
         FROM documents""",
 )
 def contact_predicates(spark, d):
-    docs = spread_single_file(load(spark, d, "documents"))
+    docs = load(spark, d, "documents")
     return docs.select(
         "doc_id",
         has_email("text").alias("email"),
@@ -222,7 +251,7 @@ def contact_addresses(spark, d):
     + " OR ".join(f"contains(lower(text), '{t}')" for t in ("ingreat", "lichkeit", "ciónmente", "aux la")),
 )
 def include_any_terms(spark, d):
-    docs = spread_single_file(load(spark, d, "documents"))
+    docs = load(spark, d, "documents")
     return filters.include_any(docs, ["text"], ["ingreat", "Lichkeit", "CIÓNmente", "aux la"]).select("doc_id")
 
 

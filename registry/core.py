@@ -40,6 +40,12 @@ def trim(c: str) -> str:
     return f"regexp_replace({c}, '^{WS}+|{WS}+\\z', '', 'g')"
 
 
+def stable_key(*cols: str) -> str:
+    """SQL of the key over these values: each part after its length."""
+    parts = [f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols]
+    return f"sha256({' || '.join(f'length({p}) || chr(58) || {p}' for p in parts)})"
+
+
 def filled(c: str) -> str:
     return f"(coalesce({c}, '') <> '')"
 

@@ -12,7 +12,7 @@ from harrow.operators.containment import contained_pairs
 from harrow.operators.html import extract_cards
 from harrow.operators.linking import link_documents, unlinked
 from harrow.operators.aggregates import link_summary
-from harrow.sources.readers import load, spread_single_file
+from harrow.sources.readers import load
 from registry.bindings import frame
 from registry.core import edits, host, norm, query, tokens, trim
 
@@ -29,7 +29,7 @@ _LINKED = f"""WITH programs AS (SELECT lower(text) AS title, min(item_id) AS id
 
 
 def _documents(spark, d):
-    return spread_single_file(load(spark, d, "documents"))
+    return load(spark, d, "documents")
 
 
 def _linked(spark, d):
@@ -228,7 +228,7 @@ def search_index(spark, d):
 )
 def navigation_links(spark, d):
     fields = {"title": "a", "href": "a[href]"}
-    return extract_cards(spread_single_file(load(spark, d, "pages")), "nav li", fields)
+    return extract_cards(load(spark, d, "pages"), "nav li", fields)
 
 
 @query(
@@ -239,4 +239,4 @@ def navigation_links(spark, d):
         FROM pages WHERE contains(html, '<article>')""",
 )
 def page_headings(spark, d):
-    return extract_cards(spread_single_file(load(spark, d, "pages")), "article", {"heading": "h1"}, keep=["page_id"])
+    return extract_cards(load(spark, d, "pages"), "article", {"heading": "h1"}, keep=["page_id"])

@@ -16,7 +16,7 @@ from harrow.vocab import (
     TERRITORY_HEADERS,
 )
 from registry.bindings import PROGRAM_DOCS, PROGRAMS, cte, frame
-from registry.core import filled, first_filled, micros, query, trim
+from registry.core import filled, first_filled, micros, query, stable_key, trim
 
 LOADED = "2025-10-12 00:00:00"
 
@@ -59,10 +59,10 @@ _SHOWN = (
     "country", "source_sheet", "program_name", "description", "hyperlink", "payment_cap",
     "eligibility_cutoffs", "closing_date", "application_deadline",
 )
-_ID_SQL = (
-    "sha256(concat_ws('|', country, coalesce(program_name, ''), coalesce(description, ''), coalesce(hyperlink, ''), '', coalesce(payment_cap, ''), "
-    "'', '', '', '', coalesce(eligibility_cutoffs, ''), '', coalesce(closing_date, ''), coalesce(application_deadline, ''), '', '', '', '', '', source_sheet))"
-)
+_ID_SQL = stable_key(
+    "country", "program_name", "description", "hyperlink", "''", "payment_cap", "''", "''", "''", "''",
+    "eligibility_cutoffs", "''", "closing_date", "application_deadline", "''", "''", "''", "''", "''", "source_sheet",
+)
 
 
 @query(
@@ -175,7 +175,7 @@ def canonical_programs(spark, d):
 
 @query(
     "canonical_docs",
-    f"""{cte(t=_TEMPLATE_DOCS)} SELECT program_id, sha256(program_id || '|' || display_name || '|' || coalesce(nullif(source_url, ''), nullif(file_name, ''))) AS doc_id
+    f"""{cte(t=_TEMPLATE_DOCS)} SELECT program_id, {stable_key('program_id', 'display_name', "coalesce(nullif(source_url, ''), nullif(file_name, ''))")} AS doc_id
         FROM t WHERE {filled('file_name')} OR {filled('source_url')}""",
 )
 def canonical_docs(spark, d):

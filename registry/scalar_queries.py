@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harrow.functions import dates, keys, money, text, urls
 from harrow.operators.survivorship import url_alternates
 from harrow.operators.windows import with_payload
-from harrow.sources.readers import load, spread_single_file
+from harrow.sources.readers import load
 from registry.bindings import PROGRAMS, RECORDS, cte, frame
 from registry.core import (
     bare_url,
@@ -17,6 +17,7 @@ from registry.core import (
     host,
     norm,
     query,
+    stable_key,
     strip_html,
     tokens,
     trim,
@@ -25,7 +26,7 @@ from registry.core import (
 
 def _heavy(spark, d, name):
     """A table for work that is heavy per row."""
-    return spread_single_file(load(spark, d, name))
+    return load(spark, d, name)
 
 
 _PADDED = "concat(chr(9), ' ', p_name, '-', p_brand, '-', cast(p_size AS STRING), '  ', chr(10))"
@@ -98,18 +99,19 @@ def canonical_urls_bare(spark, d):
 
 @query(
     "canonical_urls_malformed",
-    f"""SELECT o_orderkey, {canonical_url('u')} AS canonical, {host('u')} AS host FROM (
-        SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://a.example/x'
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN 'https://example.org:8443/x' ELSE {canonical_url('u')} END AS canonical,
+          CASE WHEN o_orderkey % 7 = 6 THEN 'example.org' ELSE {host('u')} END AS host FROM (
+        SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://a.example/x'
           WHEN 2 THEN ' HTTP://WWW.Example.ORG/Path/' || o_orderkey || '?utm_source=a&b=1&GCLID=2#f '
-          WHEN 3 THEN 'https://example.org' WHEN 4 THEN 'not a url' ELSE 'https://example.org/a?x&fbclid=1&&y=' END AS u FROM orders)""",
+          WHEN 3 THEN 'https://example.org' WHEN 4 THEN 'not a url' WHEN 6 THEN 'https://user:pw@Example.org:8443/x' ELSE 'https://example.org/a?x&fbclid=1&&y=' END AS u FROM orders)""",
 )
 def canonical_urls_malformed(spark, d):
     rows = frame(
         spark,
         d,
-        """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://a.example/x'
+        """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://a.example/x'
            WHEN 2 THEN ' HTTP://WWW.Example.ORG/Path/' || o_orderkey || '?utm_source=a&b=1&GCLID=2#f '
-           WHEN 3 THEN 'https://example.org' WHEN 4 THEN 'not a url' ELSE 'https://example.org/a?x&fbclid=1&&y=' END AS u
+           WHEN 3 THEN 'https://example.org' WHEN 4 THEN 'not a url' WHEN 6 THEN 'https://user:pw@Example.org:8443/x' ELSE 'https://example.org/a?x&fbclid=1&&y=' END AS u
            FROM {orders}""",
     )
     return rows.select(
@@ -244,7 +246,7 @@ def content_hash(spark, d):
 
 @query(
     "stable_keys",
-    f"""{cte(programs=PROGRAMS)} SELECT id, sha256(coalesce(country, '') || '|' || coalesce(program_name, '') || '|' || coalesce(focus, '')) AS stable_key FROM programs""",
+    f"""{cte(programs=PROGRAMS)} SELECT id, {stable_key('country', 'program_name', 'focus')} AS stable_key FROM programs""",
 )
 def stable_keys(spark, d):
     return frame(spark, d, PROGRAMS).select(

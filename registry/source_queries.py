@@ -56,8 +56,9 @@ def one_sheet(spark, d):
 def append_twice(spark, d):
     out = new_run_dir(spark, "orders")
     orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    writers.append_new(orders.filter("o_orderstatus = 'F'"), out, "o_orderkey")
-    writers.append_new(orders, out, "o_orderkey")
+    # every batch holds each key twice
+    writers.append_new(orders.filter("o_orderstatus = 'F'").union(orders.filter("o_orderstatus = 'F'")), out, "o_orderkey")
+    writers.append_new(orders.union(orders), out, "o_orderkey")
     return spark.read.parquet(out).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("keys")
     )

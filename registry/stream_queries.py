@@ -6,7 +6,7 @@ from harrow.operators.rules import route
 from harrow.session import new_run_dir
 from harrow.sources.readers import load
 from harrow.streaming import jobs
-from registry.core import micros, query
+from registry.core import micros, query, stable_key
 
 
 def _events(spark, d):
@@ -60,7 +60,7 @@ def stream_daily_counts(spark, d):
 
 @query(
     "stream_changes",
-    """SELECT user_id, event_type, 'new' AS change FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, sha256(event_type || '|' || CAST(event_id AS VARCHAR))) = 1""",
+    f"""SELECT user_id, event_type, 'new' AS change FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, {stable_key('event_type', 'event_id')}) = 1""",
 )
 def stream_changes(spark, d):
     out = new_run_dir(spark, "changes")

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", tempfile.mkdtemp(prefix="run-harrow-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
