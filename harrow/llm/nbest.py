@@ -11,6 +11,11 @@ Scores of unigram models are taken as they are. Models of merges store ranks in
 place of probabilities; a rank r counts as the log probability -log(2 + r). So a
 merge model's pieces, ids and decoding are kept, while the segmentation is the
 best one of the lattice and not the one of merging in order.
+
+The forward pass runs for all new parts of a batch at once, over a trie of the
+pieces, and keeps the two best scores of every beginning. Their difference at the
+end tells which parts of a text can be among its N best; only those are searched
+backward.
 """
 
 from __future__ import annotations
@@ -28,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.textblocks import binaries, column_of, pieces
+from harrow.llm.wordcache import PerWord
 
 BLANK = "▁"
 _PART = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 KEPT_PARTS = 1 << 20
+# Parts up to this many characters go through the forward pass together; a longer one goes alone.
+_TOGETHER = 48
+_CHAR_BITS = 21
 
 
 class Pieces:
@@ -59,6 +68,90 @@ class Pieces:
         raw = {i: p.replace(BLANK, " ").encode() for p, i in self.number.items()}
         raw |= {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [raw.get(i, b"") for i in numbers]
+        self._grow()
+
+    def _grow(self) -> None:
+        """The pieces as a trie: sorted (node, character) keys, and the node and piece that each leads to."""
+        node = {"": 0}
+        for p in sorted(self.number.keys() | self.begun, key=len):
+            node[p] = len(node)
+        steps = sorted((node[p[:-1]] << _CHAR_BITS | ord(p[-1]), node[p], self.number.get(p, -1)) for p in node if p)
+        self.steps, self.nodes, self.ends = np.array(steps, np.int64).reshape(-1, 3).T.copy()
+        self.scores = np.zeros(self.size + 1)
+        self.scores[list(self.number.values())] = [self.score[p] for p in self.number]
+
+    def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(begin, length, piece) of each piece in the texts of codes; left: characters to the end of each one's text.
+
+        A character without piece is an edge of piece -1.
+        """
+        begins, lengths, found = [], [], []
+        at, node, length = np.arange(len(codes)), np.zeros(len(codes), np.int64), 1
+        while len(at):
+            keys = node << _CHAR_BITS | codes[at + length - 1]
+            place = np.minimum(np.searchsorted(self.steps, keys), max(len(self.steps) - 1, 0))
+            there = self.steps[place] == keys if len(self.steps) else np.zeros(len(at), bool)
+            piece = np.where(there, self.ends[place], -1) if len(self.steps) else np.full(len(at), -1)
+            real = np.ones(len(at), bool) if length == 1 else piece >= 0
+            begins.append(at[real])
+            lengths.append(np.full(int(real.sum()), length))
+            found.append(piece[real])
+            on = there & (left[at] > length)
+            at, node, length = at[on], self.nodes[place[on]] if len(self.steps) else node[on], length + 1
+        return np.concatenate(begins), np.concatenate(lengths), np.concatenate(found)
+
+    def forward(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Viterbi over many parts: best ids one after another, ids per part, best score, and how far the second falls short.
+
+        Of equal scores the one with the longer last piece is best.
+        """
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        first = np.cumsum(sizes) - sizes
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(parts)), sizes)
+        within = np.arange(len(codes)) - first[own]
+        begin, length, piece = self._edges(codes, sizes[own] - within)
+        # ids and scores of characters without piece follow those of the pieces
+        missing = piece < 0
+        chars, which = np.unique(codes[begin[missing]], return_inverse=True)
+        instead = [self._missing(chr(c)) for c in chars.tolist()]
+        piece[missing] = self.size + which
+        scores = np.concatenate((self.scores[: self.size], [s for _, s in instead]))[piece]
+        spelled = np.concatenate([np.arange(self.size), *[ids for ids, _ in instead]]).astype(np.uint32)
+        spans = np.concatenate((np.ones(self.size, np.int64), [len(ids) for ids, _ in instead])).astype(np.int64)
+        # a node per character and one more per part; edges by where they end, long ones first
+        low = begin + own[begin]
+        high = low + length
+        order = np.lexsort((-length, within[begin] + length))
+        low, high, length, piece, scores = low[order], high[order], length[order], piece[order], scores[order]
+        ends = within[begin][order] + length
+        cuts = np.flatnonzero((np.diff(ends) != 0) | (np.diff(length) != 0)) + 1
+        best, second = np.full((2, len(codes) + len(parts)), -np.inf)
+        back = np.zeros(len(best), np.int64)
+        starts, stops = first + np.arange(len(parts)), first + np.arange(len(parts)) + sizes
+        best[starts] = 0.0
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(low)], strict=True):
+            u, v, s = low[a:b], high[a:b], scores[a:b]
+            one, held = best[u] + s, best[v]
+            second[v] = np.maximum(np.minimum(held, one), np.maximum(second[v], second[u] + s))
+            better = one > held
+            best[v[better]] = one[better]
+            back[v[better]] = np.arange(a, b)[better]
+        paths, at, part = [], stops, np.arange(len(parts))
+        while len(at):
+            edge = back[at]
+            paths.append((part, edge))
+            at = low[edge]
+            on = at > starts[part]
+            at, part = at[on], part[on]
+        part = np.concatenate([p for p, _ in reversed(paths)])
+        edge = np.concatenate([e for _, e in reversed(paths)])
+        edge = edge[np.argsort(part, kind="stable")]
+        kinds = piece[edge]
+        to = np.cumsum(spans[kinds])
+        ids = spelled[np.arange(to[-1]) + np.repeat(np.cumsum(spans)[kinds] - to, spans[kinds])]
+        counts = np.bincount(np.sort(part), spans[kinds], minlength=len(parts)).astype(np.int64)
+        return ids, counts, best[stops], best[stops] - second[stops]
 
     def _missing(self, char: str) -> tuple[tuple[int, ...], float]:
         """A character without piece: its bytes, or the unknown piece; each as bad as the worst piece."""
@@ -143,6 +236,7 @@ class Segmenter:
         self.pieces = Pieces(model_file)
         self.n, self.kept = n, kept
         self._forget()
+        self.others = PerWord(self._alternatives)
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
@@ -152,19 +246,31 @@ class Segmenter:
     def _places(self, parts: list[str]) -> np.ndarray:
         if len(self.place) > self.kept:
             self._forget()
-        for part in set(parts) - self.place.keys():
-            found = self.pieces.nbest(part, min(2, self.n))
-            self.place[part] = len(self.scores)
-            self.ids.extend(found[0][1])
-            self.ends.append(len(self.ids))
-            self.scores.append(found[0][0])
-            self.gaps.append(found[0][0] - found[1][0] if len(found) > 1 else math.inf)
+        new = [p for p in dict.fromkeys(parts) if p not in self.place]
+        short = [p for p in new if len(p) <= _TOGETHER]
+        if short:
+            self._keep(short, *self.pieces.forward(short))
+        for part in new:
+            if len(part) > _TOGETHER:
+                found = self.pieces.nbest(part, 2)
+                gap = found[0][0] - found[1][0] if len(found) > 1 else math.inf
+                ids = np.array(found[0][1], np.uint32)
+                self._keep([part], ids, np.array([len(ids)]), np.array([found[0][0]]), np.array([gap]))
         return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
 
+    def _keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray, scores: np.ndarray, gaps: np.ndarray) -> None:
+        self.place.update(zip(parts, range(len(self.scores), len(self.scores) + len(parts)), strict=True))
+        self.ends.frombytes((self.ends[-1] + np.cumsum(sizes)).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.scores.frombytes(scores.astype(np.float64).tobytes())
+        self.gaps.frombytes(gaps.astype(np.float64).tobytes())
+
     def _alternatives(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
         """What else a part may be: (shortfall, ids), least first. Asked for the few parts that matter."""
+        place = self.place[part]
+        own = tuple(self.ids[self.ends[place] : self.ends[place + 1]])
         found = self.pieces.nbest(part, self.n)
-        return [(found[0][0] - s, ids) for s, ids in found[1:]]
+        return [(found[0][0] - s, ids) for s, ids in found if ids != own][: self.n - 1]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list]]:
         """Best ids of all texts one after another, how many each has, and its n best.
@@ -189,7 +295,7 @@ class Segmenter:
             own = gaps[low:high]
             near = np.argsort(own, kind="stable")[: self.n - 1] if high - low < 64 else self._least(own)
             near = [int(k) for k in near if own[k] < math.inf]
-            rest = [self._alternatives(parted[i][k]) for k in near]
+            rest = [self.others[parted[i][k]] for k in near]
             ways = combine([[g for g, _ in r] for r in rest], self.n)
             best.append(
                 [

@@ -306,6 +306,20 @@ def test_without_repeats_equals_brute_force(spark, rows):
     assert suffixes.without_repeats(frame(spark, [])).count() == 0
 
 
+def test_forward_pass_of_many_parts_equals_the_search_of_each():
+    pieces = nbest.Pieces(MODEL)
+    texts = ["the quick brown fox", "antidisestablishmentarianism", "日本語 x😀é", "\n", "   a", "a" * 48, "zz" * 20, "1234 5.6"]
+    parts = list(dict.fromkeys(p for t in texts for p in nbest.parts_of(t)))
+    ids, counts, best, gaps = pieces.forward(parts)
+    ends = np.cumsum(counts)
+    for part, end, count, score, gap in zip(parts, ends, counts, best, gaps, strict=True):
+        found = pieces.nbest(part, 2)
+        assert score == pytest.approx(found[0][0])
+        assert gap == pytest.approx(found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+        if gap > 1e-9:
+            assert tuple(ids[end - count : end].tolist()) == found[0][1]
+
+
 def test_nbest_equals_all_segmentations():
     pieces = nbest.Pieces(MODEL)
 
