@@ -38,6 +38,8 @@ from harrow.llm.wordcache import PerWord
 BLANK = "▁"
 _PART = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 KEPT_PARTS = 1 << 20
+# Parts whose alternatives are kept; each takes about a kilobyte.
+KEPT_ALTERNATIVES = 1 << 14
 # Parts up to this many characters go through the forward pass together; a longer one goes alone.
 _TOGETHER = 48
 _CHAR_BITS = 21
@@ -236,7 +238,7 @@ class Segmenter:
         self.pieces = Pieces(model_file)
         self.n, self.kept = n, kept
         self._forget()
-        self.others = PerWord(self._alternatives)
+        self.others = PerWord(self._alternatives, KEPT_ALTERNATIVES)
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
