@@ -3,14 +3,16 @@
 The graph starts from neighbours inside small random cells. Each round of
 NN-descent joins every node's neighbours, in both directions, with one another
 and keeps each node's nearest. A search keeps the nearest nodes met so far and
-goes on from those it has not expanded, until all are. Nearness is the Euclidean
-distance in double precision.
+goes on from those it has not expanded, until all are; it keeps more in a larger
+table, for a fixed number loses neighbours as the table grows. Nearness is the
+Euclidean distance in double precision.
 
 Equal vectors are one node of the graph; their rows come back in the result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ DEGREE = 24
 TABLES = 8
 CELL = 96
 OFFERS = 6  # what a local join offers a node per round; the rest comes in later rounds
-BEAM = 64
+BEAM = 64  # least nodes a search keeps
 SETTLED = 0.01  # NN-descent ends when fewer links than this share change
 ROUNDS = 8
 
@@ -169,6 +171,11 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
     return graph
 
 
+def beam_for(count: int) -> int:
+    """How many nodes a search keeps among `count`: the square root, BEAM at least."""
+    return max(BEAM, math.isqrt(max(count - 1, 0)) + 1)
+
+
 def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries: DataFrame, beam: int = BEAM) -> DataFrame:
     """(query, node): the `beam` nearest nodes met by each query, going along the graph from its entries.
 
@@ -216,6 +223,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
         graph,
         queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")),
         queries.select(F.col("vec_id").alias("query"), "node"),
+        beam_for(nodes.count()),
     )
     # of equal vectors only the first k + 1 rows can be among k results
     lowest = Window.partitionBy("node").orderBy("vec_id")

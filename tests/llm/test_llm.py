@@ -384,6 +384,21 @@ def test_neighbours(spark, small):
     assert all(s == pytest.approx(math.dist(place[q], place[i])) for q, near in found.items() for i, s in near.items())
 
 
+def test_search_widens_with_the_table(spark, monkeypatch):
+    asked = []
+
+    def search(nodes, graph, queries, entries, beam=64):
+        asked.append(beam)
+        return entries
+
+    monkeypatch.setattr(neighbours, "neighbour_graph", lambda nodes: None)
+    monkeypatch.setattr(neighbours, "greedy_search", search)
+    table = spark.range(1, 20_001).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"))
+    neighbours.nearest_neighbours(table)
+    neighbours.nearest_neighbours(table.limit(100))
+    assert asked[0] >= 128 and asked[1] == 64
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [0.0, 2.0]), (8, None), (9, [0.0, 0.0]), (10, [nan, 1.0]),
