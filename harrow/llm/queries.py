@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm.decontaminate import contaminated
 from harrow.llm.language import languages
-from harrow.llm.lines import lines_per_document
+from harrow.llm.lines import SHORT_SHINGLE, lines_per_document
 from harrow.llm.nbest import decode, encode
 from harrow.llm.neighbours import nearest_neighbours
 from harrow.llm.ngramjoin import ngram_components
@@ -102,7 +102,7 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    left = lines_per_document(table(spark, folder, "documents"))
+    left = lines_per_document(table(spark, folder, "documents"), SHORT_SHINGLE)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

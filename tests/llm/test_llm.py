@@ -224,6 +224,42 @@ def test_kept_lines_equal_all_pairs(spark):
     assert lines.kept_lines(frame(spark, [])).count() == 0
 
 
+def edited_lines():
+    """Lines of 30 to 120 bytes, each with a copy in which a character or a word is another."""
+    draw = np.random.default_rng(11)
+    out = []
+    for size in range(30, 121, 6):
+        for kind in ("character", "word"):
+            words = ["".join(chr(c) for c in draw.integers(97, 123, 6)) for _ in range(20)]
+            line = " ".join(words)[: size - 1] + "z"
+            at = 14 if size < 60 else 35
+            new = line[:at] + "#" + line[at + 1 :] if kind == "character" else line[: at - at % 7] + "#%&$+=" + line[at - at % 7 + 6 :]
+            out.append((line, new, size, kind))
+    return out
+
+
+def test_query_links_short_edited_lines(spark, tmp_path):
+    planted = edited_lines()
+    some = [(2 * i + j, (a, b)[j]) for i, (a, b, _, _) in enumerate(planted) for j in (0, 1)]
+    frame(spark, some).select(*[c.split()[0] for c in DOCS.split(", ")]).write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {r["doc_id"] for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect() if r["n_removed"]}
+    for i, (_, _, size, kind) in enumerate(planted):
+        assert (2 * i + 1 in gone) == (size >= (39 if kind == "character" else 84)), (size, kind)
+
+
+def test_kept_lines_of_short_shingles_equal_all_pairs(spark, rows):
+    some = [(-1 - i, a + "\n" + b) for i, (a, b, _, _) in enumerate(edited_lines())] + rows[:40] + [(9000, "ab\nAB\nabc\nabcd\nabcde")]
+    got = {tuple(r) for r in lines.kept_lines(frame(spark, some), width=4).collect()}
+    sets = {}
+    for d, t in some:
+        for i, x in enumerate((t or "").split("\n")):
+            raw = re.sub(rb"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r").encode())
+            if raw:
+                sets[d, i] = frozenset(raw[j : j + 4] for j in range(max(1, len(raw) - 3)))
+    want = set(brute_components(sets, 80, 100).values())
+    assert want <= got and len(got - want) <= 0.01 * len(want)  # bands may miss a pair at the threshold
+
+
 def test_banding_recall(spark, rows):
     sets = line_sets(rows)
     got = {tuple(r) for r in lines.kept_lines(frame(spark, rows)).collect()}
