@@ -4,7 +4,9 @@ Every string of WINDOW bytes has an anchor, the run of GRAM bytes in it with the
 least hash. Equal strings have equal anchors, so strings are brought together by
 the hash of their anchor; the strings of one anchor overlap and travel as one
 stretch of text. Stretches whose anchor, with the bytes on either side, occurs in
-one document only are left out beforehand. A task sorts the suffixes of its stretches in two stages: suffixes
+one document only are left out beforehand. Stretches of an anchor that is in very
+many are split into their windows, which are brought together one by one; equal
+ones are counted together before they travel. For the others, a task sorts the suffixes of its stretches in two stages: suffixes
 smaller than their successors are sorted directly, all others are induced from
 them by scans over the buckets of first bytes. Neighbours in that order with a
 common prefix of WINDOW bytes are equal strings.
@@ -29,6 +31,7 @@ SIDE = 16  # at most (WINDOW - GRAM) / 2
 _SPAN = WINDOW - GRAM + 1  # anchors a window can have
 _PLACE = np.uint64(30)
 _BLOCK_BYTES = 2 << 20
+HOT_ROWS = 50_000  # an anchor counted more often, by its shared sides, is dealt out by window
 
 
 def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -205,7 +208,7 @@ def side_keys(data: np.ndarray, starts: np.ndarray, text: np.ndarray, at: np.nda
 
 
 def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """Side keys of anchors that occur in several documents, cut to the bits of a bitmap."""
+    """Side keys of anchors that occur in several documents, cut to the bits of a bitmap, with the anchor and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -216,24 +219,31 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
             # a document counts once for a key; its rows in this piece are told apart by place
             both = np.concatenate(side_keys(data, starts, text, at, keys))
             owner = np.concatenate((text, text))[both > 0]
+            anchor = np.concatenate((keys, keys))[both > 0]
             both = both[both > 0]
             order = np.lexsort((owner, both))
-            both, owner = both[order], owner[order]
+            both, owner, anchor = both[order], owner[order], anchor[order]
             own = np.ones(len(both), bool)
             own[1:] = (both[1:] != both[:-1]) | (owner[1:] != owner[:-1])
-            found, many = np.unique((both[own] >> np.uint64(1)) & np.uint64((1 << 31) - 1), return_counts=True)
+            found, lead, many = np.unique(_short(both[own]), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.astype(np.int32)), pa.array(np.minimum(many, 2).astype(np.int32))], names=["key", "n"]
+                [pa.array(found.astype(np.int32)), pa.array(_short(anchor[own][lead]).astype(np.int32)), pa.array(many.astype(np.int32))],
+                names=["key", "anchor", "n"],
             )
 
-    counted = rows.mapInArrow(run, "key int, n int").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.where("n > 1").select((F.col("key").bitwiseAND(F.lit(BITS - 1))).cast("long").alias("key"))
+    counted = rows.mapInArrow(run, "key int, anchor int, n int").groupBy("key").agg(F.max("anchor").alias("anchor"), F.sum("n").alias("n"))
+    return counted.where("n > 1").select((F.col("key").bitwiseAND(F.lit(BITS - 1))).cast("long").alias("key"), "anchor", "n")
 
 
-def _shared_stretches(rows: DataFrame, bitmap) -> DataFrame:
+def _short(keys: np.ndarray) -> np.ndarray:
+    """31 bits of each key."""
+    return (keys >> np.uint64(1)) & np.uint64((1 << 31) - 1)
+
+
+def _shared_stretches(rows: DataFrame, bitmap, hot=None, wanted: bool = False) -> DataFrame:
     """Stretches whose anchor may be shared: anchor, bytes, and who holds them where.
 
-    Equal stretches of one piece of input are one row, whatever their number.
+    With a bitmap of hot anchors, those of hot anchors alone are wanted, or all others. Equal stretches of one piece of input are one row, whatever their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +253,8 @@ def _shared_stretches(rows: DataFrame, bitmap) -> DataFrame:
             before, after = side_keys(data, starts, text, at, keys)
             keep = (before > 0) & hits(bitmap.value, (before >> np.uint64(1)).view(np.int64))
             keep |= (after > 0) & hits(bitmap.value, (after >> np.uint64(1)).view(np.int64))
+            if hot is not None:
+                keep &= hits(hot.value, _short(keys).view(np.int64)) == wanted
             text, first, last, keys = text[keep], first[keep], last[keep], keys[keep]
             if not len(keys):
                 continue
@@ -274,6 +286,106 @@ def _shared_stretches(rows: DataFrame, bitmap) -> DataFrame:
     return rows.mapInArrow(run, "key long, body binary, held binary")
 
 
+def _runs(least: np.ndarray, many: np.ndarray, owner: np.ndarray, who: np.ndarray) -> pa.RecordBatch | None:
+    """The runs of windows that a document earlier than their holder has.
+
+    least is the first document of each window, many the windows of each stretch;
+    who are holders (document, text, place), owner the stretch of each.
+    """
+    begins = np.cumsum(many) - many
+    # occurrences whose document is later than some holder of a window of theirs
+    lowest = np.minimum.reduceat(least, begins)
+    late = lowest[owner] < who[:, 0]
+    who, owner = who[late], owner[late]
+    if not len(owner):
+        return None
+    count = many[owner]
+    row = np.repeat(np.arange(len(owner)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    gone = least[begins[owner][row] + offset] < who[row, 0]
+    row, offset = row[gone], offset[gone]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
+    at = np.flatnonzero(fresh)
+    length = np.diff(np.append(at, len(row)))
+    row, offset = row[at], offset[at]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(who[row, 0].copy()), pa.array(who[row, 1].copy()), pa.array((who[row, 2] + offset) * 256 + length)],
+        names=["doc_id", "t", "run"],
+    )
+
+
+def _windows(spans: DataFrame, known=None) -> DataFrame:
+    """Every window of stretches (sid, body, held): its bytes, a hash of them, where it is, its first and last holder.
+
+    With a bitmap of hashes, only windows that may be in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "body"):
+            data, starts = utf8(column_of(piece, "body"))
+            many = np.diff(starts) - WINDOW + 1
+            sid = np.repeat(np.arange(len(many)), many)
+            off = np.arange(len(sid)) - np.repeat(np.cumsum(many) - many, many)
+            place = starts[:-1][sid] + off
+            words = _words(data)
+            h = np.zeros(len(place), np.uint64)
+            for at in range(0, WINDOW, 8):
+                h = mixed(h ^ words[place + at] >> np.uint64(8 * max(0, at + 8 - WINDOW)))
+            if known is not None:
+                keep = hits(known.value, h.view(np.int64))
+                sid, off, place, h = sid[keep], off[keep], place[keep], h[keep]
+            if not len(place):
+                continue
+            who = [np.frombuffer(x.as_buffer(), np.int64)[::3] for x in column_of(piece, "held")]
+            least, most = (np.array([f(w) for w in who], np.int64) for f in (np.min, np.max))
+            sizes = np.full(len(place), WINDOW)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    binaries(_take(data, place, sizes), sizes),
+                    pa.array(h.view(np.int64)),
+                    column_of(piece, "sid").take(pa.array(sid)),
+                    pa.array(off),
+                    pa.array(least[sid]),
+                    pa.array(most[sid]),
+                ],
+                names=["win", "h", "sid", "off", "least", "most"],
+            )
+
+    return spans.select("sid", "body", "held").mapInArrow(run, "win binary, h long, sid long, off long, least long, most long")
+
+
+def _removed_by_window(rows: DataFrame) -> DataFrame:
+    """As _removed, for anchors with any number of stretches: each window is looked up by its bytes.
+
+    Equal windows are one row per task before they are dealt out, so a passage in
+    very many documents is counted where it is read; the join back has one row
+    per window on its right side.
+    """
+    spans = cut_lineage(rows.select("body", "held").withColumn("sid", F.monotonically_increasing_id()))
+    firsts = _windows(spans).groupBy("win").agg(F.min("h").alias("h"), F.min("least").alias("first"), F.max("most").alias("last"))
+    firsts = cut_lineage(firsts.where("first < last").select("win", "h", "first"))
+    found = _windows(spans, bitmap_of(firsts, "h")).drop("h").join(firsts.drop("h"), "win").where("first < most")
+    told = found.groupBy("sid").agg(F.collect_list(F.struct("off", "first")).alias("firsts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "held"):
+            many = column_of(piece, "n").to_numpy() - WINDOW + 1
+            begins = np.cumsum(many) - many
+            least = np.full(int(many.sum()), np.iinfo(np.int64).max)
+            lists = column_of(piece, "firsts")
+            row = np.repeat(np.arange(len(many)), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            least[begins[row] + flat.field("off").to_numpy()] = flat.field("first").to_numpy()
+            who = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in column_of(piece, "held")]
+            owner = np.repeat(np.arange(len(who)), [len(w) for w in who])
+            if (gone := _runs(least, many, owner, np.concatenate(who))) is not None:
+                yield gone
+
+    joined = spans.join(told, "sid").select(F.octet_length("body").cast("long").alias("n"), "held", "firsts")
+    return joined.mapInArrow(run, "doc_id long, t long, run long")
+
+
 def _removed(rows: DataFrame) -> DataFrame:
     """(doc_id, t, run): runs of windows that an earlier document holds, as first * 256 + how many."""
 
@@ -288,27 +400,7 @@ def _removed(rows: DataFrame) -> DataFrame:
         holders = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(holders, owner, who[:, 0])
         least, many = first_holders(np.frombuffer(b"".join(distinct), np.uint8), sizes, holders)
-        begins = np.cumsum(many) - many
-        # occurrences whose document is later than some holder of a window of theirs
-        lowest = np.minimum.reduceat(least, begins)
-        late = lowest[owner] < who[:, 0]
-        who, owner = who[late], owner[late]
-        if not len(owner):
-            return None
-        count = many[owner]
-        row = np.repeat(np.arange(len(owner)), count)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        gone = least[begins[owner][row] + offset] < who[row, 0]
-        row, offset = row[gone], offset[gone]
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
-        at = np.flatnonzero(fresh)
-        length = np.diff(np.append(at, len(row)))
-        row, offset = row[at], offset[at]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(who[row, 0].copy()), pa.array(who[row, 1].copy()), pa.array((who[row, 2] + offset) * 256 + length)],
-            names=["doc_id", "t", "run"],
-        )
+        return _runs(least, many, owner, who)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies: list[bytes] = []
@@ -344,9 +436,16 @@ def without_repeats(docs: DataFrame, *kept: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"), *kept)
     named = rows.where("doc_id is not null").select("doc_id", "t", "text")
-    bitmap = bitmap_of(cut_lineage(_shared_anchors(named)), "key")
-    dealt = _shared_stretches(named, bitmap).repartition("key").sortWithinPartitions("key")
-    runs = cut_lineage(_removed(dealt)).groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs"))
+    anchors = cut_lineage(_shared_anchors(named))
+    bitmap = bitmap_of(anchors, "key")
+    hot = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_ROWS).select(F.col("anchor").cast("long"))
+    hot = cut_lineage(hot)
+    crowded = None if hot.isEmpty() else bitmap_of(hot, "anchor")
+    dealt = _shared_stretches(named, bitmap, crowded).repartition("key").sortWithinPartitions("key")
+    found = _removed(dealt)
+    if crowded is not None:
+        found = found.unionByName(_removed_by_window(_shared_stretches(named, bitmap, crowded, True)))
+    runs = cut_lineage(found).groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs"))
     joined = rows.join(runs, ["doc_id", "t"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -342,6 +342,39 @@ def test_without_repeats_equals_brute_force(spark, rows):
     assert suffixes.without_repeats(frame(spark, [])).count() == 0
 
 
+def test_hot_anchors_are_split_without_losing_windows(spark, rows, monkeypatch):
+    draw = np.random.default_rng(12)
+
+    def noise(n):
+        return bytes(draw.integers(97, 123, n, dtype=np.uint8)).decode()
+
+    passage = noise(300)
+    texts = [noise(60) + passage[i % 3 :] + noise(60) for i in range(120)] + [passage[100:180], passage + passage, "é" * 60, "a" * 200]
+    some = [(7 * i % 1009, t) for i, t in enumerate(texts)] + [(2000 + d, t) for d, t in rows[:60]]
+    largest = []
+    removed = suffixes._removed
+
+    def counted(dealt):
+        largest.append(max(r["count"] for r in dealt.groupBy("key").count().collect()))
+        return removed(dealt)
+
+    monkeypatch.setattr(suffixes, "_removed", counted)
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 40, raising=False)
+    got = {r["doc_id"]: r for r in suffixes.without_repeats(frame(spark, some).repartition(8)).collect()}
+    raw = {d: t.encode() for d, t in some}
+    first = {}
+    for d in sorted(raw):
+        for i in range(len(raw[d]) - 49):
+            first.setdefault(raw[d][i : i + 50], d)
+    for d, b in raw.items():
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        assert got[d]["n_removed"] == int(gone.sum()) and got[d]["remaining"] == np.frombuffer(b, np.uint8)[~gone].tobytes(), d
+    assert largest[0] <= 40
+
+
 def test_forward_pass_of_many_parts_equals_the_search_of_each():
     pieces = nbest.Pieces(MODEL)
     texts = ["the quick brown fox", "antidisestablishmentarianism", "日本語 x😀é", "\n", "   a", "a" * 48, "zz" * 20, "1234 5.6"]
