@@ -146,14 +146,22 @@ def sorted_by_deadline(spark, d):
     return ordered.select("id", cols.deadline_column().alias("deadline"))
 
 
-@query("sorted_locale_aware_top")
-def sorted_locale_aware_top(spark, d):
-    named = load(spark, d, "pages").select(
+def _named_pages(spark, d):
+    return load(spark, d, "pages").select(
         F.col("page_id").alias("id"),
         F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("country"),
         F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("program_name"),
     )
-    return sorting.sort_catalog(named, "name", locale=True).limit(100)
+
+
+@query("sorted_locale_aware_top")
+def sorted_locale_aware_top(spark, d):
+    return sorting.sort_catalog(_named_pages(spark, d), "name", locale=True).limit(100)
+
+
+@query("sorted_locale_aware")
+def sorted_locale_aware(spark, d):
+    return sorting.sort_catalog(_named_pages(spark, d), "name", locale=True)
 
 
 @query(

@@ -73,6 +73,16 @@ def test_locale_order(spark):
     assert ordered == ["a", "A", "b", "B", "é", "f"]
 
 
+def test_full_locale_order_query(spark, tmp_path):
+    from registry import QUERIES
+
+    names = ["b", "A", "é", "a", "B", "f"]
+    pages = [(i, "", f'<html lang="en"><title>{names[i % 6]}</title></html>') for i in range(120)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.program_name, r.id) for r in QUERIES["sorted_locale_aware"](spark, str(tmp_path)).collect()]
+    assert got == [(n, i) for n in ["a", "A", "b", "B", "é", "f"] for i in range(120) if names[i % 6] == n]
+
+
 def test_deadline_order(spark):
     data = [(1, "", "2 March 2025"), (2, "10/02/2025", ""), (3, None, None), (4, "Rolling", None)]
     df = spark.createDataFrame(data, "id int, closing_date string, application_deadline string")
