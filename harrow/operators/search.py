@@ -68,28 +68,55 @@ def token_index(df: DataFrame, key: str, weights: Mapping[str, int]) -> DataFram
 
 
 def search_index(
-    index: DataFrame, queries: DataFrame, key: str, limit: int = BROADCAST_LIMIT, salts: int = 16
+    index: DataFrame, queries: DataFrame, key: str, limit: int = BROADCAST_LIMIT
 ) -> DataFrame:
     """All words of many queries at once: (query_id, key, matched_terms, score), rows with every word.
 
-    queries holds (query_id, query). Query words within the broadcast limit are
-    looked up while the postings stream by. More of them are joined by word,
-    with the postings of a word spread over salts, so that a common word never
-    sits in one task.
+    queries holds (query_id, query). Queries of the same words are looked up once.
+    One pass over the index keeps the postings of the words asked for and gives
+    their document frequencies. A query starts from the postings of its rarest
+    word; those rows are then looked up under its other words, by word and row, so a
+    word that every text and query holds makes no product. A query with a word that
+    no row has, or without a word, finds nothing.
     """
-    words = cut_lineage(queries.select("query_id", F.explode(tokens("query")).alias("term")))
-    needed = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    if measured_bytes(words) <= limit:
-        joined = index.join(F.broadcast(words), "term")
-    else:
-        salted = words.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        postings = index.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-        joined = postings.join(salted, ["term", "_s"])
-    hits = joined.groupBy("query_id", key).agg(
-        F.count(F.lit(1)).alias("matched_terms"), F.sum("weight").alias("score")
+    terms = F.array_sort(tokens("query"))
+    asked = queries.select("query_id", terms.alias("_terms")).filter(F.size("_terms") > 0)
+    asked = cut_lineage(asked.withColumn("_q", F.sha2(F.array_join("_terms", " "), 256)))
+    sets = cut_lineage(asked.groupBy("_q").agg(F.first("_terms").alias("_terms")))
+    each = sets.select("_q", F.size("_terms").cast("bigint").alias("needed"), F.explode("_terms").alias("term"))
+    vocabulary = cut_lineage(each.select("term").distinct())
+    small = measured_bytes(vocabulary) <= limit
+    postings = cut_lineage(index.join(F.broadcast(vocabulary) if small else vocabulary, "term"))
+    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    known = (
+        each.join(frequency, "term")
+        .groupBy("_q", "needed")
+        .agg(F.array_sort(F.collect_list(F.struct("_n", "term"))).alias("_by"))
+        .filter(F.size("_by") == F.col("needed"))
     )
-    return (
-        hits.join(needed, "query_id")
-        .filter(F.col("matched_terms") == F.col("needed"))
-        .drop("needed")
+    starts = cut_lineage(
+        known.select(
+            "_q",
+            "needed",
+            F.col("_by")[0]["term"].alias("term"),
+            F.slice("_by.term", F.lit(2), F.greatest(F.size("_by") - 1, F.lit(0))).alias("_others"),
+        )
+    )
+    if measured_bytes(starts) <= limit:
+        starts = F.broadcast(starts)
+    first = postings.join(starts, "term").select("_q", "needed", key, "weight", "_others")
+    alone = first.filter("needed = 1").select("_q", key, "needed", F.col("weight").alias("score"))
+    others = first.filter("needed > 1").select(
+        "_q", "needed", key, F.col("weight").alias("_w"), F.explode("_others").alias("term")
+    )
+    together = (
+        others.join(postings, ["term", key])
+        .groupBy("_q", key, "needed", "_w")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_s"))
+        .filter(F.col("_n") == F.col("needed") - 1)
+        .select("_q", key, "needed", (F.col("_w") + F.col("_s")).alias("score"))
+    )
+    hits = alone.unionByName(together)
+    return asked.select("query_id", "_q").join(hits, "_q").select(
+        "query_id", key, F.col("needed").alias("matched_terms"), "score"
     )

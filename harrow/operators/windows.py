@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.text import blank_to_null
+from harrow.session import cut_lineage
 
 
 def _newest_first(times: Sequence[str], tie: str) -> Column:
@@ -48,37 +49,49 @@ def mark_superseded(df: DataFrame, key: str, times: Sequence[str], row_id: str)
     return df.join(newest, key, "left").withColumn("superseded_by", by).drop("_newest")
 
 
-def _chunk(time: str, seconds: int) -> Column:
-    """Start of the time slice. Rows without a time share the slice before all others."""
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    return F.coalesce(micros - F.pmod(micros, F.lit(seconds * 1_000_000)), F.lit(-(2**62)))
+def sliced(df: DataFrame, key: str, order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """The rows with _s, the number of their slice: a written table.
+
+    The table is cut into slices of about equal depth along (key, order): Spark
+    samples the keys with the whole order and splits between them. A key with many
+    rows lies in many slices, also when all its rows fall on one day or have no
+    time; small keys share one. Slices of a key ascend with its order, NULL first.
+    """
+    along = [key, *order]
+    ranged = df.repartitionByRange(slices, *along) if slices else df.repartitionByRange(*along)
+    # written, so that every reader sees the same cuts
+    return cut_lineage(ranged.withColumn("_s", F.spark_partition_id()))
+
+
+def _same_slice(key: str) -> Column:
+    return F.col(key).eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_ks"))
 
 
 def with_previous(
-    df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], chunk_seconds: int
+    df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], slices: int | None = None
 ) -> DataFrame:
     """Adds prev: struct(fields) of the row before within the key, NULL for the first row.
 
     Equal to lag() over the key, but no task needs a whole key: rows are ranked
-    per key and time slice, and each slice takes over the last row of the
-    nearest earlier one. order[0] is the time column; the order must be total.
+    per key and slice, and each slice takes over the last row of the nearest
+    earlier one. The order must be total. slices: how many, by default as many as
+    shuffle partitions.
     """
-    sliced = df.withColumn("_c", _chunk(order[0], chunk_seconds))
+    cut = sliced(df, key, order, slices)
     row, place = F.struct(*fields), F.struct(*order)
-    last = sliced.groupBy(key, "_c").agg(F.max_by(row, place).alias("_last"))
+    last = cut.groupBy(key, "_s").agg(F.max_by(row, place).alias("_last"))
     carry = last.select(
         F.col(key).alias("_k"),
-        F.col("_c").alias("_s"),
-        F.lag("_last").over(Window.partitionBy(key).orderBy("_c")).alias("_carry"),
+        F.col("_s").alias("_ks"),
+        F.lag("_last").over(Window.partitionBy(key).orderBy("_s")).alias("_carry"),
     )
-    w = Window.partitionBy(key, "_c").orderBy(*order)
-    ranked = sliced.withColumns({"_prev": F.lag(row).over(w), "_n": F.row_number().over(w)})
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_s"))
+    w = Window.partitionBy(key, "_s").orderBy(*order)
+    ranked = cut.withColumns({"_prev": F.lag(row).over(w), "_n": F.row_number().over(w)})
     prev = F.when(F.col("_n") > 1, F.col("_prev")).otherwise(F.col("_carry"))
     return (
-        ranked.join(carry, same, "left")
+        ranked.join(carry, _same_slice(key), "left")
         .withColumn("prev", prev)
-        .drop("_c", "_prev", "_n", "_k", "_s", "_carry")
+        .drop("_s", "_prev", "_n", "_k", "_ks", "_carry")
     )
 
 
@@ -87,13 +100,14 @@ def diff_history(
     key: str,
     order: Sequence[str],
     fields: Sequence[str],
-    chunk_seconds: int = 86_400,
+    slices: int | None = None,
 ) -> DataFrame:
     """One row per changed field between consecutive versions of a key.
 
     A change from or to NULL counts. The first version has nothing to differ from.
     """
-    seen = with_previous(df, key, order, fields, chunk_seconds).filter("prev IS NOT NULL")
+    needed = df.select(*dict.fromkeys([key, *order, *fields]))
+    seen = with_previous(needed, key, order, fields, slices).filter("prev IS NOT NULL")
     changes = F.array(
         *[
             F.when(
@@ -131,13 +145,13 @@ def changed_snapshots(
     order: Sequence[str],
     text: str,
     threshold: int = 200,
-    chunk_seconds: int = 86_400,
+    slices: int | None = None,
 ) -> DataFrame:
     """Snapshots whose whole text differs from the one before by at least threshold characters.
 
     First snapshots are not reported; NULL text counts as empty.
     """
-    seen = with_previous(df, key, order, [text], chunk_seconds).filter("prev IS NOT NULL")
+    seen = with_previous(df, key, order, [text], slices).filter("prev IS NOT NULL")
     empty = F.lit("")
     changed = text_changed(
         F.coalesce(F.col(text), empty), F.coalesce(F.col(f"prev.{text}"), empty), threshold
@@ -151,43 +165,42 @@ def rolling_failure_rate(
     order: Sequence[str],
     failed: str,
     calls: int = 20,
-    chunk_seconds: int = 86_400,
+    slices: int | None = None,
 ) -> DataFrame:
     """Share of failures in the last calls of each key, the current one included.
 
-    Works per key and time slice like with_previous; a slice takes over the
-    last calls-1 outcomes from before it, which is a short array.
+    Works per key and slice like with_previous; a slice takes over the last
+    calls-1 outcomes from before it, which is a short array.
     """
     flag = F.coalesce(F.col(failed).cast("int"), F.lit(0))
-    sliced = log.withColumns({"_c": _chunk(order[0], chunk_seconds), "_f": flag})
-    newest = Window.partitionBy(key, "_c").orderBy(*[F.col(o).desc() for o in order])
+    cut = sliced(log, key, order, slices).withColumn("_f", flag)
+    newest = Window.partitionBy(key, "_s").orderBy(*[F.col(o).desc() for o in order])
     last = (
-        sliced.select(key, "_c", "_f", F.row_number().over(newest).alias("_d"))
+        cut.select(key, "_s", "_f", F.row_number().over(newest).alias("_d"))
         .filter(F.col("_d") < calls)
-        .groupBy(key, "_c")
+        .groupBy(key, "_s")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("_d")).alias("d"), "_f"))).alias("_l"))
     )
-    before = Window.partitionBy(key).orderBy("_c").rowsBetween(-(calls - 1), -1)
+    before = Window.partitionBy(key).orderBy("_s").rowsBetween(-(calls - 1), -1)
     carry = last.select(
         F.col(key).alias("_k"),
-        F.col("_c").alias("_s"),
+        F.col("_s").alias("_ks"),
         F.flatten(F.collect_list(F.col("_l._f")).over(before)).alias("_carry"),
     )
-    w = Window.partitionBy(key, "_c").orderBy(*order)
+    w = Window.partitionBy(key, "_s").orderBy(*order)
     recent = w.rowsBetween(-(calls - 1), 0)
-    ranked = sliced.withColumns(
+    ranked = cut.withColumns(
         {"_in": F.sum("_f").over(recent), "_got": F.count(F.lit(1)).over(recent).cast("int")}
     )
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_s"))
     take = F.least(F.lit(calls) - F.col("_got"), F.size("_carry"))
     earlier = F.aggregate(
         F.slice("_carry", F.size("_carry") - take + 1, take), F.lit(0), lambda a, f: a + f
     )
     rate = (F.col("_in") + earlier) / (F.col("_got") + take)
     return (
-        ranked.join(carry, same, "left")
+        ranked.join(carry, _same_slice(key), "left")
         .withColumn("failure_rate", F.round(rate, 6))
-        .drop("_c", "_f", "_in", "_got", "_k", "_s", "_carry")
+        .drop("_s", "_f", "_in", "_got", "_k", "_ks", "_carry")
     )
 
 

@@ -81,6 +81,16 @@ def sorted_by_name_page(spark, d):
     return sorting.page(ordered, ["program_name", "id"], 100, 40)
 
 
+@query(
+    "sorted_by_name_deep_page",
+    f"""{P} SELECT id, program_name FROM programs ORDER BY program_name NULLS FIRST, id
+        LIMIT 100 OFFSET (SELECT count(*) // 2 FROM programs)""",
+)
+def sorted_by_name_deep_page(spark, d):
+    ordered = frame(spark, d, PROGRAMS).select("id", "program_name")
+    return sorting.page(ordered, ["program_name", "id"], ordered.count() // 2, 100, front=0)
+
+
 @query(
     "sorted_by_country_top",
     f"""{P} SELECT id, country, program_name FROM programs

@@ -170,6 +170,38 @@ def similar_edited_titles(spark, d):
     )
 
 
+# Titles of different customers have next to nothing in common, and the four endings make
+# two groups of similar titles, so the clusters follow from the generator above.
+@query(
+    "edited_title_clusters",
+    "SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 3, o_orderkey % 4 < 2) AS cluster FROM orders",
+)
+def edited_title_clusters(spark, d):
+    return fuzzy.similar_clusters(frame(spark, d, _EDITED), "o_orderkey", "title", ["kind"], 0.86).select(
+        "o_orderkey", "cluster"
+    )
+
+
+# Titles that differ in their number alone: very many of them are similar to each other.
+_NUMBERED = """
+SELECT c_custkey, cast(c_nationkey % 4 AS STRING) AS kind,
+  concat('Round ', lpad(cast(c_custkey AS STRING), 6, '0'), ' of the rural water fund') AS title FROM {customer}
+"""
+_SIMILAR = f"""WITH e AS ({_NUMBERED.replace('{customer}', 'customer')}), g AS (SELECT kind, {norm('title')} AS t, min(c_custkey) AS rep FROM e GROUP BY ALL),
+ p AS (SELECT a.rep AS a, b.rep AS b, levenshtein(a.t, b.t) AS n, greatest(length(a.t), length(b.t)) AS l
+   FROM g a JOIN g b ON a.kind = b.kind AND a.rep < b.rep)
+"""
+
+
+@query(
+    "similar_numbered_titles",
+    _SIMILAR + "SELECT a, b, round(1 - n / l, 4) AS similarity FROM p WHERE n * 1000 <= 50 * l",
+)
+def similar_numbered_titles(spark, d):
+    titles = frame(spark, d, _NUMBERED)
+    return fuzzy.fuzzy_match(titles, "c_custkey", "title", ["kind"], 0.95).select("a", "b", "similarity")
+
+
 _TERMS = ("the", "thing", "of")
 
 

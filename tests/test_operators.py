@@ -215,10 +215,66 @@ def test_fuzzy_equals_all_pairs(spark, threshold, hot, monkeypatch):
     assert rows(fuzzy.fuzzy_match(df, "id", "title", ["host"], threshold), "a", "b") == want
 
 
-def test_fuzzy_rejects_inexact_thresholds(spark):
+def test_fuzzy_rejects_thresholds_that_mean_nothing(spark):
     df = spark.createDataFrame([(1, "a", "h")], "id int, title string, host string")
-    with pytest.raises(ValueError):
-        fuzzy.fuzzy_match(df, "id", "title", ["host"], 0.5)
+    for threshold in (0, 1.5):
+        with pytest.raises(ValueError):
+            fuzzy.fuzzy_match(df, "id", "title", ["host"], threshold)
+
+
+def _components(ids, pairs):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    return sorted((i, find(i)) for i in ids)
+
+
+@pytest.mark.parametrize("threshold, few, hubs, rounds", [(0.3, 4, 2, 3), (0.5, 2, 3, 12), (0.86, 2, 1, 2), (0.9, 1, 4, 12), (0.86, 32, 8, 12)])
+def test_similar_clusters_equal_all_pairs(spark, threshold, few, hubs, rounds, monkeypatch):
+    monkeypatch.setattr(fuzzy, "ALL_PAIRS", few)
+    monkeypatch.setattr(fuzzy, "HUBS", hubs)
+    monkeypatch.setattr(fuzzy, "ROUNDS", rounds)
+    rng = random.Random(int(threshold * 100) + few)
+    data = []
+    for i in range(150):
+        kind = i % 4
+        if kind == 0:  # one family, numbered
+            title = f"round {rng.randrange(10**4):05d} of the water fund"
+        elif kind == 1:  # boilerplate around words that differ
+            title = "media release of the minister " + "".join(rng.choice("abcdefgh") for _ in range(14))
+        else:
+            title = "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 12)))
+        data.append((i, title, "h" + str(i % 3 // 2)))
+    data += [(500, None, "h0"), (501, "  ", "h0"), (502, "abc", None)]
+    titled = {i: (h, " ".join(t.split())) for i, t, h in data if t and t.split() and h}
+    slack = round((1 - threshold) * 1000)
+    pairs = [
+        (a, b)
+        for a, (h, s) in titled.items()
+        for b, (g, t) in titled.items()
+        if a < b and h == g and _distance(s, t) * 1000 <= slack * max(len(s), len(t))
+    ]
+    df = spark.createDataFrame(data, "id int, title string, host string")
+    got = fuzzy.similar_clusters(df, "id", "title", ["host"], threshold)
+    assert rows(got, "id", "cluster") == _components([i for i, *_ in data], pairs)
+
+
+def test_similar_titles_make_links_in_proportion(spark):
+    title = F.concat(F.lit("Round "), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" of the rural water fund"))
+    made = []
+    for n in (1_500, 6_000):
+        df = spark.range(n).select("id", title.alias("title"), F.lit("h").alias("host"))
+        links = fuzzy.match_edges(df, "id", "title", ["host"], 0.86).cache()
+        made.append(links.count())
+        assert clusters.with_clusters(df, "id", links).filter("cluster <> 0").count() == 0
+    assert made[1] < 5 * made[0]
 
 
 def test_equal_titles_link_as_a_star(spark):
@@ -263,15 +319,40 @@ def _log(spark):
     return df.withColumn("ts", F.timestamp_seconds("sec")).withColumn("ts", F.when(F.col("id") % 50 != 0, F.col("ts")))
 
 
-@pytest.mark.parametrize("chunk", [60, 86_400, 10_000_000])
-def test_sliced_windows_equal_plain_ones(spark, chunk):
+@pytest.mark.parametrize("slices", [None, 3, 40])
+def test_sliced_windows_equal_plain_ones(spark, slices):
     log = _log(spark)
     w = Window.partitionBy("k").orderBy("ts", "id")
     plain = log.withColumns({"p": F.lag("v").over(w), "n": F.row_number().over(w)}).filter("n > 1 AND NOT (p <=> v)")
-    got = windows.diff_history(log, "k", ["ts", "id"], ["v"], chunk)
+    got = windows.diff_history(log, "k", ["ts", "id"], ["v"], slices)
     assert rows(got.select("id", "old_value", "new_value").fillna("-"), "*") == rows(plain.select("id", "p", "v").fillna("-"), "*")
     rate = F.round(F.avg(F.col("failed").cast("int")).over(w.rowsBetween(-19, 0)), 6)
-    assert rows(windows.rolling_failure_rate(log, "k", ["ts", "id"], "failed", 20, chunk), "id", "failure_rate") == rows(log.withColumn("r", rate), "id", "r")
+    assert rows(windows.rolling_failure_rate(log, "k", ["ts", "id"], "failed", 20, slices), "id", "failure_rate") == rows(log.withColumn("r", rate), "id", "r")
+
+
+def test_a_key_of_one_day_and_one_without_times_lie_in_many_slices(spark):
+    day = F.timestamp_seconds(F.lit(86_400) + F.col("id") % 60)
+    hot = spark.range(4000).select("id", F.lit("day").alias("k"), day.alias("ts"), (F.col("id") % 7 == 0).alias("failed"))
+    late = spark.range(4000, 8000).select("id", F.lit(None).cast("string").alias("k"), F.lit(None).cast("timestamp").alias("ts"), (F.col("id") % 5 == 0).alias("failed"))
+    log = hot.unionByName(late)
+    cut = windows.sliced(log, "k", ["ts", "id"], 16).groupBy("k", "_s").count().collect()
+    assert max(r["count"] for r in cut) < 1500
+    assert min(sum(r["k"] == k for r in cut) for k in ("day", None)) >= 6
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    prev = windows.with_previous(log, "k", ["ts", "id"], ["id"], 16).select("id", F.col("prev.id").alias("p"))
+    assert rows(prev.fillna(-1), "id", "p") == rows(log.select("id", F.coalesce(F.lag("id").over(w), F.lit(-1)).alias("p")), "id", "p")
+    rate = F.round(F.avg(F.col("failed").cast("int")).over(w.rowsBetween(-19, 0)), 6)
+    got = windows.rolling_failure_rate(log, "k", ["ts", "id"], "failed", 20, 16)
+    assert rows(got, "id", "failure_rate") == rows(log.withColumn("r", rate), "id", "r")
+
+
+def test_deep_pages_equal_the_whole_order(spark):
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 9 != 0, F.col("id") % 50).alias("n"))
+    whole = [tuple(r) for r in df.orderBy("n", "id").collect()]
+    for start, n in ((0, 10), (1234, 100), (4990, 50), (6000, 5)):
+        for front in (0, 10_000):
+            got = [tuple(r) for r in sorting.page(df, ["n", "id"], start, n, slices=12, front=front).collect()]
+            assert got == whole[start : start + n]
 
 
 def test_changed_snapshots_threshold(spark):
@@ -369,12 +450,36 @@ def test_rules(spark):
     assert rows(rules.route(sent), "destination") == [("alerts_updates",), ("index_grants",), ("queue_ams",)]
 
 
+def _rows_made(df):
+    """The row counts of every operator of a plan that has run."""
+    made = []
+
+    def visit(node):
+        metrics = node.metrics()
+        if metrics.contains("numOutputRows"):
+            made.append(metrics.apply("numOutputRows").value())
+        name = node.getClass().getSimpleName()
+        children = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else []
+        if name.endswith("QueryStageExec"):
+            children.append(node.plan())
+        kids = node.children()
+        for child in children + [kids.apply(i) for i in range(kids.size())]:
+            visit(child)
+
+    df.count()
+    plan = df._jdf.queryExecution()
+    df.collect()
+    visit(plan.executedPlan())
+    return made
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 26])
 def test_search_index_equals_single_queries(spark, limit):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, _words(rng, 12), _words(rng, 3)) for i in range(80)], "id int, title string, tags string")
     asked = {1: "the soil", 2: "Été of x", 3: "nothing", 4: "agri"}
     index = search.token_index(docs, "id", {"title": 3, "tags": 1})
+    asked |= {5: "soil THE", 6: "", 7: "zz the soil", 8: "soil", 9: "soil soil"}
     queries = spark.createDataFrame(list(asked.items()), "query_id int, query string")
     got = rows(search.search_index(index, queries, "id", limit), "query_id", "id", "score")
     want = sorted(
@@ -383,6 +488,16 @@ def test_search_index_equals_single_queries(spark, limit):
         for r in search.search_tokens(docs, text, {"title": 3, "tags": 1}).collect()
     )
     assert got == want and len(got) > 5
+    assert {r["matched_terms"] for r in search.search_index(index, queries, "id", limit).filter("query_id = 5").collect()} <= {2}
+
+
+def test_a_word_of_every_text_and_query_makes_no_product(spark):
+    docs = spark.range(3000).select("id", F.concat(F.lit("the w"), F.col("id").cast("string")).alias("t"))
+    queries = spark.range(3000).select(F.col("id").alias("query_id"), F.concat(F.lit("the w"), F.col("id").cast("string")).alias("query"))
+    found = search.search_index(search.token_index(docs, "id", {"t": 1}), queries, "id")
+    assert found.count() == 3000 and found.filter("query_id <> id OR score <> 2").count() == 0
+    made = _rows_made(found)
+    assert max(made) < 20_000  # far from 3000 * 3000
 
 
 def test_as_map_of_any_size(spark):
