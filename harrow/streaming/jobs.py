@@ -6,16 +6,19 @@ days, twice the longest polling interval.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from harrow.functions.keys import stable_key
 from harrow.operators.rules import route
-from harrow.operators.windows import keep_latest
+from harrow.operators.windows import keep_latest, with_previous
+from harrow.session import broadcast_if_small
 
 DELAY = "2 days"
 
@@ -47,6 +50,262 @@ def stream_daily_counts(df: DataFrame, time: str, by: str, delay: str = DELAY) -
     return daily_counts(df.withWatermark(time, delay), time, by)
 
 
+def count_writer(path: str, time: str, by: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch step for R-5: the counts of batch n, added up with all others by read_counts.
+
+    Nothing is held in state, so a day has no last call: an item counts however late
+    it comes, and days are out as soon as their items are. A replayed batch
+    overwrites its own counts.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        daily_counts(batch, time, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return step
+
+
+def read_counts(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """(day, by, items) over all batches written by count_writer."""
+    return spark.read.parquet(path).groupBy("day", by).agg(F.sum("items").alias("items"))
+
+
+# Batches are packed into one folder after this many, so a step lists few folders.
+PACK_EVERY = 50
+
+# Bits of the filter in front of the seen keys: 16 MB, sparse for some ten million keys.
+SEEN_BITS = 1 << 27
+SEEN_BUCKETS = 64
+
+
+def _bits_of(key: Sequence[str], bits: int) -> Column:
+    """The places of a key in the filter, from two hashes, counted from 1."""
+    places = [F.pmod(F.xxhash64(*key, F.lit(i)), F.lit(bits)) + 1 for i in range(2)]
+    return F.array(*places)
+
+
+def _bit_is_set(bitmap: str, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1
+
+
+def first_sight_writer(
+    path: str,
+    key: Sequence[str],
+    order: Sequence[str],
+    bits: int = SEEN_BITS,
+    buckets: int = SEEN_BUCKETS,
+    pack_every: int = PACK_EVERY,
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch step for R-2: the first sight of every key, for good.
+
+    Batch n writes the rows whose key no earlier batch had to first/batch=n, the
+    first by `order` of each key. What was seen is those rows themselves, in
+    folders by a hash bucket of the key; a bitmap of two bits per key stands in
+    front. Keys with a bit missing are new and read nothing; the others are looked up in
+    the buckets they fall in. No key is ever forgotten, so a repeat does not pass
+    however late it comes. A full bitmap costs look-ups, never a result. A replayed
+    batch reads the same earlier folders and overwrites its own.
+    """
+    key = list(key)
+
+    def written(spark: SparkSession, name: str, schema: T.StructType, n: int) -> DataFrame:
+        """What was written before batch n: packed folders, then single ones."""
+        packed = n - n % pack_every
+        out = spark.createDataFrame([], schema)
+        for root, numbers in (
+            (f"{path}/{name}-packed", range(pack_every, packed + 1, pack_every)),
+            (f"{path}/{name}", range(packed, n)),
+        ):
+            if numbers:
+                reader = spark.read.schema(schema).option("basePath", root)
+                part = reader.parquet(*[f"{root}/batch={i}" for i in numbers])
+                out = out.unionByName(part.select(*schema.names))
+        return out
+
+    def pack(spark: SparkSession, name: str, schema: T.StructType, upto: int) -> DataFrame:
+        reader = spark.read.schema(schema).option("basePath", f"{path}/{name}")
+        part = reader.parquet(*[f"{path}/{name}/batch={i}" for i in range(upto - pack_every, upto)])
+        return part.select(*schema.names)
+
+    bitmap_schema = T.StructType([T.StructField("slot", T.LongType()), T.StructField("bitmap", T.BinaryType())])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("_r"))
+        rows = rows.select("_r.*").withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        rows = rows.persist()  # the batch is read three times; it is small beside what was seen
+        fresh = rows
+        if batch_id:
+            bitmaps = written(spark, "bits", bitmap_schema, batch_id)
+            bitmaps = bitmaps.groupBy("slot").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+            places = rows.select(*key, F.explode(_bits_of(key, bits)).alias("_p")).select(
+                *key, F.bitmap_bucket_number("_p").alias("slot"), F.bitmap_bit_position("_p").alias("_at")
+            )
+            hit = F.coalesce(_bit_is_set("bitmap", F.col("_at")), F.lit(False))
+            maybe = (
+                places.join(broadcast_if_small(bitmaps), "slot", "left")
+                .groupBy(*key)
+                .agg(F.bool_and(hit).alias("_maybe"))
+                .filter("_maybe")
+                .select(*key, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket"))
+            ).persist()
+            touched = [r[0] for r in maybe.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+            if touched:
+                seen = written(spark, "first", rows.schema, batch_id).filter(F.col("_bucket").isin(touched))
+                same = [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key]
+                known = seen.select(*key).alias("s").join(maybe.alias("m"), same, "left_semi")
+                same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in key]
+                fresh = rows.alias("r").join(known.alias("k"), same, "left_anti")
+            maybe.unpersist()
+        fresh.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/first/batch={batch_id}")
+        # bits of every key of the batch: those seen before are set already
+        marked = rows.select(F.explode(_bits_of(key, bits)).alias("_p"))
+        marked.groupBy(F.bitmap_bucket_number("_p").alias("slot")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("bitmap")
+        ).write.mode("overwrite").parquet(f"{path}/bits/batch={batch_id}")
+        rows.unpersist()
+        after = batch_id + 1
+        if after % pack_every == 0:
+            firsts = pack(spark, "first", rows.schema, after)
+            firsts.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/first-packed/batch={after}")
+            bitmaps = pack(spark, "bits", bitmap_schema, after)
+            bitmaps.groupBy("slot").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).write.mode(
+                "overwrite"
+            ).parquet(f"{path}/bits-packed/batch={after}")
+
+    return step
+
+
+def versions(items: DataFrame, known: DataFrame | None, key: str, time: str, fields: Sequence[str]) -> DataFrame:
+    """Every distinct version (key, time, content_hash) and its change, in event-time order.
+
+    new, modified or unchanged against the version before it, which may be the
+    known one (key, time, content_hash); stale when it is older than the known one.
+    Versions of one time are ordered by their hash. The batch twin of stream_versions.
+    """
+    found = items.select(key, time, stable_key(*fields).alias("content_hash")).distinct()
+    if known is not None:
+        known = known.select(
+            F.col(key).alias("_k"), F.col(time).alias("_kt"), F.col("content_hash").alias("_kh")
+        )
+        found = found.join(known, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    else:
+        found = found.withColumns({"_kt": F.lit(None).cast("timestamp"), "_kh": F.lit(None).cast("string")})
+    late = F.coalesce(F.col(time) < F.col("_kt"), F.lit(False))
+    behind = found.filter(late).withColumn("change", F.lit("stale"))
+    seen = with_previous(found.filter(~late), key, [time, "content_hash"], ["content_hash"])
+    before = F.coalesce("prev.content_hash", "_kh")
+    change = (
+        F.when(before.isNull(), "new").when(before == F.col("content_hash"), "unchanged").otherwise("modified")
+    )
+    columns = [key, time, "content_hash", "change"]
+    return seen.withColumn("change", change).select(*columns).unionByName(behind.select(*columns))
+
+
+def _classified(times: list, hashes: list, at: int, known: tuple | None) -> str:
+    """The change of version number `at`, as versions says."""
+    if known and times[at] < known[0]:
+        return "stale"
+    before = known[1] if known else None
+    if at and not (known and times[at - 1] < known[0]):
+        before = hashes[at - 1]
+    return "new" if before is None else "unchanged" if before == hashes[at] else "modified"
+
+
+def stream_versions(
+    items: DataFrame, key: str, time: str, fields: Sequence[str], known: DataFrame | None = None
+) -> DataFrame:
+    """The changes of a stream of items, in update mode: (key, time, content_hash, change).
+
+    State holds the versions of each key in event-time order. An item that comes
+    late takes its place among them, and the version after it is given out again
+    with its changed meaning; the newest row of a version counts (read_versions). So
+    the result equals versions over all items, however they fall into files and
+    batches. known is a stream of (key, time, content_hash), the versions held before;
+    it is read once into state. A NULL time or key is dropped: it has no place.
+    """
+    keyed = items.select(
+        F.col(key).alias("key"),
+        F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
+        stable_key(*fields).alias("content_hash"),
+        F.lit(False).alias("known"),
+    )
+    if known is not None:
+        old = known.select(
+            F.col(key).alias("key"),
+            F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
+            "content_hash",
+            F.lit(True).alias("known"),
+        )
+        keyed = keyed.unionByName(old)
+    keyed = keyed.filter("key IS NOT NULL AND micros IS NOT NULL")
+    key_type = keyed.schema["key"].dataType
+
+    def merge(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        times, hashes, known_time, known_hash = state.get if state.exists else ([], [], None, None)
+        held = list(zip(times, hashes, strict=True))
+        old = None if known_hash is None else (known_time, known_hash)
+        touched, all_again = set(), False
+        for batch in batches:
+            for micros, content, is_known in zip(
+                batch["micros"].tolist(), batch["content_hash"].tolist(), batch["known"].tolist(), strict=True
+            ):
+                if is_known:
+                    if old is None or (micros, content) > old:
+                        old, all_again = (micros, content), True
+                    continue
+                version = (micros, content)
+                place = bisect_left(held, version)
+                if place == len(held) or held[place] != version:
+                    held.insert(place, version)
+                    touched.add(version)
+        times, hashes = [t for t, _ in held], [h for _, h in held]
+        state.update((times, hashes, *(old or (None, None))))
+        places = set(range(len(held))) if all_again else set()
+        for version in touched:
+            place = bisect_left(held, version)
+            places |= {place, min(place + 1, len(held) - 1)}
+        if places:
+            order = sorted(places)
+            yield pd.DataFrame(
+                {
+                    "key": [group[0]] * len(order),
+                    "micros": [times[i] for i in order],
+                    "content_hash": [hashes[i] for i in order],
+                    "change": [_classified(times, hashes, i, old) for i in order],
+                }
+            )
+
+    out = T.StructType(
+        [
+            T.StructField("key", key_type),
+            T.StructField("micros", T.LongType()),
+            T.StructField("content_hash", T.StringType()),
+            T.StructField("change", T.StringType()),
+        ]
+    )
+    held = "times array<long>, hashes array<string>, known_time long, known_hash string"
+    found = keyed.groupBy("key").applyInPandasWithState(merge, out, held, "update", "NoTimeout")
+    return found.select(
+        F.col("key").alias(key), F.timestamp_micros("micros").alias(time), "content_hash", "change"
+    )
+
+
+def version_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch step for R-3: the versions a batch made or changed, one folder per batch."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return step
+
+
+def read_versions(spark: SparkSession, path: str, key: str, time: str) -> DataFrame:
+    """Each version with its last given change."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(key, time, "content_hash").agg(F.max_by("change", "batch").alias("change"))
+
+
 def classify_changes(
     items: DataFrame, known: DataFrame, key: str, time: str, fields: Sequence[str]
 ) -> DataFrame:
@@ -145,10 +404,13 @@ def run_to_files(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def run_each_batch(df: DataFrame, step: Callable, checkpoint: str) -> StreamingQuery:
+def run_each_batch(
+    df: DataFrame, step: Callable, checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
     """Process all landed input through a foreachBatch step, then stop."""
     query = (
         df.writeStream.foreachBatch(step)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

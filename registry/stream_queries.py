@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from harrow.functions import keys
 from harrow.operators.rules import route
+from harrow.operators.windows import keep_latest
 from harrow.session import new_run_dir
 from harrow.sources.readers import load
 from harrow.streaming import jobs
@@ -69,6 +73,69 @@ def stream_changes(spark, d):
     return spark.read.parquet(f"{out}/changes").select("user_id", "event_type", "change")
 
 
+def _in_files(spark, d, files):
+    """The events dealt over files without regard to time, so that every batch holds late ones."""
+    out = new_run_dir(spark, "landed")
+    load(spark, d, "events").repartition(files, "event_id").write.parquet(out)
+    schema = spark.read.parquet(out).schema
+    return jobs.stream_items(spark, out, schema, "parquet", per_batch=1)
+
+
+@query("stream_first_sight", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_sight(spark, d):
+    out = new_run_dir(spark, "first")
+    step = jobs.first_sight_writer(out, ["user_id", "event_type"], ["ts", "event_id"], pack_every=3)
+    jobs.run_each_batch(_in_files(spark, d, 5), step, f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/first").select("user_id", "event_type")
+
+
+@query(
+    "stream_all_daily_counts",
+    "SELECT epoch_us(date_trunc('day', ts)) AS day, event_type, count(*) AS items FROM events GROUP BY 1, 2",
+)
+def stream_all_daily_counts(spark, d):
+    out = new_run_dir(spark, "counts")
+    step = jobs.count_writer(f"{out}/data", "ts", "event_type")
+    jobs.run_each_batch(_in_files(spark, d, 4), step, f"{out}/checkpoint")
+    return jobs.read_counts(spark, f"{out}/data", "event_type").withColumn("day", micros("day"))
+
+
+_KNOWN_AT = "2024-01-05 00:00:00"
+_VERSIONS = f"""WITH known AS (SELECT user_id, max(ts) AS ts FROM events WHERE user_id % 3 = 0 AND ts < TIMESTAMP '{_KNOWN_AT}' GROUP BY 1),
+ held AS (SELECT e.user_id, e.ts, min({stable_key('event_type')}) AS h FROM events e JOIN known k ON e.user_id = k.user_id AND e.ts = k.ts GROUP BY ALL),
+ v AS (SELECT DISTINCT user_id, ts, {stable_key('event_type')} AS content_hash FROM events),
+ j AS (SELECT v.*, held.ts AS kt, held.h AS kh, coalesce(v.ts < held.ts, false) AS late FROM v LEFT JOIN held USING (user_id)),
+ p AS (SELECT *, coalesce(lag(content_hash) OVER (PARTITION BY user_id, late ORDER BY ts, content_hash), kh) AS before FROM j)
+SELECT user_id, epoch_us(ts) AS micros, content_hash, CASE WHEN late THEN 'stale' WHEN before IS NULL THEN 'new'
+  WHEN before = content_hash THEN 'unchanged' ELSE 'modified' END AS change FROM p"""
+
+
+def _known(spark, d):
+    """The version that a third of the users had on some day."""
+    events = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    old = events.filter(F.col("user_id") % 3 == 0).filter(F.col("ts") < F.lit(_KNOWN_AT).cast("timestamp"))
+    hashed = old.select("user_id", "ts", keys.stable_key("event_type").alias("content_hash"))
+    return keep_latest(hashed, "user_id", ["ts"], "content_hash")
+
+
+@query("versions", _VERSIONS)
+def versions(spark, d):
+    events = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = jobs.versions(events, _known(spark, d), "user_id", "ts", ["event_type"])
+    return out.select("user_id", micros("ts").alias("micros"), "content_hash", "change")
+
+
+@query("stream_versions", _VERSIONS)
+def stream_versions(spark, d):
+    out = new_run_dir(spark, "versions")
+    _known(spark, d).write.parquet(f"{out}/known")
+    known = jobs.stream_items(spark, f"{out}/known", spark.read.parquet(f"{out}/known").schema, "parquet")
+    found = jobs.stream_versions(_in_files(spark, d, 4), "user_id", "ts", ["event_type"], known)
+    jobs.run_each_batch(found, jobs.version_writer(f"{out}/data"), f"{out}/checkpoint", "update")
+    last = jobs.read_versions(spark, f"{out}/data", "user_id", "ts")
+    return last.select("user_id", micros("ts").alias("micros"), "content_hash", "change")
+
+
 # Where each kind of event goes.
 _EVENT_ROUTES = (
     ("event_type", "error", ("alerts_updates", "queue_errors")),

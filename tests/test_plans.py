@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from harrow.functions.keys import primary_key
+from harrow.functions.keys import primary_key, stable_key
 from harrow.operators.quality import cascade, orphans, spec_rules, split_valid, well_formed
 from harrow.plans.eligibility import check_eligibility, submission_pack
 from harrow.plans.ingest import import_rows
@@ -287,3 +287,82 @@ def test_stream_changes_over_batches_and_replays(spark, tmp_path, compact):
     again = spark.createDataFrame([(*p[:2],) for p in polls[2]], "guid string, title string")
     step(again.withColumn("ts", F.lit("2025-01-01 02:00:00").cast("timestamp")), 2)
     assert rows(spark.read.parquet(out + "/changes"), "batch", "guid", "change") == want
+
+
+def _polls(spark, src, batches):
+    """Each batch of (guid, text, seconds) as one landed file."""
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, "guid string, title string, sec long").withColumn(
+            "ts", F.timestamp_seconds("sec")
+        ).coalesce(1).write.mode("append").parquet(f"{src}/poll={i}")
+
+
+def _landed(spark, src):
+    schema = "guid string, title string, sec long, ts timestamp, poll int"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+
+
+POLLS = [
+    [("a", "x", 10), ("b", "x", 500_000), ("a", "x", 20)],
+    [("a", "y", 15), ("c", "q", 7), (None, "n", 3)],
+    [("b", "x", 400_000), ("b", "z", 400_001), ("a", "x", 9_000_000), (None, "n", 4)],
+    [("c", "q", 8), ("a", "x", 10), ("d", "d", None)],
+]
+
+
+@pytest.mark.parametrize("pack", [2, 50])
+def test_first_sight_is_never_forgotten(spark, tmp_path, pack):
+    _polls(spark, tmp_path / "in", POLLS)
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    for bits in (1 << 20, 8):  # with 8 bits every key looks seen
+        step = jobs.first_sight_writer(f"{out}{bits}", ["guid"], ["sec"], bits=bits, buckets=4, pack_every=pack)
+        jobs.run_each_batch(_landed(spark, tmp_path / "in"), step, f"{cp}{bits}")
+        first = spark.read.parquet(f"{out}{bits}/first")
+        assert rows(first.na.fill("-", ["guid"]), "guid", "sec") == [("-", 3), ("a", 10), ("b", 500_000), ("c", 7), ("d", None)]
+        # a replay of the last batch changes nothing
+        last = spark.createDataFrame([("a", "x", 1)], "guid string, title string, sec long").withColumns(
+            {"ts": F.timestamp_seconds("sec"), "poll": F.lit(3)}
+        )
+        step(last, 3)
+        assert spark.read.parquet(f"{out}{bits}/first").filter("guid = 'a'").count() == 1
+
+
+def test_counts_of_all_days_over_batches_and_replays(spark, tmp_path):
+    _polls(spark, tmp_path / "in", POLLS)
+    step = jobs.count_writer(str(tmp_path / "out"), "ts", "guid")
+    jobs.run_each_batch(_landed(spark, tmp_path / "in"), step, str(tmp_path / "cp"))
+    whole = spark.read.parquet(str(tmp_path / "in"))
+    want = rows(jobs.daily_counts(whole, "ts", "guid").na.fill("-"), "day", "guid", "items")
+    got = jobs.read_counts(spark, str(tmp_path / "out"), "guid")
+    assert rows(got.na.fill("-"), "day", "guid", "items") == want
+    step(whole.filter("poll = 1"), 1)
+    assert rows(jobs.read_counts(spark, str(tmp_path / "out"), "guid").filter("guid = 'c'"), "items") == [(2,)]
+
+
+@pytest.mark.parametrize("with_known", [False, True])
+def test_versions_do_not_depend_on_batches(spark, tmp_path, with_known):
+    known = None
+    if with_known:
+        known = spark.createDataFrame([("a", 12, "x"), ("c", 8, "x"), ("z", 1, "x")], "guid string, sec long, title string").select(
+            "guid", F.timestamp_seconds("sec").alias("ts"), stable_key("title").alias("content_hash")
+        )
+        known.write.parquet(str(tmp_path / "known"))
+    results = []
+    for turn, polls in enumerate((POLLS, POLLS[::-1], [sum(POLLS, [])])):
+        src, out = tmp_path / f"in{turn}", str(tmp_path / f"out{turn}")
+        _polls(spark, src, polls)
+        old = known is not None and spark.readStream.schema(known.schema).parquet(str(tmp_path / "known"))
+        found = jobs.stream_versions(_landed(spark, src), "guid", "ts", ["title"], old or None)
+        jobs.run_each_batch(found, jobs.version_writer(out), str(tmp_path / f"cp{turn}"), "update")
+        last = jobs.read_versions(spark, out, "guid", "ts")
+        results.append(rows(last, "guid", "ts", "content_hash", "change"))
+    whole = spark.read.parquet(str(tmp_path / "in0")).filter("guid IS NOT NULL AND ts IS NOT NULL")
+    batch = jobs.versions(whole, known, "guid", "ts", ["title"])
+    assert results[0] == results[1] == results[2] == rows(batch, "guid", "ts", "content_hash", "change")
+    marks = {(r["guid"], int(r["ts"].timestamp())): r["change"] for r in batch.collect()}
+    if with_known:
+        assert [marks["a", s] for s in (10, 15, 20, 9_000_000)] == ["stale", "modified", "modified", "unchanged"]
+        assert marks["c", 7] == "stale"
+    else:
+        assert [marks["a", s] for s in (10, 15, 20, 9_000_000)] == ["new", "modified", "modified", "unchanged"]
+        assert [marks["b", s] for s in (400_000, 400_001, 500_000)] == ["new", "modified", "modified"]
