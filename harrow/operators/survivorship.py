@@ -131,6 +131,23 @@ def union_values(df: DataFrame, key: str, field: str) -> DataFrame:
     return df.select(key, F.explode(field).alias("value")).filter("value IS NOT NULL").distinct()
 
 
+def union_rows(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, field, value): the distinct entries of several list fields, a row each.
+
+    Entries are made distinct in each task before they travel, and a cluster's rows
+    spread by value, so a cluster may hold any share of all records.
+    """
+    pairs = [
+        F.transform(F.col(c), lambda v, c=c: F.struct(F.lit(c).alias("field"), v.cast("string").alias("value")))
+        for c in fields
+    ]
+    if not pairs:
+        return df.select(key, F.lit("").alias("field"), F.lit("").alias("value")).limit(0)
+    entries = F.concat(*[F.coalesce(p, F.array().cast("array<struct<field:string,value:string>>")) for p in pairs])
+    each = df.select(key, F.explode(entries).alias("_e")).select(key, "_e.field", "_e.value")
+    return each.filter("value IS NOT NULL").distinct()
+
+
 def survive(
     df: DataFrame,
     key: str,

@@ -10,11 +10,15 @@ SOURCE_KEYS = {
     "grants_gov_search2": SourceKey(
         ids=("number", "id"),
         second={"title": "text", "agencyCode": "text", "openDate": "text"},
+        urls=(),
+        template="https://www.grants.gov/search-results-detail/{number}",
+        number="number",
     ),
     "grants_gov_detail": SourceKey(
         ids=("opportunityNumber",),
         second={"title": "text", "agencyCode": "text", "postDate": "text"},
         urls=("opportunitySynopsisURL", "opportunityAdditionalInfoURL"),
+        number="opportunityNumber",
     ),
     "usda_hq_rss": SourceKey(("guid",), {"link": "url", "title": "text"}, by_day=True),
     "fns_rss": SourceKey(("guid",), {"link": "url"}, {"title": "text"}),
@@ -38,6 +42,7 @@ SOURCE_KEYS = {
         {"title": "text", "organisation": "text"},
         {"Open_Date": "raw", "Close_Date": "raw", "title": "text"},
         urls=("detail_url",),
+        number="RFx_ID",
     ),
     # CL
     "chilecompra": SourceKey(
@@ -67,6 +72,16 @@ SOURCE_KEYS = {
 _SHORT_TRACKING = ("utm_source", "utm_medium", "utm_campaign", "gclid", "fbclid")
 _GRANTS = ("grants_gov_detail", "grants_gov_search2")
 
+# The newest publish date decides, whatever the source.
+LATEST_PUBLISH_FIELDS = {
+    "title": "latest_by_date",
+    "status": "latest_by_date",
+    "deadline": "earliest_non_null",
+    "funding_amount": "max_by_date",
+    "description": "richest_html_by_date",
+    "link": "prefer_deepest_path",
+}
+
 POLICIES = {
     "US": Policy(
         precedence=(
@@ -98,7 +113,9 @@ POLICIES = {
             "www.fns.usda.gov": "fns.usda.gov",
             "www.rd.usda.gov": "rd.usda.gov",
         },
+        block=("agency_code", "host"),
         money={"estimated_funding": ("en-US", 0)},
+        cleaned=("title", "description"),
         audited=("title", "opp_status", "close_date", "estimated_funding", "eligibilities", "description"),
     ),
     "BR": Policy(
@@ -118,9 +135,9 @@ POLICIES = {
             "document_refs": "union_unique",
         },
         threshold=0.86,
-        kind="jurisdiction_or_federal",
+        kinds={"jurisdiction": "federal"},
         day_sources=("mapa_news",),
-        money={"funding_amount_brl": ("pt-BR", 2)},
+        money={c: ("pt-BR", 2) for c in ("funding_amount_brl", "valor", "valorEmprestimo")},
         audited=("title", "description", "status", "funding_amount_brl", "deadline"),
     ),
     "NZ": Policy(
@@ -144,7 +161,8 @@ POLICIES = {
             "www.gets.govt.nz": "gets.govt.nz",
         },
         tracking=_SHORT_TRACKING,
-        money={"funding_amount_nzd": ("en-NZ", 0)},
+        money={c: ("en-NZ", 0) for c in ("funding_amount_nzd", "Awarded_Amount")},
+        cleaned=("title", "description"),
         audited=("title", "status", "close_date", "funding_amount_nzd", "description"),
     ),
     "CL": Policy(
@@ -157,20 +175,21 @@ POLICIES = {
             "description": ("fia_calls", "minagri_news", "chilecompra"),
         },
         threshold=0.86,
-        kind="record_type",
+        kinds={"jurisdiction": "Chile", "record_type": ""},
         day_sources=("minagri_news",),
         aliases={"www.fia.cl": "fia.cl", "minagri.gob.cl": "www.minagri.gob.cl"},
-        money={"amount_local": ("es-CL", 0)},
+        money={
+            c: ("es-CL", 0)
+            for c in ("amount_local", "MontoEstimado", "MontoTotal", "monto", "monto_devengado", "monto_pagado")
+        },
+        cleaned=("title", "description"),
         audited=("title", "status", "deadline", "amount_local", "description"),
     ),
+    "AU": Policy(
+        precedence=("rss", "grantconnect", "state"),
+        fields=LATEST_PUBLISH_FIELDS,
+        threshold=0.88,
+        money={"funding_amount": ("en-AU", 2)},
+        audited=("title", "status", "deadline", "funding_amount"),
+    ),
 }
-
-# The newest publish date decides, whatever the source.
-LATEST_PUBLISH_FIELDS = {
-    "title": "latest_by_date",
-    "status": "latest_by_date",
-    "deadline": "earliest_non_null",
-    "funding_amount": "max_by_date",
-    "description": "richest_html_by_date",
-    "link": "prefer_deepest_path",
-}

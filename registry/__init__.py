@@ -14,5 +14,6 @@ from registry import (  # noqa: F401
     scalar_queries,
     source_queries,
     stream_queries,
+    territory_queries,
 )
 from registry.core import ORACLES, QUERIES  # noqa: F401

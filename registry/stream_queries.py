@@ -84,7 +84,7 @@ def _in_files(spark, d, files):
 @query("stream_first_sight", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_sight(spark, d):
     out = new_run_dir(spark, "first")
-    step = jobs.first_sight_writer(out, ["user_id", "event_type"], ["ts", "event_id"], pack_every=3)
+    step = jobs.first_sight_writer(out, ["user_id", "event_type"], ["ts", "event_id"], bits=1 << 20, pack_every=3)
     jobs.run_each_batch(_in_files(spark, d, 5), step, f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/first").select("user_id", "event_type")
 

@@ -161,7 +161,7 @@ def test_merge_does_not_depend_on_order(spark):
         precedence=("gets_tender", "mpi_rss", "beehive_rss"),
         fields={"title": "latest_by_precedence", "link": "prefer_deepest_path"},
         id_pattern=r"RFX(\d+)",
-        kind="kind",
+        kinds={"kind": ""},
     )
 
     def run(order):
