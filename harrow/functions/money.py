@@ -19,17 +19,23 @@ def _decimal(text: Column) -> Column:
     return F.regexp_replace(text, r"[\$,\s]", "").try_cast("decimal(18,2)")
 
 
-def extract_amount(c: Column | str, which: str = "max", pattern: str = AMOUNT) -> Column:
-    """The first or the largest amount in a text, NULL when there is none.
+def extract_amount(c: Column | str, which: str = "marked", pattern: str = AMOUNT) -> Column:
+    """An amount in a text, NULL when there is none.
 
-    Commas are group separators and a point is the decimal mark.
+    which: "marked" takes the largest amount with a currency mark, and without any
+    mark the first amount, so that a year beside an amount is not taken for one;
+    "first" and "max" go by place and by size alone. Commas are group separators and
+    a point is the decimal mark.
     """
     if which == "first":
         return _decimal(F.regexp_extract(_col(c), pattern, 1))
+    found = F.regexp_extract_all(_col(c), F.lit(pattern), F.lit(1))
     if which == "max":
-        found = F.regexp_extract_all(_col(c), F.lit(pattern), F.lit(1))
         return F.array_max(F.transform(found, _decimal))
-    raise ValueError(f"which must be 'first' or 'max', not {which!r}")
+    if which == "marked":
+        marked = F.transform(F.filter(found, lambda x: F.contains(x, F.lit("$"))), _decimal)
+        return F.coalesce(F.array_max(marked), _decimal(F.regexp_extract(_col(c), pattern, 1)))
+    raise ValueError(f"which must be 'marked', 'first' or 'max', not {which!r}")
 
 
 def normalize_money(c: Column | str, locale: str = "en-US", places: int = 2) -> Column:

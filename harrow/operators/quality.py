@@ -12,9 +12,9 @@ from harrow.functions.text import filled, has_text
 Rules = Mapping[str, Column]
 
 
-def required(columns: Sequence[str]) -> dict[str, Column]:
-    """Rule name -> condition that must hold: each column is filled after trimming."""
-    return {f"missing {c}": has_text(c) for c in columns}
+def required(columns: Sequence[str], trimmed: bool = True) -> dict[str, Column]:
+    """Rule name -> condition that must hold: each column is filled, after trimming unless trimmed=False."""
+    return {f"missing {c}": has_text(c) if trimmed else filled(c) for c in columns}
 
 
 def required_any(columns: Sequence[str]) -> dict[str, Column]:

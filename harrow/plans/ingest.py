@@ -31,6 +31,7 @@ def import_rows(
     headers: Mapping[str, Sequence[str]],
     loaded_at: str,
     keep: Sequence[str] = (),
+    trimmed: bool = True,
     **constants,
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) catalogue rows from one header dialect.
@@ -38,14 +39,15 @@ def import_rows(
     Blank cells become NULL. keep names columns the rows already have under
     their target name (country, source_sheet), constants sets them instead.
     The id follows from the business columns, so loading twice gives equal rows.
-    Rows without a program name are rejected with that reason.
+    Rows without a program name are rejected with that reason; a name of spaces
+    alone is none, except in the dialects that do not trim (trimmed=False).
     """
     mapped = with_constants(map_headers(rows, headers, keep=keep), **constants)
     missing = [c for c in PROGRAM_COLUMNS if c not in mapped.columns]
     full = mapped.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else mapped
     loaded = with_load_columns(full.select(*PROGRAM_COLUMNS), loaded_at, PROGRAM_COLUMNS)
     ordered = loaded.select("id", *PROGRAM_COLUMNS, "imported_at", "created_at", "updated_at")
-    return split_valid(ordered, required(["program_name"]))
+    return split_valid(ordered, required(["program_name"], trimmed))
 
 
 def import_canonical(

@@ -68,7 +68,7 @@ def opportunities(frames: Sequence[DataFrame]) -> DataFrame:
     )
 
 
-def open_latest(df: DataFrame, sector: str = "agriculture", which: str = "max") -> DataFrame:
+def open_latest(df: DataFrame, sector: str = "agriculture", which: str = "marked") -> DataFrame:
     """The newest record per logical key in a sector, open and funded.
 
     Input columns: id, title, source, sector, program, agency, link,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,24 @@ def export_json(df: DataFrame, path: str, sheet_column: str = "source_sheet") ->
     df.write.mode("overwrite").partitionBy(sheet_column).json(path)
 
 
+def write_workbook(df: DataFrame, folder: str, sheet_column: str = "source_sheet") -> None:
+    """One CSV file per sheet, named after it: the folder that readers.read_sheets reads.
+
+    A sheet is written by one task; the driver only gives the finished files their names.
+    """
+    spark = df.sparkSession
+    draft = f"{folder.rstrip('/')}/_draft"
+    df.repartition(sheet_column).write.mode("overwrite").partitionBy(sheet_column).options(
+        header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(draft)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    home = jvm.Path(draft)
+    store = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in store.globStatus(jvm.Path(f"{draft}/{sheet_column}=*/part-*")):
+        sheet = unquote(part.getPath().getParent().getName().partition("=")[2])
+        store.rename(part.getPath(), jvm.Path(home.getParent(), f"{sheet}.csv"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -169,11 +169,19 @@ def sorted_locale_aware_top(spark, d):
     return sorting.sort_catalog(_named_pages(spark, d), "name", locale=True).limit(100)
 
 
-@query("sorted_locale_aware")
+@query(
+    "sorted_locale_aware",
+    """SELECT page_id AS id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS country, regexp_extract(html, '<title>(.*?)</title>', 1) AS program_name FROM pages""",
+)
 def sorted_locale_aware(spark, d):
     return sorting.sort_catalog(_named_pages(spark, d), "name", locale=True)
 
 
+@query("sorted_unknown_mode", f"{P} SELECT id, country, program_name FROM programs")
+def sorted_unknown_mode(spark, d):
+    return sorting.sort_catalog(frame(spark, d, PROGRAMS), "newest").select("id", "country", "program_name")
+
+
 @query(
     "page_after_key",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 50",
@@ -233,6 +241,12 @@ def children_of_program(spark, d):
     return found.select("doc_id", "doc_type", "display_name")
 
 
+@query("phone_lengths", "SELECT o_orderkey, o_orderkey >= 100 AS phone FROM orders")
+def phone_lengths(spark, d):
+    phone = F.concat(F.lit("555-123"), F.col("o_orderkey").cast("string"))
+    return load(spark, d, "orders").select("o_orderkey", valid_phone(phone).alias("phone"))
+
+
 @query(
     "contact_predicates",
     r"""SELECT doc_id, regexp_matches(text, '\S+@\S+\.\S+') AS email, length(source || lang) >= 10 AS phone

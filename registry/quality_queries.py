@@ -90,7 +90,7 @@ def rejected_territory_rows(spark, d):
 @query(
     "import_all_sheets_rows",
     f"""{cte(programs=PROGRAMS)} SELECT 'CA' AS country, source_sheet, program_name, nullif(focus, '') AS focus, nullif(funding_amount, '') AS funding_amount
-        FROM programs WHERE {filled(trim('program_name'))}""",
+        FROM programs WHERE {filled('program_name')}""",
 )
 def import_all_sheets_rows(spark, d):
     rows = frame(spark, d, PROGRAMS).select(
@@ -103,7 +103,7 @@ def import_all_sheets_rows(spark, d):
     )
     rows = rows.withColumnRenamed("focus_", "Focus ")
     aliases = {**ALL_SHEETS_HEADERS, "focus": ("Focus", "Focus ")}
-    good, _ = import_rows(cols.unify_headers(rows), aliases, LOADED, keep=["source_sheet"], country="CA")
+    good, _ = import_rows(cols.unify_headers(rows), aliases, LOADED, keep=["source_sheet"], trimmed=False, country="CA")
     return good.select("country", "source_sheet", "program_name", "focus", "funding_amount")
 
 
@@ -127,14 +127,14 @@ def import_deadline_dialect(spark, d):
 @query(
     "import_original_dialect",
     f"""{cte(programs=PROGRAMS)} SELECT program_name, nullif(closing_date, '') AS closing_date, CAST(NULL AS VARCHAR) AS application_deadline
-        FROM programs WHERE {filled(trim('program_name'))}""",
+        FROM programs WHERE {filled('program_name')}""",
 )
 def import_original_dialect(spark, d):
     rows = frame(spark, d, PROGRAMS).select(
         F.col("program_name").alias("Subsidy Program"),
         F.col("closing_date").alias("Closing Date/Deadline"),
     )
-    good, _ = import_rows(rows, CA_ORIGINAL_HEADERS, LOADED, country="CA", source_sheet="CA")
+    good, _ = import_rows(rows, CA_ORIGINAL_HEADERS, LOADED, trimmed=False, country="CA", source_sheet="CA")
     return good.select("program_name", "closing_date", "application_deadline")
 
 

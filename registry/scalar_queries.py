@@ -220,6 +220,19 @@ def funding_amounts(spark, d):
     )
 
 
+# What is read follows from how the text is made: the price where it carries a mark, else the year.
+@query(
+    "amounts_beside_years",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)
+         WHEN 1 THEN greatest(500.0, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)) ELSE 2025.0 END AS amount FROM orders""",
+)
+def amounts_beside_years(spark, d):
+    made = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('Round 2025: up to $', price, ' for 99999999 places')
+         WHEN 1 THEN concat('In 2024 from NZ$500 to NZ$ ', price) ELSE concat('Round 2025, about ', price) END AS told
+       FROM (SELECT o_orderkey, cast(cast(o_totalprice AS DECIMAL(18,2)) AS STRING) AS price FROM {orders})"""
+    return frame(spark, d, made).select("o_orderkey", money.extract_amount("told").cast("double").alias("amount"))
+
+
 @query(
     "normalized_money",
     """SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS brl,

@@ -49,6 +49,69 @@ def one_sheet(spark, d):
     return back.filter("source_sheet = 'PROMO'").select("id", "program_name")
 
 
+_SHEET_ROWS = f"""{cte(programs=PROGRAMS)}
+SELECT id, nullif(program_name, '') AS program_name, nullif(focus, '') AS focus, nullif(key_objectives, '') AS key_objectives, source_sheet FROM programs"""
+
+
+def _workbook(spark, d):
+    out = new_run_dir(spark, "workbook")
+    columns = ["id", "program_name", "focus", "key_objectives", "source_sheet"]
+    writers.write_workbook(frame(spark, d, PROGRAMS).select(*columns), out)
+    return out
+
+
+@query("workbook_sheets", _SHEET_ROWS)
+def workbook_sheets(spark, d):
+    return readers.read_sheets(spark, _workbook(spark, d))
+
+
+@query("workbook_sheet", _SHEET_ROWS + " WHERE source_sheet = 'ECONOMY'")
+def workbook_sheet(spark, d):
+    return readers.read_sheet(spark, _workbook(spark, d), "ECONOMY")
+
+
+@query("json_array_rows", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS s_acctbal FROM supplier")
+def json_array_rows(spark, d):
+    out = new_run_dir(spark, "arrays")
+    # a missing cell is absent from its row, or there as null
+    left_out = F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal"))
+    row = F.to_json(F.struct("s_suppkey", "s_name", left_out.alias("s_acctbal")))
+    row = F.when(F.col("s_suppkey") % 2 == 0, row).otherwise(
+        F.regexp_replace(row, r"\}$", F.when(left_out.isNull(), ',"s_acctbal":null}').otherwise("}"))
+    )
+    files = load(spark, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 500)).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value")
+    )
+    files.select("value").write.option("maxRecordsPerFile", 1).text(out)
+    return readers.read_rows_json(spark, out, "s_suppkey bigint, s_name string, s_acctbal double")
+
+
+@query(
+    "json_rows_by_key",
+    """SELECT n_name AS country, n_name AS source_sheet, s_name AS program, CAST(s_suppkey AS VARCHAR) AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey
+       WHERE n_regionkey < 3""",
+)
+def json_rows_by_key(spark, d):
+    out = new_run_dir(spark, "keyed")
+    nations = load(spark, d, "nation")
+    row = F.struct(F.col("s_name").alias("Program"), F.col("s_suppkey").cast("string").alias("id"))
+    rows = load(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    # an object of at most 500 suppliers per file
+    per_key = rows.groupBy(F.floor(F.col("s_suppkey") / 500).alias("file"), "n_name").agg(F.collect_list(row).alias("rows"))
+    files = per_key.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "rows")))).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(out)
+    wanted = [r[0] for r in nations.filter("n_regionkey < 3").select("n_name").collect()]  # 25 nations at most
+    back = readers.columns_of_map(readers.read_keyed_json(spark, out, wanted), ["Program", "id"])
+    return back.withColumnRenamed("Program", "program")
+
+
+@query("landed_text_hashes", "SELECT sha256(text || chr(10)) AS sha256, CAST(strlen(text) + 1 AS BIGINT) AS length FROM benchmark")
+def landed_text_hashes(spark, d):
+    out = new_run_dir(spark, "landed")
+    load(spark, d, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(out)
+    return readers.file_hashes(spark, out, "*.txt").select("sha256", "length")
+
+
 @query(
     "append_twice",
     "SELECT o_orderstatus, count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders GROUP BY 1",

@@ -129,6 +129,9 @@ def test_amounts(spark):
     texts = ["from $1,000 up to $30,000", "AUD 1.000.000", "$5", "none", None]
     assert values(spark, texts, money.extract_amount("s")) == [Decimal("30000.00"), None, None, None, None]
     assert values(spark, texts, money.extract_amount("s", "first")) == [Decimal("1000.00"), None, None, None, None]
+    years = ["Round 2025: up to $500", "Round 2025: up to 500.00", "2024 to 2026, $1,000 or $90", "$2025 of 1.000.000", "$1.2.3 or 700"]
+    assert values(spark, years, money.extract_amount("s")) == [Decimal("500.00"), Decimal("2025.00"), Decimal("1000.00"), Decimal("2025.00"), None]
+    assert values(spark, years[:3], money.extract_amount("s", "max")) == [Decimal("2025.00"), Decimal("2025.00"), Decimal("2026.00")]
     with pytest.raises(ValueError):
         money.extract_amount("s", "last")
 
