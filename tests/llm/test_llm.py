@@ -208,7 +208,7 @@ def line_sets(rows):
         for i, x in enumerate((t or "").split("\n")):
             raw = re.sub(rb"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r").encode())
             if raw:
-                out[d, i] = frozenset(raw[j : j + 8] for j in range(max(1, len(raw) - 7)))
+                out[d, i] = frozenset(raw[j : j + 4] for j in range(max(1, len(raw) - 3)))
     return out
 
 
@@ -247,19 +247,35 @@ def test_query_links_short_edited_lines(spark, tmp_path):
         assert (2 * i + 1 in gone) == (size >= (39 if kind == "character" else 84)), (size, kind)
 
 
-def test_kept_lines_of_short_shingles_equal_all_pairs(spark, rows):
+def test_kept_lines_of_edited_lines_equal_all_pairs(spark, rows):
     some = [(-1 - i, a + "\n" + b) for i, (a, b, _, _) in enumerate(edited_lines())] + rows[:40] + [(9000, "ab\nAB\nabc\nabcd\nabcde")]
-    got = {tuple(r) for r in lines.kept_lines(frame(spark, some), width=4).collect()}
-    sets = {}
-    for d, t in some:
-        for i, x in enumerate((t or "").split("\n")):
-            raw = re.sub(rb"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r").encode())
-            if raw:
-                sets[d, i] = frozenset(raw[j : j + 4] for j in range(max(1, len(raw) - 3)))
-    want = set(brute_components(sets, 80, 100).values())
+    got = {tuple(r) for r in lines.kept_lines(frame(spark, some)).collect()}
+    want = set(brute_components(line_sets(some), 80, 100).values())
     assert want <= got and len(got - want) <= 0.01 * len(want)  # bands may miss a pair at the threshold
 
 
+@pytest.mark.parametrize("few,rounds", [(2, 1), (2, 8), (64, 8)])
+def test_keys_of_many_lines_equal_all_pairs(spark, monkeypatch, few, rounds):
+    monkeypatch.setattr(lines, "FEW", few)
+    monkeypatch.setattr(lines, "ROUNDS", rounds)
+    texts = family(60, 30, 5) + family(60, 12, 6)  # chains of edits around one line
+    some = [(i // 3, t) for i, t in enumerate(texts)]
+    some = [(d, "\n".join(t for e, t in some if e == d)) for d in sorted({d for d, _ in some})]
+    got = {tuple(r) for r in lines.kept_lines(frame(spark, some)).collect()}
+    want = set(brute_components(line_sets(some), 80, 100).values())
+    assert want <= got and len(got - want) <= 0.02 * len(want)
+
+
+def test_similar_lines_is_exact():
+    draw = np.random.default_rng(8)
+    lines_ = ["".join("abc"[i] for i in draw.integers(0, 3, n)) for n in draw.integers(1, 30, 400)]
+    other = [x[:-1] + "z" if i % 2 else x[1:] or "q" for i, x in enumerate(lines_)]
+    sets = [[frozenset(x[j : j + 4] for j in range(max(1, len(x) - 3))) for x in side] for side in (lines_, other)]
+    want = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(*sets, strict=True)]
+    got = lines.similar_lines(pa.array([x.encode() for x in lines_]), pa.array([x.encode() for x in other]), 80, 100)
+    assert got.tolist() == want and 20 < sum(want) < 380
+
+
 def test_banding_recall(spark, rows):
     sets = line_sets(rows)
     got = {tuple(r) for r in lines.kept_lines(frame(spark, rows)).collect()}
