@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.bitmaps import BITS, bitmap_of, hits
+from harrow.llm.bitmaps import bitmap_of, hits
+from harrow.llm.jaccard import _whole_groups
 from harrow.llm.textblocks import binaries, column_of, mixed, pieces, utf8
 from harrow.session import cut_lineage
 
@@ -29,6 +30,12 @@ WINDOW = 50
 GRAM = 14
 SIDE = 16  # at most (WINDOW - GRAM) / 2
 _SPAN = WINDOW - GRAM + 1  # anchors a window can have
+_SIDE_BITS = 16
+_KEY_BITS = 32 + _SIDE_BITS
+_KEY_BLOCK = 4 << 20  # bytes of text whose keys make a block, about
+_KEYS_AT_ONCE = 4 << 20
+BITS_MOST = 30  # 128 MB of bitmap
+_ALL = -1  # in place of runs: the whole text
 _PLACE = np.uint64(30)
 _BLOCK_BYTES = 2 << 20
 HOT_ROWS = 50_000  # an anchor counted more often, by its shared sides, is dealt out by window
@@ -190,71 +197,181 @@ def first_holders(texts: np.ndarray, sizes: np.ndarray, holders: np.ndarray) ->
     return out, many
 
 
-def side_keys(data: np.ndarray, starts: np.ndarray, text: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two keys of each anchor: with the SIDE bytes before it, and with the SIDE bytes after it.
+def side_keys(data: np.ndarray, starts: np.ndarray, text: np.ndarray, at: np.ndarray, anchors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two keys of each anchor, with the SIDE bytes before it and with those after it; and where there are such.
 
     Two equal windows agree on GRAM bytes and on WINDOW - GRAM around them, so on
-    SIDE bytes on one side at least. A side that a text does not have gets key 0.
+    SIDE bytes on one side at least. The upper 32 bits of a key are the anchor's, the 16
+    below them those of the side.
     """
     words = np.concatenate((np.zeros(2 * 8, np.uint64), _words(data)))  # place p is at p + 16
+    # an anchor is the least hash around, so its first bits are mixed once more
+    own = mixed(anchors) >> np.uint64(32) << np.uint64(_SIDE_BITS)
     out = []
     for ahead in (False, True):
         here = at + GRAM if ahead else at - SIDE
         inside = (here + SIDE <= starts[1:][text]) if ahead else (here >= starts[:-1][text])
         here = np.where(inside, here, 0)
         mark = mixed(mixed(words[here + 16] + np.uint64(ahead + 1)) ^ words[here + 24])
-        out.append(np.where(inside, mixed(keys ^ mark) | np.uint64(1), np.uint64(0)))
-    return out[0], out[1]
+        out.append((own | mark >> np.uint64(64 - _SIDE_BITS), inside))
+    return out
+
+
+def _bit_of(keys: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    """The bit of each key in a bitmap of 2^bits, in the slice of its block (the first bits of its anchor) by hash."""
+    inside = mixed(keys) >> np.uint64(64 - (bits - blocks))
+    return (keys >> np.uint64(_KEY_BITS - blocks) << np.uint64(bits - blocks) | inside).astype(np.int64)
+
+
+class Shared:
+    """Which side keys occur in several documents, as a bitmap, and which anchors are hot."""
+
+    def __init__(self, bits: int, blocks: int):
+        self.bits, self.blocks = bits, blocks  # as powers of two
+        self.whole = np.zeros(1 << (bits - 3), np.uint8)
+        self.hot = np.zeros(0, np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bit = _bit_of(keys, self.bits, self.blocks)
+        return (self.whole[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+    def is_hot(self, anchors: np.ndarray) -> np.ndarray:
+        return np.isin(mixed(anchors) >> np.uint64(32), self.hot)
 
 
-def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """Side keys of anchors that occur in several documents, cut to the bits of a bitmap, with the anchor and how often."""
+def _five(keys: np.ndarray) -> np.ndarray:
+    """The lower 40 bits of each key as five bytes."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with its counts added up."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _shared_keys(rows: DataFrame, known, n_bytes: int) -> Shared:
+    """The side keys that occur in several documents, and the hot anchors.
+
+    Tasks send their keys sorted, five bytes each, in blocks by the anchor's first bits;
+    a block is added up in one task and comes back as a slice of the bitmap. The
+    number of blocks and the size of the bitmap follow the bytes of all texts (the
+    bitmap up to BITS_MOST, beyond which more stretches travel than need to).
+    """
+    blocks = min(24, max(8, (n_bytes // _KEY_BLOCK).bit_length()))
+    bits = min(BITS_MOST, max(blocks + 12, n_bytes.bit_length()))
+    low = _KEY_BITS - blocks  # at most 40
+    slice_bytes = 1 << (bits - blocks - 3)
+
+    def send(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+        block = (key >> np.uint64(low)).astype(np.int64)
+        out: dict[str, list] = {"block": [], "once": [], "more": [], "n": []}
+        edge = np.flatnonzero(np.diff(block, prepend=-1))
+        for x, y in zip(edge.tolist(), np.append(edge[1:], len(block)).tolist(), strict=True):
+            one = n[x:y] == 1
+            out["block"].append(int(block[x]))
+            out["once"].append(_five(key[x:y][one]).tobytes())
+            out["more"].append(_five(key[x:y][~one]).tobytes())
+            out["n"].append(n[x:y][~one].astype("<u4").tobytes())
+        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64() if c == "block" else pa.binary()) for c, v in out.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for piece in _wanted(batches, known):
             data, starts = utf8(column_of(piece, "text"))
-            text, _, _, at, keys = stretches(data, starts)
-            if not len(keys):
+            text, _, _, at, anchors = stretches(data, starts)
+            if not len(anchors):
                 continue
-            # a document counts once for a key; its rows in this piece are told apart by place
-            both = np.concatenate(side_keys(data, starts, text, at, keys))
-            owner = np.concatenate((text, text))[both > 0]
-            anchor = np.concatenate((keys, keys))[both > 0]
-            both = both[both > 0]
+            # a document counts once for a key; the rows of this piece are told apart by place
+            sides = side_keys(data, starts, text, at, anchors)
+            both = np.concatenate([k[inside] for k, inside in sides])
+            owner = np.concatenate([text[inside] for _, inside in sides])
             order = np.lexsort((owner, both))
-            both, owner, anchor = both[order], owner[order], anchor[order]
+            both, owner = both[order], owner[order]
             own = np.ones(len(both), bool)
             own[1:] = (both[1:] != both[:-1]) | (owner[1:] != owner[:-1])
-            found, lead, many = np.unique(_short(both[own]), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.astype(np.int32)), pa.array(_short(anchor[own][lead]).astype(np.int32)), pa.array(many.astype(np.int32))],
-                names=["key", "anchor", "n"],
-            )
-
-    counted = rows.mapInArrow(run, "key int, anchor int, n int").groupBy("key").agg(F.max("anchor").alias("anchor"), F.sum("n").alias("n"))
-    return counted.where("n > 1").select((F.col("key").bitwiseAND(F.lit(BITS - 1))).cast("long").alias("key"), "anchor", "n")
-
-
-def _short(keys: np.ndarray) -> np.ndarray:
-    """31 bits of each key."""
-    return (keys >> np.uint64(1)) & np.uint64((1 << 31) - 1)
-
-
-def _shared_stretches(rows: DataFrame, bitmap, hot=None, wanted: bool = False) -> DataFrame:
+            found, many = np.unique(both[own], return_counts=True)
+            keys.append(found)
+            counts.append(many)
+            if sum(map(len, keys)) > _KEYS_AT_ONCE:
+                yield send(keys, counts)
+                keys, counts = [], []
+        if keys:
+            yield send(keys, counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, ["block"]):
+            block = group.column("block").to_numpy()
+            edge = np.flatnonzero(np.diff(block, prepend=-1))
+            for x, y in zip(edge.tolist(), np.append(edge[1:], len(block)).tolist(), strict=True):
+                part = group.slice(x, y - x)
+                once = _from_five(b"".join(part.column("once").to_pylist()))
+                more = _from_five(b"".join(part.column("more").to_pylist()))
+                n = np.frombuffer(b"".join(part.column("n").to_pylist()), "<u4").astype(np.int64)
+                top = np.uint64(int(block[x])) << np.uint64(low)
+                inside = np.uint64((1 << low) - 1)
+                key, n = _summed(np.concatenate((once, more)) & inside | top, np.concatenate((np.ones(len(once), np.int64), n)))
+                key, n = key[n > 1], n[n > 1]
+                slots = np.zeros(slice_bytes * 8, np.uint8)
+                slots[_bit_of(key, bits, blocks) & (slice_bytes * 8 - 1)] = 1
+                anchor, total = _summed(key >> np.uint64(_SIDE_BITS), n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(block[x])]),
+                        pa.array([np.packbits(slots, bitorder="little").tobytes()], pa.binary()),
+                        pa.array([anchor[total > HOT_ROWS].astype(np.int64)], pa.list_(pa.int64())),
+                    ],
+                    names=["block", "bits", "hot"],
+                )
+
+    sent = rows.select("doc_id", "t", "text").mapInArrow(run, "block long, once binary, more binary, n binary")
+    slices = sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, bits binary, hot array<long>")
+    shared, hot = Shared(bits, blocks), []
+    for row in slices.collect():  # the bitmap: 2^BITS_MOST bits at most
+        shared.whole[row["block"] * slice_bytes : (row["block"] + 1) * slice_bytes] = np.frombuffer(row["bits"], np.uint8)
+        hot += row["hot"]
+    shared.hot = np.array(sorted(hot), np.uint64)
+    return shared
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """Pieces of the rows that may be the first of their text; others are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = column_of(batch, "doc_id").to_numpy().view(np.uint64)
+        h = mixed(mixed(ids) ^ column_of(batch, "t").to_numpy().view(np.uint64)).view(np.int64)
+        yield from pieces([batch.filter(pa.array(hits(known.value, h)))])
+
+
+def _shared_stretches(rows: DataFrame, known, shared, hot: bool) -> DataFrame:
     """Stretches whose anchor may be shared: anchor, bytes, and who holds them where.
 
-    With a bitmap of hot anchors, those of hot anchors alone are wanted, or all others. Equal stretches of one piece of input are one row, whatever their number.
+    Those of hot anchors, or all others. Equal stretches of one piece of input are one
+    row, whatever their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in _wanted(batches, known):
             data, starts = utf8(column_of(piece, "text"))
             text, first, last, at, keys = stretches(data, starts)
-            before, after = side_keys(data, starts, text, at, keys)
-            keep = (before > 0) & hits(bitmap.value, (before >> np.uint64(1)).view(np.int64))
-            keep |= (after > 0) & hits(bitmap.value, (after >> np.uint64(1)).view(np.int64))
-            if hot is not None:
-                keep &= hits(hot.value, _short(keys).view(np.int64)) == wanted
+            if not len(keys):
+                continue
+            keep = shared.value.is_hot(keys) == hot
+            may = np.zeros(len(keys), bool)
+            for side, inside in side_keys(data, starts, text, at, keys):
+                may |= inside & shared.value.has(side)
+            keep &= may
             text, first, last, keys = text[keep], first[keep], last[keep], keys[keep]
             if not len(keys):
                 continue
@@ -283,7 +400,7 @@ def _shared_stretches(rows: DataFrame, bitmap, hot=None, wanted: bool = False) -
                 names=["key", "body", "held"],
             )
 
-    return rows.mapInArrow(run, "key long, body binary, held binary")
+    return rows.select("doc_id", "t", "text").mapInArrow(run, "key long, body binary, held binary")
 
 
 def _runs(least: np.ndarray, many: np.ndarray, owner: np.ndarray, who: np.ndarray) -> pa.RecordBatch | None:
@@ -423,6 +540,14 @@ def _removed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, t long, run long")
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash under which _wanted looks a row up."""
+    for batch in batches:
+        ids = column_of(batch, "doc_id").to_numpy().view(np.uint64)
+        h = mixed(mixed(ids) ^ column_of(batch, "t").to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
 def without_repeats(docs: DataFrame, *kept: str) -> DataFrame:
     """Each row's doc_id, t and text, with kept columns, and what stays once repeated strings are removed.
 
@@ -433,19 +558,27 @@ def without_repeats(docs: DataFrame, *kept: str) -> DataFrame:
     doc_id do not remove anything from each other; a row without doc_id loses
     nothing and takes nothing from others.
     """
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"), *kept)
     named = rows.where("doc_id is not null").select("doc_id", "t", "text")
-    anchors = cut_lineage(_shared_anchors(named))
-    bitmap = bitmap_of(anchors, "key")
-    hot = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_ROWS).select(F.col("anchor").cast("long"))
-    hot = cut_lineage(hot)
-    crowded = None if hot.isEmpty() else bitmap_of(hot, "anchor")
-    dealt = _shared_stretches(named, bitmap, crowded).repartition("key").sortWithinPartitions("key")
+    told = cut_lineage(named.select("doc_id", "t", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").alias("n")))
+    # equal texts: all but those of the smallest doc_id go whole, and nothing else is asked of them
+    first = told.groupBy("h").agg(F.min("doc_id").alias("first"))
+    told = cut_lineage(told.join(first, "h").select("doc_id", "t", "n", (F.col("doc_id") > F.col("first")).alias("copy")))
+    copies = told.where(F.col("copy") & (F.col("n") >= WINDOW)).select("doc_id", "t").distinct()
+    firsts = told.where(~F.col("copy")).select("doc_id", "t").mapInArrow(_places, "h long")
+    known = bitmap_of(firsts, "h")
+    n_bytes = told.agg(F.sum("n")).first()[0] or 0
+    shared = _shared_keys(named, known, n_bytes)
+    crowded = len(shared.hot) > 0
+    shared = spark.sparkContext.broadcast(shared)
+    dealt = _shared_stretches(named, known, shared, False).repartition("key").sortWithinPartitions("key")
     found = _removed(dealt)
-    if crowded is not None:
-        found = found.unionByName(_removed_by_window(_shared_stretches(named, bitmap, crowded, True)))
-    runs = cut_lineage(found).groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs"))
+    if crowded:
+        found = found.unionByName(_removed_by_window(_shared_stretches(named, known, shared, True)))
+    found = found.unionByName(copies.withColumn("run", F.lit(_ALL).cast("long")))
+    runs = found.groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs"))
     joined = rows.join(runs, ["doc_id", "t"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,6 +594,11 @@ def without_repeats(docs: DataFrame, *kept: str) -> DataFrame:
                     left.append(body.tobytes())
                     continue
                 run = gone[i].values.to_numpy()
+                if (run == _ALL).any():
+                    removed.append(len(body))
+                    spans.append(1)
+                    left.append(b"")
+                    continue
                 change = np.zeros(len(body) + 1, np.int64)
                 np.add.at(change, run >> 8, 1)
                 np.add.at(change, (run >> 8) + (run & 255) + WINDOW - 1, -1)
