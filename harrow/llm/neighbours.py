@@ -2,17 +2,19 @@
 
 The graph starts from neighbours inside small random cells. Each round of
 NN-descent joins every node's neighbours, in both directions, with one another
-and keeps each node's nearest. A search keeps the nearest nodes met so far and
-goes on from those it has not expanded, until all are; it keeps more in a larger
-table, for a fixed number loses neighbours as the table grows. Nearness is the
-Euclidean distance in double precision.
+and keeps each node's nearest; a pair meets over a node once, when one of its links
+there is new. What a search follows is that graph pruned: of a node's neighbours
+those that no nearer one covers, in both directions, a bounded number. A search
+keeps a fixed number of the nearest nodes met so far and goes on from those it has
+not expanded, until all are, so what it meets does not grow with the table. A
+query is a row of the table and starts from its own node. Nearness is the Euclidean
+distance in double precision.
 
 Equal vectors are one node of the graph; their rows come back in the result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,14 @@ from harrow.llm.jaccard import _whole_groups
 from harrow.llm.textblocks import column_of
 from harrow.session import cut_lineage
 
-DEGREE = 24
+DEGREE = 24  # neighbours kept while the graph is built
 TABLES = 8
 CELL = 96
-OFFERS = 6  # what a local join offers a node per round; the rest comes in later rounds
-BEAM = 64  # least nodes a search keeps
-SETTLED = 0.01  # NN-descent ends when fewer links than this share change
-ROUNDS = 8
+FRESH = 10  # new links of a node, each way, that meet the others in a round; the rest stay new
+LINKS = 16  # links of the pruned graph, each way
+BEAM = 64  # nodes a search keeps
+SETTLED = 0.005  # NN-descent ends when fewer links than this share are new
+ROUNDS = 12
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -66,9 +69,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def _nearest(links: DataFrame, degree: int) -> DataFrame:
-    """The nearest `degree` links of each node, once each; of equal distances the smaller id."""
+    """The nearest `degree` links of each node, once each; of equal distances the smaller id.
+
+    A link is new only where every row of it is.
+    """
     order = Window.partitionBy("node").orderBy("d", "to")
-    once = links.groupBy("node", "to").agg(F.min("d").alias("d"))
+    once = links.groupBy("node", "to").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= degree).drop("r")
 
 
@@ -117,19 +123,31 @@ def _first_links(nodes: DataFrame, count: int, degree: int) -> DataFrame:
                 )
 
     dealt = dealt.repartition("t", "code", "part").sortWithinPartitions("t", "code", "part")
-    return _nearest(dealt.mapInArrow(link, "node long, to long, d double"), degree)
-
-
-def _local_join(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
-    """Links that join two neighbours of one node and beat what either has."""
-    backward = Window.partitionBy("to").orderBy("d", "node")
-    reverse = graph.withColumn("r", F.row_number().over(backward)).where(F.col("r") <= degree)
+    links = dealt.mapInArrow(link, "node long, to long, d double").withColumn("new", F.lit(True))
+    return _nearest(links, degree)
+
+
+def _around(graph: DataFrame, degree: int) -> tuple[DataFrame, DataFrame]:
+    """(at, node, new): who meets over each node in this round; and the graph with those links old."""
+    first = Window.partitionBy("node", "new").orderBy("d", "to")
+    chosen = F.col("new") & (F.row_number().over(first) <= FRESH)
+    marked = cut_lineage(graph.withColumn("chosen", chosen))
+    there = marked.where("chosen or not new")
+    back = Window.partitionBy("to", "chosen").orderBy("d", "node")
+    limit = F.when(F.col("chosen"), FRESH).otherwise(degree)
+    reverse = there.withColumn("r", F.row_number().over(back)).where(F.col("r") <= limit)
     around = (
-        graph.select(F.col("node").alias("at"), F.col("to").alias("node"))
-        .unionByName(reverse.select(F.col("to").alias("at"), "node"))
-        .unionByName(nodes.select(F.col("node").alias("at"), "node"))
-        .distinct()
+        there.select(F.col("node").alias("at"), F.col("to").alias("node"), "chosen")
+        .unionByName(reverse.select(F.col("to").alias("at"), "node", "chosen"))
+        .unionByName(there.select(F.col("node").alias("at"), "node", F.lit(False).alias("chosen")).distinct())
     )
+    # a neighbour both ways is new if one of its links is
+    around = around.groupBy("at", "node").agg(F.max("chosen").alias("new"))
+    return around, marked.select("node", "to", "d", (F.col("new") & ~F.col("chosen")).alias("new"))
+
+
+def _local_join(nodes: DataFrame, graph: DataFrame, around: DataFrame, degree: int) -> DataFrame:
+    """Links that join two neighbours of one node, at least one of them new there, and beat what either has."""
     bound = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= degree, F.max("d")).otherwise(F.lit(float("inf"))).alias("far"))
     told = nodes.join(bound, "node", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
     rows = around.join(told, "node").repartition("at").sortWithinPartitions("at")
@@ -137,24 +155,29 @@ def _local_join(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _groups(batches, ["at"]):
             ids, far = table.column("node").to_numpy(), table.column("far").to_numpy()
+            new = table.column("new").to_numpy(zero_copy_only=False)
             points = _matrix(table.column("v"))
             found = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 d = _distances(points[a:b], points[a:b])
                 np.fill_diagonal(d, np.inf)
-                k = min(OFFERS, b - a - 1)
-                if k < 1:
-                    continue
-                near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                dist = np.take_along_axis(d, near, 1)
-                row, col = np.nonzero(dist < far[a:b, None])
-                found.append((ids[a:b][row], ids[a:b][near[row, col]], dist[row, col]))
+                fresh = new[a:b]
+                row, col = np.nonzero((d < far[a:b, None]) & (fresh[:, None] | fresh[None, :]))
+                found.append((ids[a:b][row], ids[a:b][col], d[row, col]))
             if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["node", "to", "d"]
-                )
+                node, to, d = (np.concatenate(c) for c in zip(*found, strict=True))
+                # over the nodes of this batch, a pair once and each node's best
+                order = np.lexsort((d, to, node))
+                once = np.ones(len(order), bool)
+                once[1:] = (node[order][1:] != node[order][:-1]) | (to[order][1:] != to[order][:-1])
+                order = order[once]
+                order = order[np.lexsort((d[order], node[order]))]
+                begin = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1])) if len(order) else order
+                rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+                order = order[rank < degree]
+                yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (node, to, d)], names=["node", "to", "d"])
 
-    return rows.mapInArrow(join, "node long, to long, d double")
+    return rows.mapInArrow(join, "node long, to long, d double").withColumn("new", F.lit(True))
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
@@ -162,29 +185,57 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
     count = nodes.count()
     graph = cut_lineage(_first_links(nodes, count, degree))
     for _ in range(ROUNDS):
-        offers = _local_join(nodes, graph, degree)
-        after = cut_lineage(_nearest(graph.unionByName(offers), degree))
-        changed = after.join(graph, ["node", "to"], "left_anti").count()
-        graph = after
-        if changed <= SETTLED * degree * count:
+        around, met = _around(graph, degree)
+        graph = cut_lineage(_nearest(met.unionByName(_local_join(nodes, met, around, degree)), degree))
+        if graph.where("new").count() <= SETTLED * degree * count:
             break
-    return graph
+    return graph.select("node", "to", "d")
 
 
-def beam_for(count: int) -> int:
-    """How many nodes a search keeps among `count`: the square root, BEAM at least."""
-    return max(BEAM, math.isqrt(max(count - 1, 0)) + 1)
+def pruned(nodes: DataFrame, graph: DataFrame, links: int = LINKS) -> DataFrame:
+    """(node, to): the links a search follows, at most twice `links` of a node.
 
+    From near to far, a neighbour is kept if it is nearer to the node than to every
+    neighbour kept before. A node that many keep takes the nearest of them back.
+    """
+    both = graph.select(F.col("node").alias("at"), F.col("to").alias("node"))
+    selves = graph.select(F.col("node").alias("at"), "node").distinct()
+    rows = both.unionByName(selves).join(nodes, "node").repartition("at").sortWithinPartitions("at")
 
-def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, entries: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(query, node): the `beam` nearest nodes met by each query, going along the graph from its entries.
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _groups(batches, ["at"]):
+            at, ids = table.column("at").to_numpy(), table.column("node").to_numpy()
+            points = _matrix(table.column("v"))
+            found = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                d = _distances(points[a:b], points[a:b])
+                own = int(np.flatnonzero(ids[a:b] == at[a])[0])
+                kept: list[int] = []
+                for i in np.lexsort((ids[a:b], d[own])).tolist():
+                    if i != own and (d[i, kept] > d[own, i]).all():
+                        kept.append(i)
+                        if len(kept) == links:
+                            break
+                found.append((np.full(len(kept), at[a]), ids[a:b][kept], d[own, kept]))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["node", "to", "d"]
+                )
 
-    queries holds (query, q array<double>), entries (query, node). Links are
-    followed in both directions. Ends when every node kept is expanded.
-    """
-    links = cut_lineage(
-        graph.select("node", "to").unionByName(graph.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct()
+    kept = cut_lineage(rows.mapInArrow(choose, "node long, to long, d double"))
+    back = Window.partitionBy("to").orderBy("d", "node")
+    reverse = kept.withColumn("r", F.row_number().over(back)).where(F.col("r") <= links)
+    return cut_lineage(
+        kept.select("node", "to").unionByName(reverse.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct()
     )
+
+
+def greedy_search(nodes: DataFrame, links: DataFrame, queries: DataFrame, entries: DataFrame, beam: int = BEAM) -> DataFrame:
+    """(query, node): the `beam` nearest nodes met by each query, going along the links from its entries.
+
+    queries holds (query, q array<double>), entries (query, node), links (node, to).
+    Ends when every node kept is expanded.
+    """
     nearest = Window.partitionBy("query").orderBy("d", "node")
     gap = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
@@ -213,23 +264,20 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
     vec_id. Rows of equal vec_id are one row if their vectors are equal.
     """
     rows = cut_lineage(usable(vectors).distinct())
-    equal = rows.groupBy("embedding").agg(F.min("vec_id").alias("node"))
+    # a node is a vector, whatever the ids of its rows
+    equal = rows.groupBy("embedding").agg(F.count(F.lit(1)).alias("n"))
+    equal = cut_lineage(equal.select("embedding", F.monotonically_increasing_id().alias("node")))
     keyed = cut_lineage(rows.join(equal, "embedding").select("vec_id", "embedding", "node"))
-    nodes = cut_lineage(keyed.where("vec_id = node").select("node", F.col("embedding").alias("v")).dropDuplicates(["node"]))
+    nodes = equal.select("node", F.col("embedding").alias("v"))
     queries = keyed.where(F.col("vec_id") % every == 0)
-    graph = neighbour_graph(nodes)
-    found = greedy_search(
-        nodes,
-        graph,
-        queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")),
-        queries.select(F.col("vec_id").alias("query"), "node"),
-        beam_for(nodes.count()),
-    )
+    sought = cut_lineage(queries.select(F.col("node").alias("query"), F.col("embedding").alias("q")).dropDuplicates(["query"]))
+    links = pruned(nodes, neighbour_graph(nodes))
+    found = greedy_search(nodes, links, sought, sought.select("query", F.col("query").alias("node")))
     # of equal vectors only the first k + 1 rows can be among k results
     lowest = Window.partitionBy("node").orderBy("vec_id")
     members = keyed.withColumn("m", F.row_number().over(lowest)).where(F.col("m") <= k + 1).select("node", "vec_id", "embedding")
-    pairs = found.join(members, "node").where("vec_id <> query")
-    pairs = pairs.join(queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), "query")
+    asked = queries.select(F.col("vec_id").alias("asked"), F.col("node").alias("query"), F.col("embedding").alias("q"))
+    pairs = found.join(members, "node").join(asked, "query").where("vec_id <> asked").drop("query").withColumnRenamed("asked", "query")
     score = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     order = Window.partitionBy("query").orderBy("score", "vec_id")
     ranked = pairs.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
