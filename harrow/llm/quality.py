@@ -25,6 +25,7 @@ FEATURES = 3 * DIMENSIONS
 NONZERO = 2
 REACH = 2  # neighbours on each side
 BLOCK_ROWS = 256
+STEP = 64
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 _WEIGHT = 1e-3
@@ -75,8 +76,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Sums of neighbours' random vectors per token number, and its count in the last column.
 
     All texts of docs count. Each task sends its sums once, in blocks of token
-    numbers; blocks are added in two steps so that no task adds up all tasks'
-    blocks. The result has a fixed size.
+    numbers; blocks are added in three steps of STEP each, so that none adds up
+    many: 256 k tasks make at most STEP blocks a step. The result has a fixed size.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                         )
         if counts.any():
             table = np.column_stack((sums.reshape(ROWS, DIMENSIONS), counts))
-            few = TaskContext.get().partitionId() // 64
+            few = TaskContext.get().partitionId() // STEP
             for block in range(0, ROWS, BLOCK_ROWS):
                 part = table[block : block + BLOCK_ROWS]
                 if part.any():
@@ -107,7 +108,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     parts = docs.select("text").mapInArrow(gather, "block long, few long, part binary")
     out = np.zeros((ROWS, DIMENSIONS + 1))
-    for row in _add_up(_add_up(parts, ["block", "few"]), ["block"]).collect():
+    some = _add_up(parts, ["block", "few"]).withColumn("few", F.floor(F.col("few") / STEP))
+    for row in _add_up(_add_up(some, ["block", "few"]), ["block"]).collect():
         out[row["block"] : row["block"] + BLOCK_ROWS] = np.frombuffer(row["part"]).reshape(BLOCK_ROWS, -1)
     return out
 
@@ -194,8 +196,9 @@ class Network:
         first, second = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
         step = 0
         for _ in range(epochs):
+            use = draw.permutation(use)
             for at in range(0, len(use), batch):
-                rows = use[at : at + batch] if at else draw.permutation(use)[:batch]
+                rows = use[at : at + batch]
                 inner, z = self._forward(x[rows])
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
                 back = np.outer(error, self.weights[2]) * (inner > 0)
@@ -222,7 +225,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     labels holds (doc_id, quality); null labels and labels of held-out or unknown
     documents are not used. The network is fitted to at most `fit_rows` labelled
     rows, those with the smallest hash of doc_id (repeated labels of a document
-    count as their largest); word vectors cover every text. Empty and null texts
+    count as their largest, and of repeated documents the first text); word vectors
+    cover every text. Empty and null texts
     get the score of an empty document. Repeated rows give repeated rows.
     """
     spark = docs.sparkSession
@@ -248,7 +252,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
                 names=["doc_id", "quality", "x"],
             )
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
+    # of rows with one doc_id, the one whose text comes first
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sorted(sample.mapInArrow(features, "doc_id long, quality int, x binary").collect())
     x = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(len(rows), FEATURES)
     y = np.array([r["quality"] == 1 for r in rows], np.float64)

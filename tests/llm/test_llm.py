@@ -128,6 +128,20 @@ def test_trigram_vectors_are_products_of_rotated_letters():
     assert (language.gram_vectors(numbers[:1])[0] == want).all()
 
 
+def test_every_labelled_row_is_used_alike():
+    class Seen(quality.Network):
+        def _forward(self, x):
+            if len(x) <= 256:
+                used.update(x[:, 0].tolist())
+            return super()._forward(x)
+
+    used = Counter()
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(2000, 3))
+    Seen(3).fit(x, (x[:, 1] > 0).astype(float))
+    assert len(used) == 1600 and len(set(used.values())) == 1
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
@@ -469,19 +483,28 @@ def test_neighbours(spark, small):
     assert all(s == pytest.approx(math.dist(place[q], place[i])) for q, near in found.items() for i, s in near.items())
 
 
-def test_search_widens_with_the_table(spark, monkeypatch):
-    asked = []
-
-    def search(nodes, graph, queries, entries, beam=64):
-        asked.append(beam)
-        return entries
-
-    monkeypatch.setattr(neighbours, "neighbour_graph", lambda nodes: None)
-    monkeypatch.setattr(neighbours, "greedy_search", search)
-    table = spark.range(1, 20_001).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"))
-    neighbours.nearest_neighbours(table)
-    neighbours.nearest_neighbours(table.limit(100))
-    assert asked[0] >= 128 and asked[1] == 64
+def test_a_search_meets_few_nodes_and_finds_them(spark):
+    draw = np.random.default_rng(12)
+    middle = draw.normal(size=(30, 24)) * 2
+    points = (middle[draw.integers(0, 30, 6000)] + draw.normal(size=(6000, 24))).astype(np.float32)
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.nearest_neighbours(table).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    exact = points.astype(np.float64)
+    right = 0
+    for q in range(0, 6000, 100):
+        d = ((exact - exact[q]) ** 2).sum(1)
+        d[q] = np.inf
+        right += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 60 and right >= 0.97 * 600
+
+
+def test_two_vectors_of_one_id_are_two_nodes(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 5.0]), (100, [0.0, 5.5]), (2, [1.0, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r)[1:] for r in neighbours.nearest_neighbours(table).orderBy("rank").collect()]
+    assert [(r, v, round(s, 3)) for r, v, s in got] == [(1, 1, 0.5), (2, 2, 5.099), (3, 1, 5.59)]
 
 
 def test_neighbours_odd(spark):
