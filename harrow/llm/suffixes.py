@@ -577,7 +577,8 @@ def without_repeats(docs: DataFrame, *kept: str) -> DataFrame:
     found = _removed(dealt)
     if crowded:
         found = found.unionByName(_removed_by_window(_shared_stretches(named, known, shared, True)))
-    found = found.unionByName(copies.withColumn("run", F.lit(_ALL).cast("long")))
+    # written before the texts are joined, so that the stretches' shuffle is gone by then
+    found = cut_lineage(found.unionByName(copies.withColumn("run", F.lit(_ALL).cast("long"))))
     runs = found.groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs"))
     joined = rows.join(runs, ["doc_id", "t"], "left")
 
