@@ -530,6 +530,38 @@ def test_pipeline(spark, small):
     assert out.where("not round_trip").count() == 0
 
 
+def test_pipeline_stages_equal_plain_versions(spark, small):
+    import corpus_pipeline
+
+    benchmark = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    words = [f"w{i}x{i * i}" for i in range(60)]
+    texts = {
+        1: " ".join(words), 2: " ".join(words[:59]) + " end", 3: " ".join(words[:30]), 4: " ".join(words).upper(), 5: "short one",
+        6: "short one", 7: "before " + benchmark[0] + " after", 8: benchmark[1].upper(), 9: benchmark[2][:-1] + "~", 10: "12 34", 11: None, 12: "",
+    }
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in texts.items()], DOCS)
+    # nothing to learn from: only texts without a letter go
+    kept = corpus_pipeline.keep_known_languages(spark, docs, small)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(1, 10))
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^ \t-\r]+", (t or "").lower())
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    linked = brute_components({i: s for i, s in sets.items() if s}, 80, 100)
+    want = {i for i in texts if linked.get(i, i) == i}
+    one = corpus_pipeline.keep_one_of_similar(spark, docs, small)
+    assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == want and want >= {1, 3, 5} and not want & {2, 4, 6}
+    clean = corpus_pipeline.drop_contaminated(spark, docs, small)
+    plain = [" ".join(b.lower().split()) for b in benchmark]
+    held = {i for i, t in texts.items() if any(b in " ".join((t or "").lower().split()) for b in plain)}
+    assert held == {7, 8} and {r["doc_id"] for r in clean.collect()} == set(texts) - held - {9}  # 9 has one edit
+    lines_ = spark.createDataFrame([(1, "one line that stays here\n\nanother long line of this text", "en", "s", 9), (2, "Another long line of this text \nnew", None, None, None), (3, "ONE LINE that stays here", "en", "s", 1), (4, None, "en", "s", 1)], DOCS)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, lines_, small).collect()}
+    assert left == {1: "one line that stays here\n\nanother long line of this text", 2: "new"}
+    pieces_ = {r["doc_id"]: r for r in corpus_pipeline.to_pieces(spark, docs, small).collect()}
+    assert set(pieces_) == set(texts) and all(r["round_trip"] for r in pieces_.values())
+
+
 def test_every_operator_has_a_query():
     numbers = Counter(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
     assert numbers == Counter(range(1, 14))
