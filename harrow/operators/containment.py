@@ -77,7 +77,6 @@ def contained_pairs(
     text_id: str,
     text: str,
     broadcast_limit: int = BROADCAST_LIMIT,
-    salts: int = 16,
 ) -> DataFrame:
     """(text_id, needle) for every text that holds the needle. Exact; blanks match nothing.
 
@@ -85,9 +84,8 @@ def contained_pairs(
     needle is an equality join key and the containment test runs on the few
     candidates. The smaller side decides the join: needles within the broadcast
     limit are looked up while the texts stream by; else texts whose runs fit
-    are looked up by the needles; else both are joined by (run, salt), where
-    the needles, one row each, are repeated per salt and a run common in the
-    texts is spread. Needles longer than every text are left out at once; the
+    are looked up by the needles; else both are joined by run, one row per needle,
+    and adaptive execution splits a run that very many texts hold. Needles longer than every text are left out at once; the
     others are read several times and so written once to the shared folder.
     """
     longest = texts.agg(F.max(F.length(text))).scalar()
@@ -115,13 +113,8 @@ def contained_pairs(
     if measured_bytes(hay.select(text_id, "_text")) * KEY_BYTES <= broadcast_limit:
         candidates = anchors.join(F.broadcast(keyed), "gram").select(text_id, "needle")
     else:
-        salted = anchors.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = F.pmod(F.xxhash64(text_id), F.lit(salts)).cast("int")
-        candidates = (
-            keyed.withColumn("_s", spread)
-            .join(salted, ["gram", "_s"])
-            .select(text_id, "needle")
-        )
+        # a run common in the texts is a skewed key, which an inner join splits as it needs
+        candidates = keyed.join(anchors, "gram").select(text_id, "needle")
     return (
         candidates.join(hay.select(text_id, "_text"), text_id)
         .filter(F.contains("_text", "needle"))

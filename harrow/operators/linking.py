@@ -55,26 +55,28 @@ def link_documents(
 ) -> DataFrame:
     """Every document with program_id and match_kind: exact, partial or none.
 
-    The distinct titles on both sides are read several times, so they are
-    written once to the shared folder; the documents are read twice.
+    Matching is done once per distinct title, and its outcome joined to the documents
+    once. The distinct titles on both sides are read several times, so they are
+    tables in the shared folder; the documents are read twice.
     """
     titles = cut_lineage(title_index(programs, key, name))
-    exact = link_exact(docs, titles, title).withColumnRenamed("program_id", "_exact")
-    left_over = cut_lineage(
-        exact.filter(F.col("_exact").isNull()).select(F.lower(title).alias("doc_title")).distinct()
-    )
-    partial = link_contains(left_over, titles, broadcast_limit).select(
-        F.col("doc_title").alias("_t"), F.col("program_id").alias("_partial")
-    )
+    folded = docs.select(F.lower(title).alias("doc_title")).distinct()
+    asked = cut_lineage(link_exact(folded, titles, "doc_title").withColumnRenamed("program_id", "_exact"))
+    left_over = asked.filter(F.col("_exact").isNull()).select("doc_title")
+    partial = link_contains(left_over, titles, broadcast_limit).withColumnRenamed("program_id", "_partial")
     kind = (
         F.when(F.col("_exact").isNotNull(), "exact")
         .when(F.col("_partial").isNotNull(), "partial")
         .otherwise("none")
     )
+    told = asked.join(partial, "doc_title", "left").select(
+        F.col("doc_title").alias("_t"), F.coalesce("_exact", "_partial").alias("program_id"), kind.alias("match_kind")
+    )
+    # a document without a title has no entry of its own
     return (
-        exact.join(partial, F.lower(title) == F.col("_t"), "left")
-        .withColumns({"program_id": F.coalesce("_exact", "_partial"), "match_kind": kind})
-        .drop("_exact", "_partial", "_t")
+        docs.join(told, F.lower(title) == F.col("_t"), "left")
+        .withColumn("match_kind", F.coalesce("match_kind", F.lit("none")))
+        .drop("_t")
     )
 
 

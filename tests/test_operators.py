@@ -269,7 +269,7 @@ def test_similar_clusters_equal_all_pairs(spark, threshold, few, hubs, rounds, m
 def test_similar_titles_make_links_in_proportion(spark):
     title = F.concat(F.lit("Round "), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" of the rural water fund"))
     made = []
-    for n in (1_500, 6_000):
+    for n in (700, 2_800):
         df = spark.range(n).select("id", title.alias("title"), F.lit("h").alias("host"))
         links = fuzzy.match_edges(df, "id", "title", ["host"], 0.86).cache()
         made.append(links.count())
