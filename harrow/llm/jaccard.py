@@ -233,9 +233,10 @@ def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
 def similar_components(
     postings: Callable[[object], DataFrame],
     items_of: Callable[[DataFrame], DataFrame],
-    sets_of: Callable[[DataFrame, bool], DataFrame],
+    sets_of: Callable[[DataFrame, bool], DataFrame] | None,
     num: int,
     den: int,
+    tested: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, label) of every item that is linked with another; label is the smallest id linked.
 
@@ -253,6 +254,9 @@ def similar_components(
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs; sketches and sets are fetched for their ids alone."""
+        if tested is not None:
+            pairs = cut_lineage(pairs)
+            return pairs if pairs.isEmpty() else tested(pairs)
         for fine in (True, False):
             pairs = cut_lineage(pairs)
             if pairs.isEmpty():

@@ -269,8 +269,7 @@ def test_kept_lines_of_edited_lines_equal_all_pairs(spark, rows):
 
 
 def test_keys_of_many_lines_equal_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(lines, "FEW", 2)
-    monkeypatch.setattr(lines, "ROUNDS", 2)
+    monkeypatch.setattr(jaccard, "CELL_ROWS", 3)
     texts = family(60, 30, 5) + family(60, 12, 6)  # chains of edits around one line
     some = [(i // 3, t) for i, t in enumerate(texts)]
     some = [(d, "\n".join(t for e, t in some if e == d)) for d in sorted({d for d, _ in some})]
