@@ -33,8 +33,8 @@ CELL = 96
 FRESH = 10  # new links of a node, each way, that meet the others in a round; the rest stay new
 LINKS = 16  # links of the pruned graph, each way
 BEAM = 64  # nodes a search keeps
-SETTLED = 0.005  # NN-descent ends when fewer links than this share are new
-ROUNDS = 12
+SETTLED = 0.01  # NN-descent ends when fewer links than this share are new
+ROUNDS = 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
