@@ -31,8 +31,9 @@ DEGREE = 24  # neighbours kept while the graph is built
 TABLES = 8
 CELL = 96
 FRESH = 10  # new links of a node, each way, that meet the others in a round; the rest stay new
-LINKS = 16  # links of the pruned graph, each way
-BEAM = 64  # nodes a search keeps
+LINKS = 24  # links of the pruned graph, each way
+COVERED = 1.2  # a neighbour goes if a nearer one is this many times nearer to it than the node
+BEAM = 128  # nodes a search keeps
 SETTLED = 0.01  # NN-descent ends when fewer links than this share are new
 ROUNDS = 8
 
@@ -195,8 +196,8 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
 def pruned(nodes: DataFrame, graph: DataFrame, links: int = LINKS) -> DataFrame:
     """(node, to): the links a search follows, at most twice `links` of a node.
 
-    From near to far, a neighbour is kept if it is nearer to the node than to every
-    neighbour kept before. A node that many keep takes the nearest of them back.
+    From near to far, a neighbour is kept unless one kept before it is nearer to it than
+    the node is, COVERED times. A node that many keep takes the nearest of them back.
     """
     both = graph.select(F.col("node").alias("at"), F.col("to").alias("node"))
     selves = graph.select(F.col("node").alias("at"), "node").distinct()
@@ -212,7 +213,7 @@ def pruned(nodes: DataFrame, graph: DataFrame, links: int = LINKS) -> DataFrame:
                 own = int(np.flatnonzero(ids[a:b] == at[a])[0])
                 kept: list[int] = []
                 for i in np.lexsort((ids[a:b], d[own])).tolist():
-                    if i != own and (d[i, kept] > d[own, i]).all():
+                    if i != own and (COVERED * d[i, kept] > d[own, i]).all():
                         kept.append(i)
                         if len(kept) == links:
                             break
