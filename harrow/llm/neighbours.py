@@ -33,9 +33,9 @@ CELL = 96
 FRESH = 10  # new links of a node, each way, that meet the others in a round; the rest stay new
 LINKS = 24  # links of the pruned graph, each way
 COVERED = 1.2  # a neighbour goes if a nearer one is this many times nearer to it than the node
-BEAM = 128  # nodes a search keeps
-SETTLED = 0.01  # NN-descent ends when fewer links than this share are new
-ROUNDS = 8
+BEAM = 256  # nodes a search keeps
+SETTLED = 0.005  # NN-descent ends when fewer links than this share are new
+ROUNDS = 10
 
 
 def usable(vectors: DataFrame) -> DataFrame:
