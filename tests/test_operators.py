@@ -277,6 +277,18 @@ def test_similar_titles_make_links_in_proportion(spark):
     assert made[1] < 5 * made[0]
 
 
+def test_similar_titles_compare_few_pairs(spark):
+    title = F.concat(F.md5(F.col("id").cast("string")), F.element_at(F.array(F.lit(" Program"), F.lit("s")), (F.col("id") % 2 + 1).cast("int")))
+    df = spark.range(4_000).select("id", title.alias("title"), F.when(F.col("id") < 3_000, "h").otherwise(F.col("id").cast("string")).alias("host"))
+    few, many = fuzzy._blocked(fuzzy.title_groups(df, "id", "title", ["host"]), ["host"])
+    assert (few.count(), many.count()) == (0, 3_000)  # a title alone in its block is compared with none
+    counts = fuzzy._Counts(many, fuzzy._run_length(0.86))
+    chunks, grams = fuzzy._chunks(many, counts, 0.86), fuzzy._grams(many, 0.86)
+    assert chunks.count() <= 6 * 3_000
+    met = chunks.join(grams.withColumnRenamed("rep", "other"), ["block", "gram"]).filter("rep <> other").count()
+    assert met < 3_000 * 3_000 / 100
+
+
 def test_equal_titles_link_as_a_star(spark):
     df = spark.createDataFrame([(i, "same title", "h") for i in range(50)], "id int, title string, host string")
     links = fuzzy.match_edges(df, "id", "title", ["host"], 0.86)
