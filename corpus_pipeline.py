@@ -14,6 +14,9 @@ from harrow.llm.nbest import decode, encode
 from harrow.llm.ngramjoin import ngram_components
 from harrow.session import cut_lineage
 
+# Segmentations of a text that are searched, as in op7_sentencepiece.
+N_BEST = 4
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _OTHERS = [c for c in DOCUMENT_COLUMNS if c != "text"]
 
@@ -48,11 +51,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document, and whether they give its text again."""
+    """The piece ids of each document, its best segmentations, and whether the ids give its text again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = encode(docs, model, 1, *map(F.col, _OTHERS), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).drop("nbest")
+    coded = encode(docs, model, N_BEST, *map(F.col, _OTHERS), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     back = decode(coded, model)
-    return back.select(*_OTHERS, "n_pieces", "score", "ids", (F.xxhash64("decoded") == F.col("h")).alias("round_trip"))
+    return back.select(*_OTHERS, "n_pieces", "score", "ids", "nbest", (F.xxhash64("decoded") == F.col("h")).alias("round_trip"))
 
 
 STAGES = [

@@ -37,14 +37,24 @@ from harrow.llm.wordcache import PerWord
 
 BLANK = "▁"
 _PART = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-KEPT_PARTS = 1 << 20
+# Parts of texts that are kept take at most about this many bytes in a worker process.
+KEPT_BYTES = 1 << 26
+# What a kept part takes besides its characters and ids: an entry, a string, and four numbers.
+_ENTRY_BYTES = 240
 # Parts whose alternatives are kept; each takes about a kilobyte.
 KEPT_ALTERNATIVES = 1 << 14
 # Parts up to this many characters go through the forward pass together; a longer one goes alone.
 _TOGETHER = 48
+# The forward pass takes this many characters at a time; its edges take some hundred bytes a character.
+_AT_ONCE = 1 << 16
 _CHAR_BITS = 21
 
 
+def _plain(model) -> list[int]:
+    """The numbers of the pieces that stand for text."""
+    return [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+
+
 class Pieces:
     """The pieces of a model file."""
 
@@ -54,7 +64,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.size = model.get_piece_size()
         numbers = range(self.size)
-        plain = [i for i in numbers if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+        plain = _plain(model)
         self.number = {model.id_to_piece(i): i for i in plain}
         if any("\n" in p or re.search(f"[^{BLANK}]{BLANK}", p) for p in self.number):
             raise ValueError("pieces cross blanks or line breaks")
@@ -67,9 +77,6 @@ class Pieces:
         self.longest = max(map(len, self.number), default=1)
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in numbers if model.is_byte(i)}
         self.unknown = model.unk_id()
-        raw = {i: p.replace(BLANK, " ").encode() for p, i in self.number.items()}
-        raw |= {i: bytes([b]) for b, i in self.bytes.items()}
-        self.raw = [raw.get(i, b"") for i in numbers]
         self._grow()
 
     def _grow(self) -> None:
@@ -234,7 +241,7 @@ def combine(gaps: list[list[float]], n: int) -> list[tuple[float, list[tuple[int
 class Segmenter:
     """N-best segmentation of whole texts; parts are searched once and kept, up to a bound."""
 
-    def __init__(self, model_file: str, n: int, kept: int = KEPT_PARTS):
+    def __init__(self, model_file: str, n: int, kept: int = KEPT_BYTES):
         self.pieces = Pieces(model_file)
         self.n, self.kept = n, kept
         self._forget()
@@ -242,16 +249,19 @@ class Segmenter:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.taken = 0
         self.ids, self.ends = array.array("I"), array.array("q", [0])
         self.scores, self.gaps = array.array("d"), array.array("d")
 
     def _places(self, parts: list[str]) -> np.ndarray:
-        if len(self.place) > self.kept:
+        if self.taken > self.kept:
             self._forget()
         new = [p for p in dict.fromkeys(parts) if p not in self.place]
         short = [p for p in new if len(p) <= _TOGETHER]
-        if short:
-            self._keep(short, *self.pieces.forward(short))
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(p) for p in short]) // _AT_ONCE)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(short)], strict=True):
+            if low < high:
+                self._keep(short[low:high], *self.pieces.forward(short[low:high]))
         for part in new:
             if len(part) > _TOGETHER:
                 found = self.pieces.nbest(part, 2)
@@ -264,6 +274,8 @@ class Segmenter:
         self.place.update(zip(parts, range(len(self.scores), len(self.scores) + len(parts)), strict=True))
         self.ends.frombytes((self.ends[-1] + np.cumsum(sizes)).astype(np.int64).tobytes())
         self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        # a character takes up to four bytes, an id four
+        self.taken += sum(_ENTRY_BYTES + 4 * len(p) for p in parts) + 4 * len(ids)
         self.scores.frombytes(scores.astype(np.float64).tobytes())
         self.gaps.frombytes(gaps.astype(np.float64).tobytes())
 
@@ -282,14 +294,16 @@ class Segmenter:
         """
         parted = [parts_of(t or "") for t in texts]
         places = self._places([p for parts in parted for p in parts])
-        ends = np.array(self.ends)
+        ends = np.frombuffer(self.ends, np.int64)
         begins, sizes = ends[places], ends[places + 1] - ends[places]
         to = np.cumsum(sizes)
         total = int(to[-1]) if len(to) else 0
-        ids = np.array(self.ids, np.uint32)[np.arange(total) + np.repeat(begins - (to - sizes), sizes)]
+        held = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
+        ids = held[np.arange(total) + np.repeat(begins - (to - sizes), sizes)]
         edges = np.cumsum([0, *map(len, parted)])
         first = np.concatenate(([0], to))[edges]
-        scores, gaps = np.array(self.scores)[places], np.array(self.gaps)[places]
+        scores, gaps = (np.frombuffer(kept)[places] if kept else np.zeros(0) for kept in (self.scores, self.gaps))
+        del ends, held  # views of arrays that are to grow
         best = []
         for i in range(len(texts)):
             low, high = int(edges[i]), int(edges[i + 1])
@@ -328,7 +342,13 @@ def segmenter(model_file: str, n: int) -> Segmenter:
 
 @functools.cache
 def piece_bytes(model_file: str) -> list[bytes]:
-    return Pieces(model_file).raw
+    """The bytes that each piece stands for; none for control pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    raw = {i: model.id_to_piece(i).replace(BLANK, " ").encode() for i in _plain(model)}
+    raw |= {i: bytes([int(model.id_to_piece(i)[3:5], 16)]) for i in range(model.get_piece_size()) if model.is_byte(i)}
+    return [raw.get(i, b"") for i in range(model.get_piece_size())]
 
 
 def _schema(frame: DataFrame, names: list[str]) -> str:

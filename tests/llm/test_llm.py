@@ -561,6 +561,28 @@ def test_pipeline_stages_equal_plain_versions(spark, small):
     assert set(pieces_) == set(texts) and all(r["round_trip"] for r in pieces_.values())
 
 
+def test_pieces_keep_the_best_segmentations(spark, small):
+    import corpus_pipeline
+
+    docs = frame(spark, [(1, "the water of the rural fund"), (2, None)])
+    got = {r["doc_id"]: r for r in corpus_pipeline.to_pieces(spark, docs, small).collect()}
+    assert len(got[1]["nbest"]) == 4 and got[1]["nbest"][0]["score"] == got[1]["score"]
+    assert len(got[2]["nbest"]) == 1 and got[2]["round_trip"]
+
+
+def test_kept_parts_are_bound_by_their_bytes(monkeypatch):
+    texts = [f"line {i} of the minister's water fund" for i in range(60)]
+    usual = nbest.Segmenter(MODEL, 3)
+    want = [usual([t]) for t in texts]
+    monkeypatch.setattr(nbest, "_AT_ONCE", 8)
+    bound = nbest.Segmenter(MODEL, 3, kept=4_000)
+    for text, (ids, sizes, best) in zip(texts, want, strict=True):
+        got = bound([text])
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == sizes.tolist() and got[2] == best
+        assert bound.taken < 4_000 + 100 * 300
+    assert len(bound.place) < len(usual.place)
+
+
 def test_every_operator_has_a_query():
     numbers = Counter(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
     assert numbers == Counter(range(1, 14))
