@@ -212,17 +212,28 @@ def _classified(times: list, hashes: list, at: int, known: tuple | None) -> str:
     return "new" if before is None else "unchanged" if before == hashes[at] else "modified"
 
 
+# Keys of one of so many hash buckets share a state in stream_versions.
+VERSION_BUCKETS = 1 << 13
+
+
 def stream_versions(
-    items: DataFrame, key: str, time: str, fields: Sequence[str], known: DataFrame | None = None
+    items: DataFrame,
+    key: str,
+    time: str,
+    fields: Sequence[str],
+    known: DataFrame | None = None,
+    buckets: int = VERSION_BUCKETS,
 ) -> DataFrame:
     """The changes of a stream of items, in update mode: (key, time, content_hash, change).
 
-    State holds the versions of each key in event-time order. An item that comes
+    State holds the versions of each key in event-time order, the keys of one hash bucket
+    together: a bucket costs far more to open than a key. An item that comes
     late takes its place among them, and the version after it is given out again
     with its changed meaning; the newest row of a version counts (read_versions). So
     the result equals versions over all items, however they fall into files and
     batches. known is a stream of (key, time, content_hash), the versions held before;
     it is read once into state. A NULL time or key is dropped: it has no place.
+    A checkpoint goes on with the number of buckets it began with only.
     """
     keyed = items.select(
         F.col(key).alias("key"),
@@ -242,39 +253,40 @@ def stream_versions(
     key_type = keyed.schema["key"].dataType
 
     def merge(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, hashes, known_time, known_hash = state.get if state.exists else ([], [], None, None)
-        held = list(zip(times, hashes, strict=True))
-        old = None if known_hash is None else (known_time, known_hash)
-        touched, all_again = set(), False
+        kept = state.get if state.exists else ([], [], [], [], [])
+        held = {k: list(zip(t, h, strict=True)) for k, t, h in zip(*kept[:3], strict=True)}
+        old = {k: (t, h) for k, t, h in zip(kept[0], *kept[3:], strict=True) if h is not None}
+        touched, all_again = {}, set()
         for batch in batches:
-            for micros, content, is_known in zip(
-                batch["micros"].tolist(), batch["content_hash"].tolist(), batch["known"].tolist(), strict=True
+            for k, micros, content, is_known in zip(
+                *(batch[c].tolist() for c in ("key", "micros", "content_hash", "known")), strict=True
             ):
+                version = (micros, content)
+                own = held.setdefault(k, [])
                 if is_known:
-                    if old is None or (micros, content) > old:
-                        old, all_again = (micros, content), True
+                    if k not in old or version > old[k]:
+                        old[k] = version
+                        all_again.add(k)
                     continue
-                version = (micros, content)
-                place = bisect_left(held, version)
-                if place == len(held) or held[place] != version:
-                    held.insert(place, version)
-                    touched.add(version)
-        times, hashes = [t for t, _ in held], [h for _, h in held]
-        state.update((times, hashes, *(old or (None, None))))
-        places = set(range(len(held))) if all_again else set()
-        for version in touched:
-            place = bisect_left(held, version)
-            places |= {place, min(place + 1, len(held) - 1)}
-        if places:
-            order = sorted(places)
-            yield pd.DataFrame(
-                {
-                    "key": [group[0]] * len(order),
-                    "micros": [times[i] for i in order],
-                    "content_hash": [hashes[i] for i in order],
-                    "change": [_classified(times, hashes, i, old) for i in order],
-                }
-            )
+                place = bisect_left(own, version)
+                if place == len(own) or own[place] != version:
+                    own.insert(place, version)
+                    touched.setdefault(k, set()).add(version)
+        times, hashes = ({k: [v[i] for v in own] for k, own in held.items()} for i in (0, 1))
+        olds = [old.get(k, (None, None)) for k in held]
+        state.update(
+            (list(held), list(times.values()), list(hashes.values()), [t for t, _ in olds], [h for _, h in olds])
+        )
+        made = []
+        for k in touched.keys() | all_again:
+            own = held[k]
+            places = set(range(len(own))) if k in all_again else set()
+            for version in touched.get(k, ()):
+                place = bisect_left(own, version)
+                places |= {place, min(place + 1, len(own) - 1)}
+            made += [(k, *own[i], _classified(times[k], hashes[k], i, old.get(k))) for i in sorted(places)]
+        if made:
+            yield pd.DataFrame(made, columns=["key", "micros", "content_hash", "change"])
 
     out = T.StructType(
         [
@@ -284,8 +296,17 @@ def stream_versions(
             T.StructField("change", T.StringType()),
         ]
     )
-    held = "times array<long>, hashes array<string>, known_time long, known_hash string"
-    found = keyed.groupBy("key").applyInPandasWithState(merge, out, held, "update", "NoTimeout")
+    held = T.StructType(
+        [
+            T.StructField("keys", T.ArrayType(key_type)),
+            T.StructField("times", T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField("hashes", T.ArrayType(T.ArrayType(T.StringType()))),
+            T.StructField("known_times", T.ArrayType(T.LongType())),
+            T.StructField("known_hashes", T.ArrayType(T.StringType())),
+        ]
+    )
+    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    found = dealt.groupBy("bucket").applyInPandasWithState(merge, out, held, "update", "NoTimeout")
     return found.select(
         F.col("key").alias(key), F.timestamp_micros("micros").alias(time), "content_hash", "change"
     )

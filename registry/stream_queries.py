@@ -73,12 +73,16 @@ def stream_changes(spark, d):
     return spark.read.parquet(f"{out}/changes").select("user_id", "event_type", "change")
 
 
-def _in_files(spark, d, files):
-    """The events dealt over files without regard to time, so that every batch holds late ones."""
+def _in_files(spark, d, batches):
+    """The events dealt over batches without regard to time, so that every batch holds late ones.
+
+    A batch has a file for each core, so that all of them write and read it.
+    """
     out = new_run_dir(spark, "landed")
-    load(spark, d, "events").repartition(files, "event_id").write.parquet(out)
+    files = spark.sparkContext.defaultParallelism
+    load(spark, d, "events").repartition(batches * files, "event_id").write.parquet(out)
     schema = spark.read.parquet(out).schema
-    return jobs.stream_items(spark, out, schema, "parquet", per_batch=1)
+    return jobs.stream_items(spark, out, schema, "parquet", per_batch=files)
 
 
 @query("stream_first_sight", "SELECT DISTINCT user_id, event_type FROM events")

@@ -366,3 +366,15 @@ def test_versions_do_not_depend_on_batches(spark, tmp_path, with_known):
     else:
         assert [marks["a", s] for s in (10, 15, 20, 9_000_000)] == ["new", "modified", "modified", "unchanged"]
         assert [marks["b", s] for s in (400_000, 400_001, 500_000)] == ["new", "modified", "modified"]
+
+
+def test_every_batch_of_a_stream_has_files_for_all_cores(spark, small, tmp_path):
+    from registry.stream_queries import _in_files
+
+    seen = []
+    jobs.run_each_batch(
+        _in_files(spark, small, 3), lambda batch, _: seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count())), str(tmp_path / "c")
+    )
+    total = spark.read.parquet(f"{small}/events.parquet").count()
+    assert len(seen) == 3 and sum(n for n, _ in seen) == total
+    assert all(files > spark.sparkContext.defaultParallelism / 2 for _, files in seen)
