@@ -157,7 +157,8 @@ def first_sight_writer(
                 same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in key]
                 fresh = rows.alias("r").join(known.alias("k"), same, "left_anti")
             maybe.unpersist()
-        fresh.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/first/batch={batch_id}")
+        # one file a bucket, not one from every task
+        fresh.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/first/batch={batch_id}")
         # bits of every key of the batch: those seen before are set already
         marked = rows.select(F.explode(_bits_of(key, bits)).alias("_p"))
         marked.groupBy(F.bitmap_bucket_number("_p").alias("slot")).agg(
@@ -167,7 +168,7 @@ def first_sight_writer(
         after = batch_id + 1
         if after % pack_every == 0:
             firsts = pack(spark, "first", rows.schema, after)
-            firsts.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/first-packed/batch={after}")
+            firsts.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/first-packed/batch={after}")
             bitmaps = pack(spark, "bits", bitmap_schema, after)
             bitmaps.groupBy("slot").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).write.mode(
                 "overwrite"
