@@ -378,3 +378,10 @@ def test_every_batch_of_a_stream_has_files_for_all_cores(spark, small, tmp_path)
     total = spark.read.parquet(f"{small}/events.parquet").count()
     assert len(seen) == 3 and sum(n for n, _ in seen) == total
     assert all(files > spark.sparkContext.defaultParallelism / 2 for _, files in seen)
+
+
+def test_first_sights_of_a_bucket_are_one_file(spark, tmp_path):
+    step = jobs.first_sight_writer(str(tmp_path), ["k"], ["id"], bits=1 << 12, buckets=4)
+    step(spark.range(0, 400, 1, 8).select("id", (F.col("id") % 100).alias("k")), 0)
+    found = spark.read.parquet(f"{tmp_path}/first/batch=0")
+    assert found.count() == 100 and len(found.inputFiles()) == 4
