@@ -243,18 +243,20 @@ def greedy_search(nodes: DataFrame, links: DataFrame, queries: DataFrame, entrie
     def measured(pairs: DataFrame) -> DataFrame:
         return pairs.join(nodes, "node").join(queries, "query").select("query", "node", gap.alias("d"))
 
-    met = cut_lineage(measured(entries.distinct()).withColumn("done", F.lit(False)))
+    def best(met: DataFrame) -> DataFrame:
+        return cut_lineage(met.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= beam).drop("r"))
+
+    # what is left out of the beam never comes back, and is known only so that it is not measured again
+    known = cut_lineage(measured(entries.distinct()))
+    kept, met = best(known.withColumn("done", F.lit(False))), known.select("query", "node")
     while True:
-        kept = met.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= beam).drop("r")
         fresh = kept.where(~F.col("done"))
         if fresh.isEmpty():
             return kept.select("query", "node")
         steps = fresh.select("query", "node").join(links, "node").select("query", F.col("to").alias("node")).distinct()
-        new = measured(steps.join(met.select("query", "node"), ["query", "node"], "left_anti")).withColumn("done", F.lit(False))
-        # what has left the beam stays known, so that it is not measured again
-        marked = met.join(kept.select("query", "node", F.lit(True).alias("in")), ["query", "node"], "left")
-        marked = marked.select("query", "node", "d", (F.col("done") | F.coalesce("in", F.lit(False))).alias("done"))
-        met = cut_lineage(marked.unionByName(new))
+        new = cut_lineage(measured(steps.join(met, ["query", "node"], "left_anti")))
+        met = met.unionByName(new.select("query", "node"))
+        kept = best(kept.withColumn("done", F.lit(True)).unionByName(new.withColumn("done", F.lit(False))))
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
