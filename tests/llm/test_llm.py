@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from harrow.llm import decontaminate, jaccard, language, lines, nbest, neighbours, ngramjoin, quality, suffixes, tokenfile, transducer
+from harrow.llm import decontaminate, jaccard, language, lines, nbest, neighbours, ngramjoin, quality, suffixes, textblocks, tokenfile, transducer
 from harrow.llm.queries import QUERIES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -278,6 +278,34 @@ def test_keys_of_many_lines_equal_all_pairs(spark, monkeypatch):
     assert want <= got and len(got - want) <= 0.02 * len(want)
 
 
+def test_few_long_lines_are_compared_by_text(spark, monkeypatch):
+    draw = np.random.default_rng(21)
+    base = ["".join(chr(c) for c in draw.integers(97, 123, 7)) for _ in range(90)]
+    # half of the words are those of every line: similar in part, and too long for a sketch of 256 bits
+    texts = [" ".join([*base[:60], *("".join(chr(c) for c in draw.integers(97, 123, 7)) for _ in range(30))]) for _ in range(60)]
+    some = list(enumerate([*texts, texts[0][:-1] + "#"]))
+    asked = []
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    for rows_ in (1 << 20, 50):
+        monkeypatch.setattr(jaccard, "PART_ROWS", rows_)
+        got = {tuple(r) for r in lines.kept_lines(frame(spark, some)).collect()}
+        assert got == set(brute_components(line_sets(some), 80, 100).values()) and len(got) == 60
+    assert sum(asked) <= 4
+
+
+def test_fine_sketches_allow_every_similar_pair():
+    draw = np.random.default_rng(22)
+    sets = [draw.choice(4000, n, replace=False).astype(np.uint64) for n in (1, 5, 120, 130, 700, 800, 3000)]
+    sets += [np.append(s[len(s) // 12 :], np.uint64(9000)) for s in sets]
+    values, sizes = textblocks.mixed(np.concatenate(sets)), np.array([len(s) for s in sets])
+    fine = jaccard._Fine(jaccard.fine_sketches(values, sizes))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    got = jaccard._may_be_similar(fine, i, fine, j, (sizes[i] + sizes[j]) * 20 / 180 + 1e-9)
+    similar = [100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert got[similar].all() and sum(similar) > len(sets) and got.sum() < len(got) / 2
+
+
 def test_similar_lines_is_exact():
     draw = np.random.default_rng(8)
     lines_ = ["".join("abc"[i] for i in draw.integers(0, 3, n)) for n in draw.integers(1, 30, 400)]
@@ -498,6 +526,25 @@ def test_a_search_meets_few_nodes_and_finds_them(spark):
     assert len(got) == 60 and right >= 0.97 * 600
 
 
+def test_a_search_carries_its_beam_and_not_all_it_met(spark, monkeypatch):
+    n, written = 14, []
+    cut = neighbours.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "cut_lineage", counted)
+    nodes = spark.createDataFrame([(i, [float(i)]) for i in range(n)], "node long, v array<double>")
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(i + 1, i) for i in range(n - 1)], "node long, to long")
+    queries = spark.createDataFrame([(0, [0.0])], "query long, q array<double>")
+    start = spark.createDataFrame([(0, n - 1)], "query long, node long")
+    found = neighbours.greedy_search(nodes, links, queries, start, beam=2)
+    assert {tuple(r) for r in found.collect()} == {(0, 0), (0, 1)}
+    assert sum(written) <= 4 * n  # along a chain: the beam and the one node met in each round
+
+
 def test_two_vectors_of_one_id_are_two_nodes(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 5.0]), (100, [0.0, 5.5]), (2, [1.0, 0.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
