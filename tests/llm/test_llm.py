@@ -306,6 +306,34 @@ def test_fine_sketches_allow_every_similar_pair():
     assert got[similar].all() and sum(similar) > len(sets) and got.sum() < len(got) / 2
 
 
+def test_fine_sketches_fold_to_coarse_ones_that_allow_every_similar_pair():
+    draw = np.random.default_rng(23)
+    sets = [draw.choice(4000, n, replace=False).astype(np.uint64) for n in (1, 5, 60, 120, 130, 700)]
+    sets += [np.append(s[len(s) // 12 :], np.uint64(9000)) for s in sets]
+    values, sizes = textblocks.mixed(np.concatenate(sets)), np.array([len(s) for s in sets])
+    raw = jaccard.fine_sketches(values, sizes, 2)
+    assert [len(v.as_py()) for v in raw][:6] == [32, 32, 32, 32, 64, 256]  # two bits a value, 256 bits at least
+    coarse = np.column_stack(jaccard._Fine(raw).coarse())
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = np.bitwise_count(coarse[i] ^ coarse[j]).sum(axis=1)
+    assert all(apart[k] <= len(np.setxor1d(sets[a], sets[b])) for k, (a, b) in enumerate(zip(i, j, strict=True)))
+
+
+def test_cells_hold_a_member_once_where_one_block_does(spark, monkeypatch):
+    live = spark.createDataFrame([(7, i, -1) for i in range(1, 9)], "key long, id long, pos int")
+    labels = spark.createDataFrame([(2, 1), (1, 1)], "id long, label long")
+    items = spark.createDataFrame([(i, 5, 0, 0, 0, 0, b"") for i in range(1, 9)], f"id long, size long, {jaccard.SKETCH_SCHEMA}, raw binary")
+    cells = jaccard._cells(live, labels, items)
+    assert sorted(r["id"] for r in cells.collect()) == [*range(1, 9)]
+    assert not set(jaccard.SKETCH) & set(cells.columns) and "raw" in cells.columns
+    monkeypatch.setattr(jaccard, "CELL_ROWS", 2)
+    met = defaultdict(set)
+    for r in jaccard._cells(live, labels, items).collect():
+        met[r["x"], r["y"]].add(r["id"])
+    pairs = {p for held in met.values() for p in itertools.combinations(sorted(held), 2)}
+    assert pairs | {(1, 2)} == set(itertools.combinations(range(1, 9), 2))
+
+
 def test_similar_lines_is_exact():
     draw = np.random.default_rng(8)
     lines_ = ["".join("abc"[i] for i in draw.integers(0, 3, n)) for n in draw.integers(1, 30, 400)]
