@@ -23,6 +23,7 @@ DIMENSIONS = 1024
 _LETTERS = 128  # letter vectors; letters beyond a-z share them by code point
 _BITS = 7
 _BLOCK = 64
+_AT_ONCE = 1024  # trigrams whose vectors are made together: four megabytes
 UNDETERMINED = "und"
 
 
@@ -103,8 +104,8 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
         for lang, total in totals.items():
             vector = np.zeros(DIMENSIONS)
             found, counts = np.array(list(total), np.int64), np.array(list(total.values()), np.float64)
-            for at in range(0, len(found), 4096):
-                vector += counts[at : at + 4096] @ gram_vectors(found[at : at + 4096])
+            for at in range(0, len(found), _AT_ONCE):
+                vector += counts[at : at + _AT_ONCE] @ gram_vectors(found[at : at + _AT_ONCE])
             for block in range(0, DIMENSIONS, _BLOCK):
                 yield pa.RecordBatch.from_pydict(
                     {"lang": [lang], "block": [block], "part": [vector[block : block + _BLOCK].tolist()]}
@@ -138,10 +139,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *kept: Column) -
             numbers, text, has_letter = grams(column.to_pylist())
             found, which = np.unique(numbers, return_inverse=True)
             vectors = np.zeros((len(column), DIMENSIONS), np.float32)
-            for at in range(0, len(found), 4096):
-                # texts by distinct trigrams, some thousand trigrams at a time
-                own = (which >= at) & (which < at + 4096)
-                width = min(4096, len(found) - at)
+            for at in range(0, len(found), _AT_ONCE):
+                # texts by distinct trigrams, a thousand trigrams at a time
+                own = (which >= at) & (which < at + _AT_ONCE)
+                width = min(_AT_ONCE, len(found) - at)
                 counts = np.bincount(text[own] * width + which[own] - at, minlength=len(column) * width)
                 vectors += counts.reshape(len(column), width).astype(np.float32) @ gram_vectors(found[at : at + width])
             norms = np.linalg.norm(vectors.astype(np.float64), axis=1)

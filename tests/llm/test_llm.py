@@ -121,6 +121,40 @@ def test_languages(spark, docs):
     assert {r["lang_pred"] for r in language.languages(unlabelled).collect()} == {"und"}
 
 
+def test_trigram_vectors_are_made_some_at_a_time(monkeypatch):
+    class Taken:  # stands for a frame and keeps what it is to run
+        select = where = lambda self, *_: self
+        schema = type("S", (), {"fields": []})
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+        groupBy = agg = lambda self, *_: self  # noqa: N815
+        collect = lambda self: []
+
+    draw = np.random.default_rng(31)
+    texts = ["".join(chr(c) for c in draw.integers(97, 123, 9000)) for _ in range(5)]
+    grams, sizes = language.gram_vectors, []
+    monkeypatch.setattr(language, "gram_vectors", lambda numbers: sizes.append(len(numbers)) or grams(numbers))
+    frame_ = Taken()
+    monkeypatch.setattr(language.F, "col", lambda _: Taken())
+    monkeypatch.setattr(language.F, "sum", lambda _: None)
+    monkeypatch.setattr(language.F, "array", lambda *_: Taken())
+    monkeypatch.setattr(Taken, "__getitem__", lambda self, _: None, raising=False)
+    monkeypatch.setattr(Taken, "alias", lambda self, _: self, raising=False)
+    language.learn(frame_)
+    made = [r for b in frame_.run([pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * 5})]) for r in b.to_pylist()]
+    numbers, _, _ = language.grams(texts)
+    found, counts = np.unique(numbers, return_counts=True)
+    assert np.concatenate([r["part"] for r in made]).tolist() == (counts @ grams(found).astype(float)).tolist()
+    assert len(found) > 4 * max(sizes)
+    sizes.clear()
+    language.predict(frame_, {"en": np.ones(language.DIMENSIONS) / 32})
+    assert sum(b.num_rows for b in frame_.run([pa.RecordBatch.from_pydict({"_text": texts})])) == 5
+    assert len(found) > 4 * max(sizes)
+
+
 def test_trigram_vectors_are_products_of_rotated_letters():
     numbers, text, _ = language.grams(["ab"])
     plain = language._letter_vectors()[0]
