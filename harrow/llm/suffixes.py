@@ -14,6 +14,8 @@ common prefix of WINDOW bytes are equal strings.
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,12 +226,24 @@ def _bit_of(keys: np.ndarray, bits: int, blocks: int) -> np.ndarray:
 
 
 class Shared:
-    """Which side keys occur in several documents, as a bitmap, and which anchors are hot."""
+    """Which side keys occur in several documents, as a bitmap, and which anchors are hot.
 
-    def __init__(self, bits: int, blocks: int):
+    The bitmap travels as the compressed slices of its blocks and is laid out where it
+    is first asked; the driver only hands the slices on.
+    """
+
+    def __init__(self, bits: int, blocks: int, slices: dict[int, bytes], hot: list[int]):
         self.bits, self.blocks = bits, blocks  # as powers of two
-        self.whole = np.zeros(1 << (bits - 3), np.uint8)
-        self.hot = np.zeros(0, np.uint64)
+        self.slices = slices
+        self.hot = np.array(sorted(hot), np.uint64)
+
+    @functools.cached_property
+    def whole(self) -> np.ndarray:
+        out = np.zeros(1 << (self.bits - 3), np.uint8)
+        size = 1 << (self.bits - self.blocks - 3)
+        for block, packed in self.slices.items():
+            out[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        return out
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         bit = _bit_of(keys, self.bits, self.blocks)
@@ -262,7 +276,7 @@ def _shared_keys(rows: DataFrame, known, n_bytes: int) -> Shared:
     """The side keys that occur in several documents, and the hot anchors.
 
     Tasks send their keys sorted, five bytes each, in blocks by the anchor's first bits;
-    a block is added up in one task and comes back as a slice of the bitmap. The
+    a block is added up in one task and comes back as a slice of the bitmap, compressed. The
     number of blocks and the size of the bitmap follow the bytes of all texts (the
     bitmap up to BITS_MOST, beyond which more stretches travel than need to).
     """
@@ -328,7 +342,7 @@ def _shared_keys(rows: DataFrame, known, n_bytes: int) -> Shared:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(block[x])]),
-                        pa.array([np.packbits(slots, bitorder="little").tobytes()], pa.binary()),
+                        pa.array([zlib.compress(np.packbits(slots, bitorder="little").tobytes(), 1)], pa.binary()),
                         pa.array([anchor[total > HOT_ROWS].astype(np.int64)], pa.list_(pa.int64())),
                     ],
                     names=["block", "bits", "hot"],
@@ -336,12 +350,8 @@ def _shared_keys(rows: DataFrame, known, n_bytes: int) -> Shared:
 
     sent = rows.select("doc_id", "t", "text").mapInArrow(run, "block long, once binary, more binary, n binary")
     slices = sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, bits binary, hot array<long>")
-    shared, hot = Shared(bits, blocks), []
-    for row in slices.collect():  # the bitmap: 2^BITS_MOST bits at most
-        shared.whole[row["block"] * slice_bytes : (row["block"] + 1) * slice_bytes] = np.frombuffer(row["bits"], np.uint8)
-        hot += row["hot"]
-    shared.hot = np.array(sorted(hot), np.uint64)
-    return shared
+    found = slices.collect()  # the bitmap: 2^BITS_MOST bits at most
+    return Shared(bits, blocks, {r["block"]: bytes(r["bits"]) for r in found}, [a for r in found for a in r["hot"]])
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:

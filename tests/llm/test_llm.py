@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -460,6 +461,21 @@ def test_without_repeats_equals_brute_force(spark, rows):
     assert suffixes.without_repeats(frame(spark, [])).count() == 0
 
 
+def test_the_bitmap_of_shared_keys_travels_compressed(spark, rows, monkeypatch):
+    plain, made = suffixes._shared_keys, []
+
+    def large(named, known, n_bytes):
+        made.append(plain(named, known, 1 << 27))  # as for 128 MB of text: a bitmap of 32 MB
+        return made[-1]
+
+    want = {r["doc_id"]: r["n_removed"] for r in suffixes.without_repeats(frame(spark, rows)).collect()}
+    monkeypatch.setattr(suffixes, "_shared_keys", large)
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.without_repeats(frame(spark, rows)).collect()}
+    assert got == want and sum(want.values()) > 0
+    assert len(pickle.dumps(made[0])) < 1 << 20
+    assert made[0].whole.nbytes == 1 << 25 and made[0].whole.any()
+
+
 def test_hot_anchors_are_split_without_losing_windows(spark, rows, monkeypatch):
     draw = np.random.default_rng(12)
 
