@@ -369,6 +369,52 @@ def test_cells_hold_a_member_once_where_one_block_does(spark, monkeypatch):
     assert pairs | {(1, 2)} == set(itertools.combinations(range(1, 9), 2))
 
 
+def test_lines_alone_with_their_hub_do_not_meet_again(spark, monkeypatch):
+    draw = np.random.default_rng(31)
+    texts = ["".join(chr(c) for c in draw.integers(97, 123, 200)) for _ in range(20)]
+    some = list(enumerate(texts + [t[:-1] + "#" for t in texts]))
+    met, cells = [], jaccard._cells
+    monkeypatch.setattr(jaccard, "_cells", lambda live, *rest: met.append(live.count()) or cells(live, *rest))
+    got = {tuple(r) for r in lines.kept_lines(frame(spark, some)).collect()}
+    assert got == set(brute_components(line_sets(some), 80, 100).values()) and len(got) == 20
+    assert sum(met) == 0  # all keys have two members, a hub and one that met it
+
+
+def test_members_of_a_key_keep_every_pair_that_sizes_allow(spark, monkeypatch):
+    monkeypatch.setattr(lines, "_HELD", 7)
+    draw = np.random.default_rng(32)
+    rows_ = [(k, k * 1000 + i, int(n), int(draw.integers(2, 9))) for k in range(12) for i, n in enumerate(draw.integers(40, 400, 2 * k + 1))]
+    frame_ = spark.createDataFrame(rows_, "key long, id long, size long, shared int")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3")
+    try:
+        got = lines._members(frame_, 80, 100).collect()
+    finally:
+        spark.conf.set(limit, before)
+    size = {i: n for _, i, n, _ in rows_}
+    assert len(got) == sum(2 * k for k in range(12)) and all(size[r["id"]] == r["size"] and size[r["hub"]] == r["hub_size"] for r in got)
+    for k in range(1, 12):
+        own = [r for r in got if r["id"] // 1000 == k]
+        best = min((-s, i) for x, i, _, s in rows_ if x == k)[1]
+        assert {r["hub"] for r in own} == {best} and len(own) == 2 * k
+        for a, b in itertools.combinations(own, 2):
+            if 100 * min(a["size"], b["size"]) >= 80 * max(a["size"], b["size"]):
+                assert a["chain"] is not None and a["chain"] == b["chain"]
+    small = [r for r in got if r["id"] // 1000 < 3]
+    assert len({r["chain"] for r in small if r["chain"] is not None}) + sum(r["chain"] is None for r in small) > 2
+
+
+def test_repeated_keys_are_those_of_several_lines(spark):
+    draw = np.random.default_rng(33)
+    keys = draw.integers(0, 2**64 - 1, (50, lines.BANDS), dtype=np.uint64)
+    keys[40:, :3] = keys[:10, :3]
+    classes = spark.createDataFrame([(bytearray(k.tobytes()),) for k in keys], "bands binary")
+    got = sorted(r["key"] for r in lines._repeated_keys(classes).collect())
+    assert got == sorted(keys[:10, :3].astype(np.uint32).ravel().tolist())
+    assert lines._repeated_keys(classes.limit(0)).count() == 0
+
+
 def test_similar_lines_is_exact():
     draw = np.random.default_rng(8)
     lines_ = ["".join("abc"[i] for i in draw.integers(0, 3, n)) for n in draw.integers(1, 30, 400)]
