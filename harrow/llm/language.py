@@ -23,6 +23,7 @@ DIMENSIONS = 1024
 _LETTERS = 128  # letter vectors; letters beyond a-z share them by code point
 _BITS = 7
 _BLOCK = 64
+_LEARNT_BYTES = 1 << 18  # of text that are learnt from together; their arrays take some sixty times as much
 _AT_ONCE = 1024  # trigrams whose vectors are made together: four megabytes
 UNDETERMINED = "und"
 
@@ -92,7 +93,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, dict[int, int]] = {}
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=_LEARNT_BYTES):
             numbers, text, has_letter = grams(column_of(piece, "text").to_pylist())
             langs = np.array(column_of(piece, "lang").to_pylist(), object)
             for lang in sorted(set(langs)):

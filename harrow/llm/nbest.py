@@ -244,6 +244,10 @@ class Segmenter:
     def __init__(self, model_file: str, n: int, kept: int = KEPT_BYTES):
         self.pieces = Pieces(model_file)
         self.n, self.kept = n, kept
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of all parts, as a task does at its end."""
         self._forget()
         self.others = PerWord(self._alternatives, KEPT_ALTERNATIVES)
 
@@ -336,7 +340,7 @@ class Segmenter:
 
 @functools.cache
 def segmenter(model_file: str, n: int) -> Segmenter:
-    """One segmenter per worker process, file and n, kept from task to task."""
+    """One segmenter per worker process, file and n, kept from task to task without the parts it met."""
     return Segmenter(model_file, n)
 
 
@@ -369,21 +373,25 @@ def encode(docs: DataFrame, model_file: str, n: int, *kept: Column) -> DataFrame
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_text"):
-            ids, sizes, best = segmenter(model_file, n)(column_of(piece, "_text").to_pylist())
-            listed = [
-                [{"score": s, "changes": [{"at": a, "n": k, "ids": list(x)} for a, k, x in c]} for s, c in b] for b in best
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[column_of(piece, c) for c in names],
-                    binaries(ids, sizes),
-                    pa.array(sizes),
-                    pa.array([b[0][0] for b in best], pa.float64()),
-                    pa.array(listed, kind),
-                ],
-                names=[*names, "ids", "n_pieces", "score", "nbest"],
-            )
+        segment = segmenter(model_file, n)
+        try:
+            for piece in pieces(batches, "_text"):
+                ids, sizes, best = segment(column_of(piece, "_text").to_pylist())
+                listed = [
+                    [{"score": s, "changes": [{"at": a, "n": k, "ids": list(x)} for a, k, x in c]} for s, c in b] for b in best
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[column_of(piece, c) for c in names],
+                        binaries(ids, sizes),
+                        pa.array(sizes),
+                        pa.array([b[0][0] for b in best], pa.float64()),
+                        pa.array(listed, kind),
+                    ],
+                    names=[*names, "ids", "n_pieces", "score", "nbest"],
+                )
+        finally:
+            segment.forget()
 
     return wanted.mapInArrow(
         run,

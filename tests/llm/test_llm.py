@@ -764,3 +764,15 @@ def test_batches_are_cut_without_losing_rows():
 
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (5, 0, 100, 3, 3)]})
     assert [p.num_rows for p in pieces([batch], limit=10)] == [2, 1, 2]
+
+
+def test_workers_hold_no_parts_of_an_ended_task(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, f"alpha beta {i} gamma") for i in range(64)], "doc_id long, text string").repartition(4)
+    assert nbest.encode(docs, model, 2, F.col("doc_id")).where("n_pieces > 0").count() == 64
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(nbest.segmenter(model, 2).place)], pa.int64())})
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 4).mapInArrow(held, "n long").collect()} == {0}
