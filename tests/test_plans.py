@@ -1,5 +1,6 @@
 """Sources, sinks, pipelines and streams on hand-made files."""
 
+import hashlib
 import json
 
 import pytest
@@ -9,7 +10,7 @@ from harrow.plans.eligibility import check_eligibility, submission_pack
 from harrow.plans.ingest import import_rows
 from harrow.plans.merge import Policy, audit_history, merge_sources, with_keys
 from harrow.plans.policies import POLICIES, SOURCE_KEYS
-from harrow.session import cut_lineage, measured_bytes, new_run_dir, shared_dir
+from harrow.session import conf_set, cut_lineage, measured_bytes, new_run_dir, shared_dir
 from harrow.sources import readers, writers
 from harrow.sources.schemas import (
     CANONICAL_DOCS,
@@ -97,6 +98,27 @@ def test_manifest_and_files(spark, tmp_path):
     assert rows(hashes, "file_name", "sha256") == [("g.pdf", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")]
 
 
+def test_large_files_are_hashed_piece_by_piece(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "LARGE_FILE", 60)
+    noise = bytes(i * i * 31 % 251 for i in range(5000))
+    mark = b"\xef\xbb\xbf"
+    files = {
+        "a b%20.pdf": noise, "feed.pdf": noise + b"\n", "feeds.pdf": b"\n" * 70, "mark.pdf": mark + noise, "both.pdf": mark + noise + b"\n",
+        "marks.pdf": mark + mark + noise, "odd.pdf": b"\xff\x00\r\n\r" * 30_000, "one.pdf": b"x" * 70, "only.pdf": mark * 21, "least.pdf": noise[:60],
+        "[x].pdf": noise * 9, "gone.txt": noise,
+    }
+    (tmp_path / "sub" / "k=1").mkdir(parents=True)
+    for i, (name, data) in enumerate(files.items()):
+        (tmp_path / ("sub/k=1" if i % 2 else "") / name).write_bytes(data)
+    most = "spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes"
+    with conf_set(spark, {most[0]: 60, most[1]: 1000}):
+        hashes = readers.file_hashes(spark, str(tmp_path))
+        got = rows(hashes, "file_name", "length", "sha256")
+        assert spark.conf.get(most[1]) == "1000"
+    assert sorted(got) == sorted((n, len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items() if n != "gone.txt")
+    assert hashes.columns == ["path", "file_name", "length", "sha256"] and hashes.select("path").distinct().count() == 11
+
+
 def test_feed(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><title>t</title><item><title>A &amp; B</title><link>https://x</link><guid>1</guid></item><item><title>C</title></item></channel></rss>")
     got = readers.read_feed_items(spark, str(tmp_path / "f.xml"))
