@@ -289,6 +289,51 @@ def test_similar_titles_compare_few_pairs(spark):
     assert met < 3_000 * 3_000 / 100
 
 
+@pytest.mark.parametrize("threshold, few, hubs", [(0.67, 2, 2), (0.86, 2, 1), (0.9, 32, 8)])
+def test_titles_in_passes_equal_all_pairs(spark, threshold, few, hubs, monkeypatch):
+    for name, value in (("FILTERED_RUNS", 0), ("PASS_RUNS", 1500), ("ALL_PAIRS", few), ("HUBS", hubs), ("HOT_KEY", 3)):
+        monkeypatch.setattr(fuzzy, name, value)
+    rng = random.Random(few)
+    data = []
+    for i in range(90):
+        base = "".join(rng.choice("abcdé🌾 ") for _ in range(rng.randint(4, 20)))
+        base = "media release of the minister " + base if i % 3 == 0 else base
+        edited = list(base)
+        for _ in range(rng.randint(0, 3)):
+            edited[rng.randrange(len(edited))] = rng.choice(["", "x", "éa"])
+        data += [(i, base, "h"), (1000 + i, "".join(edited), "h")]
+    titled: dict = {}
+    for i, t, _ in data:
+        if t.split():
+            titled.setdefault(" ".join(t.split()), i)
+    slack = round((1 - threshold) * 1000)
+    pairs = sorted(
+        (min(a, b), max(a, b))
+        for s, a in titled.items()
+        for t, b in titled.items()
+        if a < b and _distance(s, t) * 1000 <= slack * max(len(s), len(t))
+    )
+    df = spark.createDataFrame(data, "id int, title string, host string")
+    assert rows(fuzzy.fuzzy_match(df, "id", "title", ["host"], threshold), "a", "b") == pairs
+    equal = [(titled[" ".join(t.split())], i) for i, t, _ in data if t.split()]
+    got = fuzzy.similar_clusters(df, "id", "title", ["host"], threshold)
+    assert rows(got, "id", "cluster") == _components([i for i, *_ in data], pairs + equal)
+
+
+def test_runs_that_are_no_chunk_are_dropped_before_the_join(spark):
+    titles = spark.range(3_000).select(F.col("id").alias("rep"), F.md5(F.col("id").cast("string")).alias("title_norm"), F.lit("h").alias("host"))
+    _, many = fuzzy._blocked(titles, ["host"])
+    counts = fuzzy._Counts(many, fuzzy._run_length(0.86))
+    chunks, grams = fuzzy._chunks(many, counts, 0.86), fuzzy._grams(many, 0.86)
+    on = ["rep", "block", "gram"]
+    held = fuzzy._held(grams, chunks)
+    assert held.columns == grams.columns and held.count() < grams.count() / 4
+    need = grams.join(chunks.select("block", "gram").distinct(), ["block", "gram"]).select(*on)
+    assert need.subtract(held.select(*on)).count() == 0
+    parts = [fuzzy._of_pass(grams, n, 3) for n in range(3)]
+    assert sum(p.count() for p in parts) == grams.count() and min(p.count() for p in parts) > grams.count() / 4
+
+
 def test_equal_titles_link_as_a_star(spark):
     df = spark.createDataFrame([(i, "same title", "h") for i in range(50)], "id int, title string, host string")
     links = fuzzy.match_edges(df, "id", "title", ["host"], 0.86)
